@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +43,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def uniform(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the columns and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (as bytes), kept while there are not too many, then forgotten as a whole."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: Column, seed: int) -> DataFrame:
+    """Up to `most` rows (doc_id, text, y) of documents that carry a label and are not held out, for fitting a classifier.
+
+    The rows with the smallest hashes of doc_id are taken. `most` bounds what is broadcast to find them among the
+    documents. A doc_id with several labels counts once, with its largest label.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("string").alias("y"))
+    known = known.withColumn("_h", F.xxhash64(F.lit(seed), "_id")).orderBy("_h").limit(most).select("_id", "y")
+    found = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "y")
+    return cut(found.dropDuplicates(["doc_id"]), "sample")
+
+
+def crc_rest(doc_id: Column, n: int) -> Column:
+    """crc32(doc_id as text) mod n; a null doc_id gives 0."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("long").cast("string"), "UTF-8")) % n, F.lit(0))

@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm.common import table
 from cadastra.llm.exact_dedup import exact_classes
+from cadastra.llm.minhash import near_classes
 from cadastra.llm.mixing import mix
+from cadastra.llm.quality_rules import fit, judge
+from cadastra.llm.sentencepiece_codec import encode_documents
 from cadastra.llm.sharding import kd_shards
 from cadastra.llm.warc import warc_pages
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -25,11 +36,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_kd_shards, op6_exact_dedup, op8_mix_sources, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op8_mix_sources, op9_quality_rules, op10_warc)}
 
 #: 32 letters of base32 for the 40 hex digits of SHA-1: five bits at a time.
 _BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || d[1 + 10 * (k // 8):10 + 10 * (k // 8)])::BIGINT >> (35 - 5 * (k % 8))) & 31)]), '')"
