@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadastra.llm.common import table
+from cadastra.llm.common import crc_rest, table
 from cadastra.llm.exact_dedup import exact_classes
+from cadastra.llm.language_id import fit as fit_languages
+from cadastra.llm.language_id import identify
 from cadastra.llm.minhash import near_classes
 from cadastra.llm.mixing import mix
 from cadastra.llm.quality_rules import fit, judge
@@ -32,6 +35,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    found = identify(docs, fit_languages(docs, held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op8_mix_sources, op9_quality_rules, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op7_language_id, op8_mix_sources, op9_quality_rules, op10_warc)}
 
 #: 32 letters of base32 for the 40 hex digits of SHA-1: five bits at a time.
 _BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || d[1 + 10 * (k // 8):10 + 10 * (k // 8)])::BIGINT >> (35 - 5 * (k % 8))) & 31)]), '')"
