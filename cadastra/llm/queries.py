@@ -13,12 +13,21 @@ from cadastra.llm.language_id import fit as fit_languages
 from cadastra.llm.language_id import identify
 from cadastra.llm.minhash import near_classes
 from cadastra.llm.mixing import mix
+from cadastra.llm.quality_classifier import fit as fit_classifier
+from cadastra.llm.quality_classifier import score
 from cadastra.llm.quality_rules import fit, judge
 from cadastra.llm.sentencepiece_codec import encode_documents
 from cadastra.llm.sharding import kd_shards
 from cadastra.llm.warc import warc_pages
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_rest(F.col("doc_id"), 5) == 0
+    found = score(docs, fit_classifier(docs, table(spark, sf_dir, "labels"), held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -55,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op7_language_id, op8_mix_sources, op9_quality_rules, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op7_language_id, op8_mix_sources, op9_quality_rules, op10_warc)}
 
 #: 32 letters of base32 for the 40 hex digits of SHA-1: five bits at a time.
 _BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || d[1 + 10 * (k // 8):10 + 10 * (k // 8)])::BIGINT >> (35 - 5 * (k % 8))) & 31)]), '')"
