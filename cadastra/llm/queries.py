@@ -11,6 +11,7 @@ from cadastra.llm.common import crc_rest, table
 from cadastra.llm.exact_dedup import exact_classes
 from cadastra.llm.language_id import fit as fit_languages
 from cadastra.llm.language_id import identify
+from cadastra.llm.lm_scoring import lm_scores
 from cadastra.llm.minhash import near_classes
 from cadastra.llm.mixing import mix
 from cadastra.llm.quality_classifier import fit as fit_classifier
@@ -40,6 +41,11 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"))
 
@@ -64,12 +70,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_minhash, op4_kd_shards, op6_exact_dedup, op7_language_id, op8_mix_sources, op9_quality_rules, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_minhash, op4_kd_shards, op5_lm_scoring, op6_exact_dedup, op7_language_id, op8_mix_sources, op9_quality_rules, op10_warc)}
 
 #: 32 letters of base32 for the 40 hex digits of SHA-1: five bits at a time.
 _BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || d[1 + 10 * (k // 8):10 + 10 * (k // 8)])::BIGINT >> (35 - 5 * (k % 8))) & 31)]), '')"
 
 ORACLES: dict[str, str] = {
+    "op5_lm_scoring": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             p AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t WHERE len(ws) > 0),
+             q AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p),
+             c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+                          count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2, count(*) OVER () AS n FROM q),
+             d AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS c0 FROM c),
+             s AS (SELECT doc_id, ln(CASE WHEN i > 1 AND c2 > 0 THEN c2 / c0 WHEN c1 > 0 THEN CASE WHEN i > 1 THEN 0.4 ELSE 1 END * c1 / (n - n_words)
+                                          ELSE CASE WHEN i > 1 THEN 0.16::DOUBLE ELSE 0.4 END / n END) AS s FROM d),
+             g AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
+        SELECT t.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(g.s, 0), 6) AS log_score, round(g.s / nullif(len(ws), 0), 6) AS mean_log_score
+        FROM t LEFT JOIN g USING (doc_id)""",
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
