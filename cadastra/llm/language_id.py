@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadastra.llm.common import cut
 from cadastra.llm.pieces import MARK, MODEL, Vocabulary, blocks, lattice, load
@@ -140,12 +141,12 @@ def fit(docs: DataFrame, held_out, most: int = SAMPLE, model: str = MODEL, round
     return Models(names, p)
 
 
-def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, lang_pred, score.
+def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, lang_pred, score; or the columns in keep (other names than these two) with lang_pred, score.
 
     score is the probability of the predicted language among the learned ones, all alike beforehand. Texts that are null or hold
     no letter, and all texts if no language was learned, are `und` with score 0; ties go to the first language by name. Rows
-    are judged one by one: repeated rows alike; an empty table gives an empty result; columns besides text and doc_id are not read.
+    are judged one by one: repeated rows alike; an empty table gives an empty result; columns besides text, doc_id and keep are not read.
     """
     given = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
         v, m = load(model), given.value
         at, found = {}, np.zeros((0, len(m.languages)), np.float32)
         for b in batches:
-            words = [text_words(x.as_py()) if _LETTER.search(x.as_py() or "") else None for x in b.column(1)]
+            words = [text_words(x.as_py()) if _LETTER.search(x.as_py() or "") else None for x in b.column(0)]
             names, scores = [], []
             # a part of the batch at a time, so that what is held is bounded
             ends = np.flatnonzero(np.diff(np.append(0, np.cumsum([len(w or ()) for w in words]) // 400_000))).tolist()
@@ -176,7 +177,8 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
                     log = found[np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=float)
                     k = int(log.argmax())
                     names.append(m.languages[k]), scores.append(float(1 / np.exp(log - log[k]).sum()))
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kept = [F.col(c) for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    rows = docs.select(F.col(text).cast("string").alias("_text"), *kept)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

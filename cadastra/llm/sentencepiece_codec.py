@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadastra.llm.pieces import CUTS, MARK, MODEL, Vocabulary, blocks, lattice, load
 
@@ -106,11 +107,11 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_pieces, ids, round_trip (whether decoding the ids gives the text).
+def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, or the columns in keep, with n_pieces, ids, round_trip (whether decoding the ids gives the text).
 
     Null and empty texts have no pieces and pass the round trip. Rows are encoded one by one: repeated rows alike; an empty
-    table gives an empty result; columns besides text and doc_id are not read.
+    table gives an empty result; columns besides text, doc_id and keep are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,21 +119,23 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", do
         known = encoder(model)
         for b in batches:
             # a few megabytes at a time, so that what is held doesn't grow with the batch
-            at, sizes = 0, np.diff(np.append(0, np.cumsum([len(x.as_py() or "") for x in b.column(1)]) // 2_000_000))
+            at, sizes = 0, np.diff(np.append(0, np.cumsum([len(x.as_py() or "") for x in b.column(0)]) // 2_000_000))
             for end in [*np.flatnonzero(sizes).tolist(), b.num_rows - 1]:
                 part = b.slice(at, end + 1 - at)
                 at = end + 1
                 if not part.num_rows:
                     continue
-                texts = [x or "" for x in part.column(1).to_pylist()]
+                texts = [x or "" for x in part.column(0).to_pylist()]
                 ids = known.encode(texts)
                 same = [decode(i.tolist(), v) == t for i, t in zip(ids, texts, strict=True)]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                yield pa.record_batch([part.column(0), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+                yield pa.record_batch([*part.columns[1:], pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())], [*part.schema.names[1:], "n_pieces", "ids", "round_trip"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    kept = [F.col(c) for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    rows = docs.select(F.col(text).cast("string").alias("_text"), *kept)
+    made = T.StructType.fromDDL("n_pieces long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *made.fields]))
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
