@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from cadastra.llm.pieces import MARK, MODEL, Vocabulary, blocks, lattice, load
 LONGEST = 64
 #: Probability of a character that is in no piece.
 STRANGE = 1e-7
+#: Words whose probabilities a task keeps.
+KEPT = 400_000
 #: Documents per language that the models are fitted on, on average.
 SAMPLE = 1500
 UNKNOWN = "und"
@@ -154,16 +157,15 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
         v, m = load(model), given.value
         at, found = {}, np.zeros((0, len(m.languages)), np.float32)
         for b in batches:
-            words = [text_words(x.as_py()) if _LETTER.search(x.as_py() or "") else None for x in b.column(0)]
             names, scores = [], []
-            # a part of the batch at a time, so that what is held is bounded
-            ends = np.flatnonzero(np.diff(np.append(0, np.cumsum([len(w or ()) for w in words]) // 400_000))).tolist()
+            # some texts at a time, so that what is held doesn't grow with the batch
+            ends = np.flatnonzero(np.diff(np.append(0, np.cumsum(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)) // 2_000_000))).tolist()
             start = 0
-            for end in [*ends, len(words) - 1]:
-                part, start = words[start : end + 1], end + 1
+            for end in [*ends, b.num_rows - 1]:
+                part, start = [text_words(t) if t and _LETTER.search(t) else None for t in b.column(0).slice(start, end + 1 - start).to_pylist()], end + 1
                 every = {w for ws in part for w in ws or ()}
                 new = [w for w in every if w not in at]
-                if len(at) + len(new) > 1_000_000:
+                if len(at) + len(new) > KEPT:
                     at, found, new = {}, found[:0], list(every)
                 made = [found]
                 for block in blocks(new):
