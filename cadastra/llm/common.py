@@ -49,7 +49,7 @@ class WordHashes(dict):
     """64-bit hashes of words (as bytes), kept while there are not too many, then forgotten as a whole."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

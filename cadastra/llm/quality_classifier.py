@@ -48,7 +48,7 @@ class Slots(dict):
     """Token slots of a word between spaces, kept while there are not too many words."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         out = []
         for t in _TOKEN.findall(word):

@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,7 @@ def best_paths(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
 class Encoder(dict):
     """Piece ids of text segments, kept while there are not too many."""
 
-    def __init__(self, v: Vocabulary, most: int = 500_000):
+    def __init__(self, v: Vocabulary, most: int = 300_000):
         super().__init__()
         self.v, self.most = v, most
 
@@ -119,7 +120,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", do
         known = encoder(model)
         for b in batches:
             # a few megabytes at a time, so that what is held doesn't grow with the batch
-            at, sizes = 0, np.diff(np.append(0, np.cumsum([len(x.as_py() or "") for x in b.column(0)]) // 2_000_000))
+            at, sizes = 0, np.diff(np.append(0, np.cumsum(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)) // 2_000_000))
             for end in [*np.flatnonzero(sizes).tolist(), b.num_rows - 1]:
                 part = b.slice(at, end + 1 - at)
                 at = end + 1
