@@ -96,9 +96,13 @@ class Models:
 def _sampled(docs: DataFrame, most: int, held_out, seed: int) -> DataFrame:
     """About `most` documents of each language by hash of doc_id; rows (lang, text)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    share = rows.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("_share"))
+    # a row a language comes to the driver, so that texts are filtered where they are read
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return rows.select("lang", "text")
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], most / r["n"])]), F.col("lang"))
     at = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return cut(rows.select("lang", "text", at.alias("_at")).join(share, "lang").filter("_at < _share").select("lang", "text"), "language-sample")
+    return cut(rows.filter(at < share).select("lang", "text"), "language-sample")
 
 
 def fit(docs: DataFrame, held_out, most: int = SAMPLE, model: str = MODEL, rounds: int = 1, seed: int = 7) -> Models:
@@ -155,7 +159,7 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = load(model), given.value
-        at, found = {}, np.zeros((0, len(m.languages)), np.float32)
+        at, found = {}, np.zeros((0, m.p.shape[1]), np.float32)
         for b in batches:
             names, scores = [], []
             # some texts at a time, so that what is held doesn't grow with the batch

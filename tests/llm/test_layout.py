@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.llm import warc
-from cadastra.llm.mixing import mix, source_targets
+from cadastra.llm.mixing import _fold, mix, source_targets
 from cadastra.llm.sharding import kd_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, target double"
@@ -91,13 +91,17 @@ def test_mix(spark):
 
 
 def test_expectations(spark):
-    """Over many seeds a document is taken as often as its source's rate says."""
-    rows = [(i, "w " * (5 + i), "ab"[i % 2]) for i in range(12)]
-    total = defaultdict(int)
-    for seed in range(25):
-        for r in mix(frame(spark, rows), seed=100 * seed).collect():
-            total[r["doc_id"]] += r["copies"] - r["target"] / r["source_size"]
-    assert all(abs(x) < 12 for x in total.values()) and abs(sum(total.values())) < 20
+    """Over many equal blocks every document keeps its expected mass, and each block its sum."""
+    sizes, shares = [1, 5, 6, 40, 41, 90], [0.3, 0.5, 0.9, 0.2, 0.55, 0.7]
+    rows = [(k, k * 6 + i, n, 0, p * n) for k in range(4000) for i, (n, p) in enumerate(zip(sizes, shares))]
+    got = _fold(spark.createDataFrame(rows, "k int, doc_id long, size long, base long, mass double"), ["k"], 5)
+    each = got.groupBy((F.col("doc_id") % 6).alias("i")).agg(F.avg("mass").alias("m"), F.count("*").alias("n")).collect()
+    for r in each:
+        n, p = sizes[r["i"]], shares[r["i"]]
+        assert r["n"] == 4000 and abs(r["m"] - p * n) < 5 * n * (p * (1 - p) / 4000) ** 0.5
+    total = sum(p * n for n, p in zip(sizes, shares))
+    assert got.groupBy("k").agg(F.sum("mass").alias("s"), F.count_if(~F.col("done")).alias("open")).filter(f"abs(s - {total}) > 1e-6 or open != 1").isEmpty()
+    assert got.filter("done and mass > 1e-9 and abs(mass - size) > 1e-9").isEmpty()
 
 
 def digest(t):
