@@ -19,12 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     never grows, and a few steps (the logarithm of the longest path) turn each component into a star. Only minima are
     gathered per node; the joins back are plain equi-joins, which adaptive execution splits at a hub with many edges.
     """
-    e, last = cut(_ordered(edges), "edges"), None
+    e = cut(_ordered(edges), "edges")
     while True:
-        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if mark == last:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        last = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _ordered(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -32,3 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         e = cut(_ordered(hung.select("v", F.col("m").alias("u")).unionByName(hung.select(F.col("u").alias("v"), F.col("m").alias("u")))), "small-star")
+        # stars: every node hangs on one other, and none of these hangs itself
+        hangs = e.groupBy("u").agg(F.count("*").alias("n"))
+        if hangs.filter("n > 1").isEmpty() and e.join(hangs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

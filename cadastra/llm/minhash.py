@@ -9,6 +9,11 @@ A bucket is compared as a star: its members with one hub, the member that meets
 confirmed on the full sets and give components. Buckets whose members are not yet in one component get further hubs, more in
 each round, against the members of other components that they have not been compared with, until none is left: pairs
 stay near the number of members where a bucket is one group, and no link between bucket mates is lost.
+
+Shingles that only one candidate has can't be in an intersection. Two documents with n shingles each, c of them shared with anyone,
+have at most min(c) in common, and so in each of CLASSES hash classes of shingles, which bounds their similarity exactly.
+Members that no mate's bound lets link leave their buckets before the first star, and pairs below the bound are not made:
+variants of one text that are too far apart stay cheap.
 """
 
 from __future__ import annotations
@@ -18,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import WordHashes, cut
+from cadastra.llm.common import WordHashes, cut, uniform
 from cadastra.llm.components import components
 
-BINS, ROWS, WORDS = 256, 8, 5
+BINS, ROWS, WORDS, CLASSES = 256, 8, 5, 64
 BANDS = BINS // ROWS
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20)
@@ -89,6 +94,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([shingles(x.as_py(), known).tobytes() for x in b.column(1)], pa.binary())], ["id", "shingles"])
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle; 32 bits will do, since two that fall together only loosen the bound."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)]
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32))], ["id", "h"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, shingles and those that it has alone (folded) to id, size, and how many it shares in all and in each class."""
+    for b in batches:
+        rows = []
+        for x, alone in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            every = np.frombuffer(x.as_py(), np.uint64).astype(np.uint32)
+            count = np.bincount(every % CLASSES, minlength=CLASSES) - np.bincount(np.array(alone or [], np.int32).view(np.uint32) % CLASSES, minlength=CLASSES)
+            rows.append((len(every), int(count.sum()), count))
+        hist = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * CLASSES, pa.int32()), pa.array(np.concatenate([r[2] for r in rows] or [np.zeros(0)]).astype(np.int32)))
+        yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), hist], ["rep", "size", "common", "classes"])
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,35 +155,61 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
     ids = cut(shared.select(F.col("rep").alias("_id")).distinct(), "minhash-ids")
     sets = cut(rows.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
 
+    alone = sets.mapInArrow(_folded, "id long, h int").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("_id"))
+    alone = alone.filter("n = 1").groupBy("_id").agg(F.collect_list("h").alias("alone"))
+    bound = sets.join(alone, F.col("id") == F.col("_id"), "left").select("id", "shingles", "alone")
+    bound = cut(bound.mapInArrow(_shared, "rep long, size long, common long, classes array<int>").dropDuplicates(["rep"]), "minhash-bound")
+
+    def may(a: str, b: str, most: Column | None = None) -> Column:
+        """Whether two documents' bounds let them link."""
+        most = F.least(F.col(f"{a}common"), F.col(f"{b}common")) if most is None else most
+        return 100 * most >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - most)
+
+    shared = shared.join(bound, "rep")
+    best = shared.groupBy("key", F.col("size").alias("_size")).agg(F.max("common").alias("_common"), F.count("*").alias("_n"))
+    live = shared.join(best, "key").filter(may("", "_") & ((F.col("size") != F.col("_size")) | (F.col("_n") > 1)))
+    live = live.groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("reach", "size", "common", "classes")])
+    # The order in which a bucket's members are hubs: the one that meets the most others, then by chance, spread over 0 to n.
+    lead = live.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(-F.col("reach"), F.col("rep")))["rep"].alias("_lead")).filter("_n > 1")
+    turn = F.when(F.col("rep") == F.col("_lead"), F.lit(-1.0)).otherwise(uniform(F.col("rep"), F.col("key"), seed=3) * F.col("_n"))
+    shared = cut(live.join(lead, "key").select("key", "rep", "size", "common", "classes", turn.alias("turn")), "minhash-live")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
         return pairs.join(a, "v").join(b, "u").select("u", "v", "x", "y").mapInArrow(_linked(percent), "u long, v long")
 
-    links, label, tested, hubs = None, None, None, 1
+    in_classes = F.aggregate(F.zip_with("classes", "hub_classes", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x).cast("long")
+    label, tested, served, hubs = None, None, -2.0, 0
     while True:
-        at = shared.withColumn("label", F.col("rep")) if label is None else shared.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "reach", F.coalesce("component", "rep").alias("label"))
-        if label is not None:
-            # of a bucket only what is open goes on: members of more than one component
-            mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            at = cut(at.join(mixed, "key"), "minhash-open")
+        at = shared.filter(F.col("turn") >= served)
+        if label is None:
+            at = at.withColumn("label", F.col("rep"))
+        else:
+            at = at.join(label, F.col("rep") == F.col("id"), "left").select(*shared.columns, F.coalesce("component", "rep").alias("label"))
+            # of a bucket only what is open goes on: members of more than one component that have not been hubs
+            open_ = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+            at = cut(at.join(open_, "key"), "minhash-open")
             if at.isEmpty():
                 break
-        # Hubs are minima, which combine before the shuffle: first the member that meets the most others, then random ones.
-        rank = [F.min(F.struct(-F.col("reach"), F.col("rep")))] if hubs == 1 else [F.min(F.struct(F.xxhash64(F.lit(hubs + k), F.col("rep")), F.col("rep"))) for k in range(hubs)]
-        star = at.groupBy("key").agg(F.array_distinct(F.transform(F.array(*rank), lambda x: x["rep"])).alias("hub")).select("key", F.explode("hub").alias("hub"))
-        star = star.join(at.select("key", F.col("rep").alias("hub"), F.col("label").alias("hub_label")), ["key", "hub"])
-        pairs = at.join(star, "key").filter("rep != hub and label != hub_label").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+        star = at.filter(F.col("turn") < hubs).select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "label", "size", "common", "classes")])
+        pairs = at.join(star, "key").filter((F.col("rep") != F.col("hub_rep")) & (F.col("label") != F.col("hub_label")) & may("", "hub_") & may("", "hub_", in_classes))
+        pairs = pairs.select(F.greatest("rep", "hub_rep").alias("u"), F.least("rep", "hub_rep").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = cut(pairs, "minhash-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(confirm(pairs), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links), "minhash-labels")
+        if label is None:
+            label = cut(components(found), "minhash-labels")
+        elif not found.isEmpty():
+            # what is new joins whole components
+            side = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"f.{c}"))
+            both = found.alias("f").join(label.alias("u"), F.col("f.u") == F.col("u.id"), "left").join(label.alias("v"), F.col("f.v") == F.col("v.id"), "left")
+            new = cut(components(both.select(side("u").alias("u"), side("v").alias("v"))), "minhash-merged").select(F.col("id").alias("_id"), F.col("component").alias("_to"))
+            old = label.join(new, F.col("component") == F.col("_id"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+            label = cut(old.unionByName(new.select(F.col("_id").alias("id"), F.col("_to").alias("component")).join(label.select("id"), "id", "left_anti")), "minhash-labels")
         # hubs have met all that they had to meet; the rest of the bucket goes on without them
-        served = star.select("key", F.col("hub").alias("rep"))
-        shared = cut(at.join(served, ["key", "rep"], "left_anti").select("key", "rep", "reach"), "minhash-left")
-        hubs = hubs * 4
+        served, hubs = float(hubs), max(32, hubs * 32)
 
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set").join(cut(classes, "minhash-classes"), "set", "left")
