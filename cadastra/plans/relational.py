@@ -36,7 +36,7 @@ def _councils(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", lga.alias("lga_name"))
 
 
-@query(f"SELECT c_custkey, lga_name, {_BARE.format(c='lga_name')} AS bare FROM (SELECT c_custkey, {_LGA} AS lga_name FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+@query(f"SELECT c_custkey, lga_name, {_BARE.format(c='lga_name')} AS bare FROM (SELECT c_custkey, {_LGA} AS lga_name FROM customer JOIN nation ON c_nationkey = n_nationkey)", name="lga_normalise")
 def lga_normalise_names(spark, d):
     return _councils(spark, d).withColumn("bare", lga_normalise(F.col("lga_name")))
 

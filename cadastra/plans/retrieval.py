@@ -131,7 +131,7 @@ _CTX = f"""{_RRF}, c AS (SELECT f.id, 'retrieved' AS source, rrf_score, 'sec.' |
 
 
 @query(f"""WITH {_CTX} SELECT pos, pos || '. [' || section || '] (' || upper(doc_type) || ' · ' || type || ')' || chr(10) || '   ' || subject || ' ' || predicate || chr(10) ||
-           CASE WHEN length(span) < 240 THEN '   "' || span || '"' ELSE '   "' || left(span, 240) || '…"' END AS block FROM o""")
+           CASE WHEN length(span) < 240 THEN '   "' || span || '"' ELSE '   "' || left(span, 240) || '…"' END AS block FROM o""", name="context_block")
 def context_blocks(spark, d):
     found = rrf_fusion(spark, d).join(table(spark, d, "documents"), F.col("id") == F.col("doc_id"))
     none = lambda kind: F.lit(None).cast(kind)

@@ -39,12 +39,12 @@ def sse_latest_step(spark, d):
     return rows.groupBy("run_id", "event").agg(F.max_by("text", "seq").alias("text"), F.min("seq").alias("first_seen"))
 
 
-@query("SELECT item_id, i AS pos, text[i * 30 + 1:i * 30 + 30] AS chunk FROM (SELECT item_id, text, unnest(range(ceil(length(text) / 30)::BIGINT)) AS i FROM benchmark)")
+@query("SELECT item_id, i AS pos, text[i * 30 + 1:i * 30 + 30] AS chunk FROM (SELECT item_id, text, unnest(range(ceil(length(text) / 30)::BIGINT)) AS i FROM benchmark)", name="chunk_text")
 def chunk_texts(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(ev.chunk_text(F.col("text"))).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT path, count(*) AS views FROM (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, event_type AS path FROM events) GROUP BY path")
+@query("SELECT path, count(*) AS views FROM (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, event_type AS path FROM events) GROUP BY path", name="page_views")
 def page_view_counts(spark, d):
     session = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     return ev.page_views(table(spark, d, "events").select(session.alias("session_id"), F.col("event_type").alias("path")))

@@ -18,12 +18,12 @@ def src_title_index(spark, d):
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
            b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM a)
-           SELECT page_id, trim(regexp_replace(t, '[ \t\n\r\f]+', ' ', 'g')) AS body FROM b""")
+           SELECT page_id, trim(regexp_replace(t, '[ \t\n\r\f]+', ' ', 'g')) AS body FROM b""", name="html_clean")
 def html_clean_pages(spark, d):
     return table(spark, d, "pages").select("page_id", html_clean(F.col("html")).alias("body"))
 
 
-@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped FROM pages""")
+@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped FROM pages""", name="html_escape")
 def html_escape_pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(html_escape(F.col("html"))).alias("escaped"))
 
@@ -37,7 +37,7 @@ def _clauses(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_name", text.alias("text"))
 
 
-@query(f"SELECT p_partkey, 'R' || (p_size % 6) || ',' || upper(left(p_type, 2)) || (p_size % 3) AS zones FROM (SELECT *, {_CLAUSE} AS text FROM part)")
+@query(f"SELECT p_partkey, 'R' || (p_size % 6) || ',' || upper(left(p_type, 2)) || (p_size % 3) AS zones FROM (SELECT *, {_CLAUSE} AS text FROM part)", name="zone_mentions")
 def zone_mention_codes(spark, d):
     return _clauses(spark, d).select("p_partkey", F.array_join(zone_mentions(F.col("text")), ",").alias("zones"))
 
@@ -49,7 +49,7 @@ def clause_zone_explode(spark, d):
     return zones.withColumn("family", zone_family(F.col("zone")))
 
 
-@query(f"SELECT p_partkey, '4.' || p_size || 'A|' || p_partkey AS refs FROM (SELECT *, {_CLAUSE} AS text FROM part)")
+@query(f"SELECT p_partkey, '4.' || p_size || 'A|' || p_partkey AS refs FROM (SELECT *, {_CLAUSE} AS text FROM part)", name="clause_refs")
 def clause_ref_numbers(spark, d):
     return _clauses(spark, d).select("p_partkey", F.array_join(clause_refs(F.col("text")), "|").alias("refs"))
 
@@ -83,7 +83,7 @@ def slugify(spark, d):
 
 @query("""WITH z AS (SELECT p_partkey, CASE p_size % 11 WHEN 0 THEN 'RU' WHEN 1 THEN 'R' WHEN 2 THEN 'B' WHEN 3 THEN 'MU' WHEN 4 THEN 'IN' WHEN 5 THEN 'SP' WHEN 6 THEN 'RE' WHEN 7 THEN 'C' WHEN 8 THEN 'W' WHEN 9 THEN 'E' ELSE 'DM' END || (p_size % 4) AS zone FROM part)
           SELECT p_partkey, zone, CASE WHEN zone LIKE 'RU%' THEN 'rural' WHEN regexp_matches(zone, '^R[0-9]') THEN 'residential' WHEN zone LIKE 'B%' THEN 'business' WHEN zone LIKE 'MU%' THEN 'mixed use' WHEN zone LIKE 'IN%' THEN 'industrial'
-          WHEN zone LIKE 'SP%' THEN 'special purpose' WHEN zone LIKE 'RE%' THEN 'recreation' WHEN zone LIKE 'C%' THEN 'conservation' WHEN zone LIKE 'W%' THEN 'waterway' WHEN zone LIKE 'E%' THEN 'employment' ELSE 'other' END AS family FROM z""")
+          WHEN zone LIKE 'SP%' THEN 'special purpose' WHEN zone LIKE 'RE%' THEN 'recreation' WHEN zone LIKE 'C%' THEN 'conservation' WHEN zone LIKE 'W%' THEN 'waterway' WHEN zone LIKE 'E%' THEN 'employment' ELSE 'other' END AS family FROM z""", name="zone_family")
 def zone_families(spark, d):
     codes = F.array(*[F.lit(x) for x in ("RU", "R", "B", "MU", "IN", "SP", "RE", "C", "W", "E", "DM")])
     zone = F.concat(F.element_at(codes, F.col("p_size") % 11 + 1), (F.col("p_size") % 4).cast("string"))
@@ -91,7 +91,7 @@ def zone_families(spark, d):
 
 
 @query("""WITH h AS (SELECT p_partkey, list_reduce(list_transform(string_split(p_name || p_type, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS h FROM part)
-          SELECT p_partkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM h""")
+          SELECT p_partkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM h""", name="rolling_hash")
 def rolling_hashes(spark, d):
     return table(spark, d, "part").select("p_partkey", rolling_hash(F.concat("p_name", "p_type")).alias("h"))
 
