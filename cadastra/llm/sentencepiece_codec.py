@@ -71,7 +71,7 @@ def best_paths(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
 class Encoder(dict):
     """Piece ids of text segments, kept while there are not too many."""
 
-    def __init__(self, v: Vocabulary, most: int = 300_000):
+    def __init__(self, v: Vocabulary, most: int = 600_000):
         super().__init__()
         self.v, self.most = v, most
 
