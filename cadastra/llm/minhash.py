@@ -2,8 +2,8 @@
 
 One pass turns each text into its set of word shingles and that into BINS minima of one hash (the top bits choose the bin). An
 empty bin takes the value of the first filled bin in a random order of its own, so that short texts collide as often as their
-similarity says. ROWS neighbouring bins make a band; documents that agree in a band share its bucket. Documents with equal
-sets are one representative from here on, however many they are.
+similarity says. ROWS neighbouring bins make a band, or fewer where the least similarity asks for it (band_rows); documents that
+agree in a band share its bucket. Documents with equal sets are one representative from here on, however many they are.
 
 A bucket is compared as a star: its members with one hub, the member that meets the most others over all buckets. Links are
 confirmed on the full sets and give components. Buckets whose members are not yet in one component get further hubs, more in
@@ -30,13 +30,14 @@ from cadastra.llm.common import WordHashes, cut, uniform
 from cadastra.llm.components import components
 
 BINS, ROWS, WORDS, CLASSES = 256, 8, 5, 64
-BANDS = BINS // ROWS
+#: The share of links at the least similarity that may have no band in common.
+MISSED = 1 / 25_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20)
 #: _ORDER[i, j]: where bin j stands in the order in which an empty bin i looks for a value.
 _ORDER = np.argsort(_random.random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int16)
 _COEF = _random.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-_SALT = _random.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_SALT = _random.integers(1, 1 << 63, BINS, dtype=np.uint64)
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
 
 
@@ -46,6 +47,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def band_rows(percent: int) -> int:
+    """The most bins a band, ROWS at most, with which links at this similarity are missed no more often than MISSED."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED), 1)
+
+
 def shingles(text: str | None, known: dict) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's WORDS-word shingles.
 
@@ -75,17 +81,22 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for b in batches:
-        sets = [shingles(x.as_py(), known) for x in b.column(1)]
-        sigs = np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]) if sets else np.zeros((0, BINS), np.uint64)
-        keys = _mixed((sigs.reshape(-1, BANDS, ROWS) * _COEF).sum(axis=2, dtype=np.uint64) + _SALT).view(np.int64)
-        # documents without shingles have no bands
-        some = np.array([len(s) > 0 for s in sets], bool)
-        ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
-        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), bands], ["doc_id", "n_shingles", "set", "bands"])
+def _signed(rows: int):
+    bands = BINS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            sets = [shingles(x.as_py(), known) for x in b.column(1)]
+            sigs = np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]) if sets else np.zeros((0, BINS), np.uint64)
+            keys = _mixed((sigs[:, : bands * rows].reshape(-1, bands, rows) * _COEF[:rows]).sum(axis=2, dtype=np.uint64) + _SALT[:bands]).view(np.int64)
+            # documents without shingles have no bands
+            some = np.array([len(s) > 0 for s in sets], bool)
+            ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "set", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +151,7 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
     empty result; columns besides text and doc_id are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(_signed, "doc_id long, n_shingles long, set binary, bands array<long>"), "minhash-signed")
+    signed = cut(rows.mapInArrow(_signed(band_rows(percent)), "doc_id long, n_shingles long, set binary, bands array<long>"), "minhash-signed")
     full = signed.filter("n_shingles > 0")
     reps = full.groupBy("set").agg(F.min("doc_id").alias("rep"))
     # the row that stands for a set; rows that repeat its doc_id say the same

@@ -19,6 +19,8 @@ from cadastra.llm.sentencepiece_codec import encode_documents
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less probable than this among the learned ones is rejected.
 LEAST = 0.5
+#: Documents that share so many percent of their five-word shingles are near-duplicates.
+NEAR = 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, that with the smallest doc_id."""
-    return _without(docs, near_classes(docs).filter("not kept and doc_id is not null"))
+    return _without(docs, near_classes(docs, percent=NEAR).filter("not kept and doc_id is not null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
