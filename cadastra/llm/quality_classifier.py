@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
-Every token has a sparse random index vector. A token's word vector is the sum of the index vectors of its neighbours over a bounded
-sample of labelled documents, brought to unit length; tokens share SLOTS places by hash, so that the table's size is fixed however
-many words there are. A document is the mean and the spread of its tokens' vectors. A network with one hidden layer, written
+Every token has a sparse random index vector. A token's word vector is the sum of the index vectors of its neighbours over all
+documents, brought to unit length; tokens share SLOTS places by hash, so that the table's size is fixed however many words there
+are. A document is the mean and the spread of its tokens' vectors. A network with one hidden layer, written
 in numpy, turns that into a logit, which a temperature fitted on rows apart divides, so that the score is a probability.
 
 Tokens are runs of letters, digits or other signs; capitals and a repetition of the token before are tokens of their own, since what
@@ -151,12 +151,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", most: int = 8000, seed: int = 5) -> Classifier:
     """A classifier for a label of 0 and 1, fitted on up to `most` labelled documents that are not held out.
 
-    The driver gets sums for SLOTS slots and a row of fixed size for each sampled document.
+    The word vectors need no label and sum over the texts of all docs; network and temperature see the sample alone. The driver gets sums for SLOTS slots and a row of fixed size for each sampled document.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, most, held_out, seed)
     cols = [f"c{k}" for k in range(SIZE)]
-    sums = sample.select("text").mapInArrow(_contexts, "slot long, " + ", ".join(f"{c} double" for c in cols))
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "slot long, " + ", ".join(f"{c} double" for c in cols))
     sums = sums.groupBy("slot").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
     vectors = np.zeros((SLOTS, SIZE), np.float32)
     vectors[sums.column("slot").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in cols], axis=1)
