@@ -1,11 +1,13 @@
 """A public piece vocabulary as an Aho-Corasick automaton, and lattices of all pieces that occur in many strings at once.
 
 No piece holds a word mark or a line end after another character, so text may be cut before the mark of each word and around
-line ends without losing a segmentation. Words repeat; what is found for a word is kept per task and bounded.
+line ends without losing a segmentation. A long word may also be cut wherever no piece reaches across, which leaves text without
+spaces in short parts. Words repeat; what is found for a word is kept per task, up to a number of bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +32,7 @@ class Vocabulary:
     byte_id: list[int]
     automaton: ahocorasick.Automaton
     longest: int
+    sizes: np.ndarray
 
 
 @cache
@@ -54,7 +57,7 @@ def load(model: str = MODEL) -> Vocabulary:
     scores = np.array([sp.get_score(i) for i in range(n)])
     # Runs of word marks carry a stand-in for "none" in the file; they rank below all scored pieces, above bytes.
     scores[scores < UNSCORED] = scores[scores >= UNSCORED].min() - 1
-    return Vocabulary(pieces, scores, bytes_of, byte_id, automaton, longest)
+    return Vocabulary(pieces, scores, bytes_of, byte_id, automaton, longest, np.array([len(p) for p in pieces]))
 
 
 #: Marks with what follows them up to the next mark; line ends stand alone.
@@ -74,7 +77,9 @@ class Lattice:
     def waves(self) -> Iterator[tuple[int, int, slice]]:
         """(end, length, rows) in rising order of end; a word has at most one row in each."""
         key = self.end << 8 | (self.end - self.start)
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        if not len(key):
+            return
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         for a, b in zip(at, np.append(at[1:], len(key)), strict=True):
             yield int(self.end[a]), int(self.end[a] - self.start[a]), slice(int(a), int(b))
 
@@ -92,6 +97,25 @@ def lattice(words: list[str], automaton: ahocorasick.Automaton) -> Lattice:
     return Lattice(lengths, word, stop - size, stop, piece)
 
 
+def uncrossed(word: str, automaton: ahocorasick.Automaton) -> list[str]:
+    """The word in parts, cut wherever no piece reaches across: each segmentation of the word is one of each part, joined."""
+    cross = np.zeros(len(word) + 1, np.int32)
+    for end, x in automaton.iter(word):
+        cross[end + 2 - (x & 0xFF)] += 1
+        cross[end + 1] -= 1
+    at = [0, *(np.flatnonzero(np.cumsum(cross)[1:-1] == 0) + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in itertools.pairwise(at)]
+
+
+def parts(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
+    """Rows in turn, about `most` bytes of text at a time, so that what is held doesn't grow with the batch."""
+    at = 0
+    for end in [*np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)).tolist(), len(sizes) - 1]:
+        if end >= at:
+            yield slice(at, end + 1)
+            at = end + 1
+
+
 def blocks(words: list[str], most: int = 8192) -> Iterator[list[str]]:
     """The words from short to long in blocks whose padded length is bounded."""
     words, at = sorted(words, key=len), 0

@@ -8,6 +8,8 @@ bytes, so that decode(encode(text)) is the text, whatever it holds.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -19,15 +21,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.llm.pieces import CUTS, MARK, MODEL, Vocabulary, blocks, lattice, load
+from cadastra.llm.pieces import CUTS, MARK, MODEL, Vocabulary, blocks, lattice, load, parts, uncrossed
 
 
 #: The score of a character in bytes: so low that it is a last resort.
 BYTES = -1e7
-
-
-def best_paths(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
-    """The piece ids of each word on its best path; a word is free of line ends unless it is one."""
+#: Segments above this length are cut where no piece reaches across; what is still longer is searched by itself.
+LONG = 256
+
+
+def _ids(word: str, path: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The path with the bytes of the characters that stand for themselves (-1)."""
+    ids, i = [], 0
+    for x in path.tolist():
+        ids += [x] if x >= 0 else [v.byte_id[b] for b in word[i].encode("utf-8", "replace")]
+        i += len(v.pieces[x]) if x >= 0 else 1
+    return np.array(ids, np.int32)
+
+
+def best_path(word: str, v: Vocabulary) -> np.ndarray:
+    """The piece ids of one long word: the same search as best_paths, position by position."""
+    n, done = len(word), 0
+    best, step, piece = array("d", [0.0]) + array("d", [-math.inf]) * n, array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+    scores = v.scores.tolist()
+    for last, x in chain(v.automaton.iter(word), [(n - 1, 0)]):
+        end, i, size = last + 1, x >> 8, x & 0xFF
+        while done < end:
+            done += 1
+            best[done], step[done] = best[done - 1] + BYTES, 1
+        if not size:
+            continue
+        s = best[end - size] + scores[i]
+        if s > best[end] or (s == best[end] and piece[end] >= 0 and size < step[end]):
+            best[end], step[end], piece[end] = s, size, i
+    path, at = [], n
+    while at:
+        path.append(piece[at])
+        at -= step[at]
+    return _ids(word, np.array(path[::-1], np.int32), v)
+
+
+def best_paths(words: list[str], v: Vocabulary) -> list[np.ndarray]:
+    """The piece ids of each word on its best path; a word is free of line ends unless it is one.
+
+    Of paths with equal sums the one whose last piece is the shortest is taken, then the one before it, and so on.
+    """
     lat = lattice(words, v.automaton)
     m, width = len(words), int(lat.lengths.max()) if len(words) else 0
     best = np.full((m, width + 1), -np.inf)
@@ -56,45 +94,43 @@ def best_paths(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     while at.any():
         columns.append(np.where(at > 0, piece[rows, at], -2))
         at -= np.where(at > 0, step[rows, at], 0)
-    table = np.stack(columns[::-1], axis=1) if columns else np.zeros((m, 0), np.int32)
+    table = np.stack(columns[::-1], axis=1).astype(np.int32) if columns else np.zeros((m, 0), np.int32)
     sizes, spelled = (table != -2).sum(axis=1).tolist(), set(np.flatnonzero((table == -1).any(axis=1)).tolist())
-    out = [tuple(x[len(x) - n :]) for x, n in zip(table.tolist(), sizes, strict=True)]
+    out = [x[len(x) - n :] for x, n in zip(table, sizes, strict=True)]
     for k in spelled:
-        ids, i = [], 0
-        for x in out[k]:
-            ids += [x] if x >= 0 else [v.byte_id[b] for b in words[k][i].encode("utf-8", "replace")]
-            i += len(v.pieces[x]) if x >= 0 else 1
-        out[k] = tuple(ids)
+        out[k] = _ids(words[k], out[k], v)
     return out
 
 
 class Encoder(dict):
-    """Piece ids of text segments, kept while there are not too many."""
+    """Piece ids (as bytes of int32) of text segments, kept up to about `most` bytes, then forgotten as a whole."""
 
-    def __init__(self, v: Vocabulary, most: int = 300_000):
+    def __init__(self, v: Vocabulary, most: int = 32_000_000):
         super().__init__()
-        self.v, self.most = v, most
+        self.v, self.most, self.held = v, most, 0
 
     def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self]
-        if len(self) + len(new) > self.most:
+        if self.held > self.most:
             self.clear()
-            new = list(segments)
-        for block in blocks(new):
-            self.update(zip(block, best_paths(block, self.v), strict=True))
+            self.held = 0
+        new = [s for s in segments if s not in self]
+        for block in blocks([s for s in new if len(s) <= LONG]):
+            for s, ids in zip(block, best_paths(block, self.v), strict=True):
+                self[s] = ids.tobytes()
+        for s in new:
+            if len(s) > LONG:
+                split = uncrossed(s, self.v.automaton)
+                short = list({x for x in split if len(x) <= LONG})
+                known = {x: ids for block in blocks(short) for x, ids in zip(block, best_paths(block, self.v), strict=True)}
+                self[s] = b"".join((known[x] if x in known else best_path(x, self.v)).tobytes() for x in split)
+            self.held += 250 + len(s) + len(self[s])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. A word mark that stands in a text is spelled in bytes, so that decoding tells it from a space."""
-        spelled = tuple(self.v.byte_id[b] for b in MARK.encode())
+        spelled = np.array([self.v.byte_id[b] for b in MARK.encode()], np.int32).tobytes()
         cut = [[CUTS.findall(x.replace(" ", MARK)) for x in (" " + t).split(MARK)] if MARK in t else [CUTS.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts]
         self.learn({s for parts in cut for p in parts for s in p})
-        out = []
-        for parts in cut:
-            ids: list = []
-            for k, p in enumerate(parts):
-                ids += [spelled] * (k > 0) + [self[s] for s in p]
-            out.append(np.fromiter(chain.from_iterable(ids), np.int32))
-        return out
+        return [np.frombuffer(spelled.join(b"".join(map(self.__getitem__, p)) for p in parts), np.int32) for parts in cut]
 
 
 @cache
@@ -112,20 +148,18 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", do
     """One row for each row of docs: doc_id, or the columns in keep, with n_pieces, ids, round_trip (whether decoding the ids gives the text).
 
     Null and empty texts have no pieces and pass the round trip. Rows are encoded one by one: repeated rows alike; an empty
-    table gives an empty result; columns besides text, doc_id and keep are not read.
+    table gives an empty result; columns besides text, doc_id and keep are not read. keep may not name the three made columns
+    (ValueError). Texts of any length are encoded whole, with or without spaces.
     """
+    if clash := {"n_pieces", "ids", "round_trip", "_text"} & set(keep or []):
+        raise ValueError(f"keep names columns that are made: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
         known = encoder(model)
         for b in batches:
-            # a few megabytes at a time, so that what is held doesn't grow with the batch
-            at, sizes = 0, np.diff(np.append(0, np.cumsum(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)) // 2_000_000))
-            for end in [*np.flatnonzero(sizes).tolist(), b.num_rows - 1]:
-                part = b.slice(at, end + 1 - at)
-                at = end + 1
-                if not part.num_rows:
-                    continue
+            for rows in parts(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)):
+                part = b.slice(rows.start, rows.stop - rows.start)
                 texts = [x or "" for x in part.column(0).to_pylist()]
                 ids = known.encode(texts)
                 same = [decode(i.tolist(), v) == t for i, t in zip(ids, texts, strict=True)]
