@@ -1,7 +1,7 @@
 """A training corpus from documents: language ID, exact dedup, near-dedup, mixing of sources, SentencePiece encoding.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Rows without a doc_id can't be named by
-another row's decision: the dedup stages leave them in, mixing takes them out.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. A row is a row whatever its doc_id: rows that
+share one or have none are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -17,15 +17,31 @@ from cadastra.llm.mixing import mix
 from cadastra.llm.sentencepiece_codec import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose language is less probable than this among the learned ones is rejected.
+#: A document whose language is less probable than this among the learned ones and none of them is rejected.
 LEAST = 0.5
 #: Documents that share so many percent of their five-word shingles are near-duplicates.
 NEAR = 80
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents with _id: a number that each row has alone, in the order of doc_id.
+
+    Where every row has a doc_id of its own, that is it. Else the rows are sorted by doc_id (null last), then content, and written with
+    their places; repeated rows are spread over the sort's partitions by their places in the files.
+    """
+    docs = docs.select(*COLUMNS)
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        return docs.withColumn("_id", F.col("doc_id").cast("long"))
+    content = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))])
+    keyed = docs.withColumn("_hash", content).withColumn("_place", F.monotonically_increasing_id())
+    rows = keyed.orderBy(F.asc_nulls_last("doc_id"), "_hash", "_place").select(*COLUMNS, F.monotonically_increasing_id().alias("_id"))
+    return cut(rows, "numbered")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the doc_ids in dropped; these are written first, so that Spark broadcasts them only where it knows them to be small."""
-    return docs.select(*COLUMNS).join(cut(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    """docs but for the _ids in dropped; these are written first, so that Spark broadcasts them only where it knows them to be small."""
+    return docs.join(cut(dropped.select(F.col("doc_id").alias("_id")), "dropped"), "_id", "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +52,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts; a row that is there more than once stays once."""
-    classes = cut(exact_classes(docs).filter("doc_id is not null"), "exact-decisions")
-    out = _without(docs, classes.filter("not kept"))
-    again = cut(classes.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return out.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    """One row of each class of equal texts: the longest original, then the smallest doc_id."""
+    docs = _numbered(docs)
+    return _without(docs, exact_classes(docs, doc_id="_id").filter("not kept"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest doc_id."""
-    return _without(docs, near_classes(docs, percent=NEAR).filter("not kept and doc_id is not null"))
+    """One row of each component of near-duplicates, that with the smallest doc_id (rows without one come last)."""
+    docs = _numbered(docs)
+    return _without(docs, near_classes(docs, percent=NEAR, doc_id="_id").filter("not kept"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, from not at all to three times."""
-    copies = mix(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.select(*COLUMNS).join(copies, "doc_id")
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*COLUMNS)
+    """Each row as many times as the mix takes it, from not at all to three times."""
+    docs = _numbered(docs)
+    copies = mix(docs, doc_id="_id").filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    taken = docs.join(copies, "_id")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
