@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from cadastra.llm import warc
-from cadastra.llm.mixing import _fold, mix, source_targets
+from cadastra.llm.mixing import _fold, _settle, mix, source_targets
+from cadastra.llm.queries import QUERIES
 from cadastra.llm.sharding import kd_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, target double"
@@ -83,18 +84,60 @@ def test_mix(spark):
         ratio = r["target"] / r["source_size"] if r["source_size"] else 0
         assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] and abs(r["copies"] - ratio) < 1
     assert target == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}
-    for s in names:
-        assert abs(taken[s] - target[s]) <= 5000 if s == "b" else abs(taken[s] - target[s]) <= 211
+    # what is left over is the rounding of a small document, also beside one of 5,000 words
+    assert all(abs(taken[s] - target[s]) <= 10 for s in names)
     again = {r["doc_id"]: r["taken"] for r in mix(frame(spark, rows).repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
     assert mix(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_mix_repeated_and_null_ids(spark):
+    """A third of all rows is one row, another third has no id: all are rows of their own, in blocks of bounded size."""
+    rows = [(7, "a b c d e f g", "s")] * 1500 + [(None, "w " * (i % 50 + 1), "s") for i in range(1500)] + [(i, "x " * (i % 90), "t" if i % 3 else None) for i in range(1500)]
+    got = mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+    same = [r["copies"] for r in got if r["doc_id"] == 7]
+    assert set(same) <= {int(target["s"] / sum(len(t.split()) for _, t, s in rows if s == "s")) + k for k in (0, 1)}
+
+
+def test_settled_masses_keep_expectations(spark):
+    sizes, p = [900, 500, 60, 50, 40, 30, 20, 10, 9, 8, 7, 5, 3, 2, 1, 1] + [30] * 40, 0.4
+    rows = [(str(k), k * 100 + i, k * 100 + i, n, 0, p * n) for k in range(1500) for i, n in enumerate(sizes)]
+    got = _settle(spark.createDataFrame(rows, "source string, doc_id long, _key long, size long, base long, mass double"), 5).cache()
+    assert got.count() == len(rows) and got.filter("mass > 1e-6 and abs(mass - size) > 1e-6").isEmpty()
+    sums = [r["s"] for r in got.groupBy("source").agg(F.sum("mass").alias("s")).collect()]
+    assert max(abs(s - p * sum(sizes)) for s in sums) <= 1
+    for r in got.groupBy((F.col("doc_id") % 100).alias("i")).agg(F.avg("mass").alias("m")).collect():
+        n = sizes[r["i"]]
+        # the smallest ones, which make up for those before them, are rounded to the nearer end at times
+        assert abs(r["m"] - p * n) < 5 * n * (p * (1 - p) / 1500) ** 0.5 + (max(1, 0.25 * n) if n < 30 else 0)
+
+
+def test_registered_mix_query(spark, tmp_path):
+    rows = [(i, "w " * (i * 53 % 300), f"s{i % 4}") for i in range(800)] + [(9000, None, "s1"), (9001, "  ", None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_mix_sources"](spark, str(tmp_path)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want, taken, of = brute_targets(dict(sizes)), Counter(), {i: (len((t or "").split()), s) for i, t, s in rows}
+    for r in got:
+        n, s = of[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (n, sizes[s]) and r["target"] == pytest.approx(want[s]) and r["taken"] <= 3 * n
+        taken[s] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 5 for s in sizes)
+
+
 def test_expectations(spark):
     """Over many equal blocks every document keeps its expected mass, and each block its sum."""
     sizes, shares = [1, 5, 6, 40, 41, 90], [0.3, 0.5, 0.9, 0.2, 0.55, 0.7]
-    rows = [(k, k * 6 + i, n, 0, p * n) for k in range(4000) for i, (n, p) in enumerate(zip(sizes, shares))]
-    got = _fold(spark.createDataFrame(rows, "k int, doc_id long, size long, base long, mass double"), ["k"], 5)
+    rows = [(k, k * 6 + i, k * 6 + i, n, 0, p * n) for k in range(4000) for i, (n, p) in enumerate(zip(sizes, shares))]
+    got = _fold(spark.createDataFrame(rows, "k int, doc_id long, _key long, size long, base long, mass double"), ["k"], 5)
     each = got.groupBy((F.col("doc_id") % 6).alias("i")).agg(F.avg("mass").alias("m"), F.count("*").alias("n")).collect()
     for r in each:
         n, p = sizes[r["i"]], shares[r["i"]]
