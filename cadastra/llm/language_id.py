@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadastra.llm.common import cut
-from cadastra.llm.pieces import MARK, MODEL, Vocabulary, blocks, lattice, load, parts, uncrossed
+from cadastra.llm.pieces import MARK, MODEL, Known, Vocabulary, blocks, lattice, load, parts, uncrossed
 
 #: Words above this length are cut where no piece reaches across (which changes no sum); what is still longer is summed in logarithms.
 LONG = 64
@@ -33,7 +34,7 @@ UNIT = 1e3
 #: Probability of a character that is in no piece.
 STRANGE = 1e-7
 #: Bytes that a task takes for the words whose probabilities it keeps.
-KEPT = 32_000_000
+KEPT = 36_000_000
 #: Documents per language that the models are fitted on, on average.
 SAMPLE = 1500
 UNKNOWN = "und"
@@ -222,25 +223,20 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = load(model), given.value
         p = m.with_none()
-        at, found, held = {}, np.zeros((0, p.shape[1]), np.float32), 0
+        known = Known(KEPT)
         for b in batches:
             names, scores = [], []
             for rows in parts(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)):
                 part = [text_words(t, v) if t and _LETTER.search(t) else None for t in b.column(0).slice(rows.start, rows.stop - rows.start).to_pylist()]
-                if held > KEPT:
-                    at, found, held = {}, found[:0], 0
-                new = [w for w in {w for ws in part for w in ws or ()} if w not in at]
-                held += sum(200 + len(w) for w in new)
-                made = [found]
+                new = known.lacking(set(chain.from_iterable(ws or () for ws in part)))
                 for block in [*blocks([w for w in new if len(w) <= LONG]), *([w] for w in new if len(w) > LONG)]:
-                    at.update(zip(block, range(len(at), len(at) + len(block)), strict=True))
-                    made.append(forward(block, p, v)[0].astype(np.float32))
-                found = np.concatenate(made)
+                    for w, log in zip(block, forward(block, p, v)[0].astype(np.float32), strict=True):
+                        known.put(w, log.tobytes())
                 for ws in part:
                     if ws is None or not m.languages:
                         names.append(UNKNOWN), scores.append(0.0)
                         continue
-                    log = found[np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=float)
+                    log = np.frombuffer(known.joined(ws), np.float32).reshape(-1, p.shape[1]).sum(axis=0, dtype=float)
                     k = int(log[:-1].argmax())
                     names.append(m.languages[k]), scores.append(float(np.exp(log[k] - _logsum(log))))
             yield pa.record_batch([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])

@@ -88,8 +88,8 @@ def lattice(words: list[str], automaton: ahocorasick.Automaton) -> Lattice:
     """One pass of the automaton over the words, joined by a line end, which no piece holds; its output links give every match."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(lengths + 1) - lengths - 1
-    flat = np.fromiter((end << 32 | x for end, x in automaton.iter("\n".join(words))), np.int64)
-    end, piece, size = flat >> 32, flat >> 8 & 0xFFFFFF, flat & 0xFF
+    end, found = np.fromiter(itertools.chain.from_iterable(automaton.iter("\n".join(words))), np.int64).reshape(-1, 2).T
+    piece, size = found >> 8, found & 0xFF
     word = np.searchsorted(first, end, side="right") - 1
     stop = end - first[word] + 1
     order = np.argsort(stop << 8 | size, kind="stable")
@@ -107,7 +107,38 @@ def uncrossed(word: str, automaton: ahocorasick.Automaton) -> list[str]:
     return [word[a:b] for a, b in itertools.pairwise(at)]
 
 
-def parts(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
+class Known:
+    """What was found for strings, as bytes, in two generations of up to about `most` bytes.
+
+    When the newer is full it becomes the older, which is forgotten as a whole; what is asked for again moves to the newer.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.held, self.new, self.old = most, 0, {}, {}
+
+    def put(self, word: str, value: bytes) -> None:
+        self.new[word] = value
+        self.held += 200 + len(word) + len(value)
+
+    def lacking(self, words: set[str]) -> list[str]:
+        """The words that have to be found out; all others are in the newer generation from now on."""
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+        out = []
+        for w in words:
+            if w not in self.new:
+                value = self.old.get(w)
+                if value is None:
+                    out.append(w)
+                else:
+                    self.put(w, value)
+        return out
+
+    def joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.new.__getitem__, words))
+
+
+def parts(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
     """Rows in turn, about `most` bytes of text at a time, so that what is held doesn't grow with the batch."""
     at = 0
     for end in [*np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)).tolist(), len(sizes) - 1]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.llm.pieces import CUTS, MARK, MODEL, Vocabulary, blocks, lattice, load, parts, uncrossed
+from cadastra.llm.pieces import CUTS, MARK, MODEL, Known, Vocabulary, blocks, lattice, load, parts, uncrossed
 
 
 #: The score of a character in bytes: so low that it is a last resort.
@@ -102,35 +102,29 @@ def best_paths(words: list[str], v: Vocabulary) -> list[np.ndarray]:
     return out
 
 
-class Encoder(dict):
-    """Piece ids (as bytes of int32) of text segments, kept up to about `most` bytes, then forgotten as a whole."""
+class Encoder:
+    """Piece ids (as bytes of int32) of text segments; what was found is kept up to a number of bytes."""
 
-    def __init__(self, v: Vocabulary, most: int = 32_000_000):
-        super().__init__()
-        self.v, self.most, self.held = v, most, 0
+    def __init__(self, v: Vocabulary, most: int = 36_000_000):
+        self.v, self.known = v, Known(most)
 
     def learn(self, segments: set[str]) -> None:
-        if self.held > self.most:
-            self.clear()
-            self.held = 0
-        new = [s for s in segments if s not in self]
+        new = self.known.lacking(segments)
         for block in blocks([s for s in new if len(s) <= LONG]):
             for s, ids in zip(block, best_paths(block, self.v), strict=True):
-                self[s] = ids.tobytes()
+                self.known.put(s, ids.tobytes())
         for s in new:
             if len(s) > LONG:
                 split = uncrossed(s, self.v.automaton)
-                short = list({x for x in split if len(x) <= LONG})
-                known = {x: ids for block in blocks(short) for x, ids in zip(block, best_paths(block, self.v), strict=True)}
-                self[s] = b"".join((known[x] if x in known else best_path(x, self.v)).tobytes() for x in split)
-            self.held += 250 + len(s) + len(self[s])
+                found = {x: ids for block in blocks(list({x for x in split if len(x) <= LONG})) for x, ids in zip(block, best_paths(block, self.v), strict=True)}
+                self.known.put(s, b"".join((found[x] if x in found else best_path(x, self.v)).tobytes() for x in split))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. A word mark that stands in a text is spelled in bytes, so that decoding tells it from a space."""
         spelled = np.array([self.v.byte_id[b] for b in MARK.encode()], np.int32).tobytes()
         cut = [[CUTS.findall(x.replace(" ", MARK)) for x in (" " + t).split(MARK)] if MARK in t else [CUTS.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts]
-        self.learn({s for parts in cut for p in parts for s in p})
-        return [np.frombuffer(spelled.join(b"".join(map(self.__getitem__, p)) for p in parts), np.int32) for parts in cut]
+        self.learn(set(chain.from_iterable(chain.from_iterable(cut))))
+        return [np.frombuffer(spelled.join(map(self.known.joined, p)), np.int32) for p in cut]
 
 
 @cache

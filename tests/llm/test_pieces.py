@@ -9,7 +9,7 @@ import pytest
 
 from cadastra.llm import language_id as lid
 from cadastra.llm import sentencepiece_codec as sc
-from cadastra.llm.pieces import CUTS, MARK, lattice, load, parts, uncrossed
+from cadastra.llm.pieces import CUTS, MARK, Known, lattice, load, parts, uncrossed
 from cadastra.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, lang_pred string"
@@ -57,7 +57,12 @@ def test_an_encoder_forgets_by_bytes():
     e = sc.Encoder(load(), most=5000)
     for i in range(50):
         assert sc.decode(e.encode([f"word{i} other{i * 7}"])[0].tolist(), e.v) == f"word{i} other{i * 7}"
-        assert e.held < 8000
+        assert e.known.held < 8000 and len(e.known.new) + len(e.known.old) < 60
+    known = Known(500)
+    for i in range(40):
+        for w in known.lacking({"often", f"w{i}"}):
+            known.put(w, w.encode())
+        assert known.joined(["often", f"w{i}"]) == f"oftenw{i}".encode()
 
 
 @pytest.mark.parametrize("unit", ["thequickbrown", "漢字かな", "x"])
