@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that is unset, an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -46,11 +48,17 @@ def uniform(*cols: Column, seed: int) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (as bytes), kept while there are not too many, then forgotten as a whole."""
+    """64-bit hashes of words (as bytes), kept up to about `most` bytes, then forgotten as a whole."""
+
+    def __init__(self, most: int = 80_000_000):
+        super().__init__()
+        self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if self.held > self.most:
             self.clear()
+            self.held = 0
+        self.held += 180 + len(word)
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 

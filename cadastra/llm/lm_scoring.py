@@ -1,24 +1,25 @@
 """LM scoring by stupid backoff over the corpus's own n-gram counts.
 
-The count tables are partitioned by n-gram hash. Documents are dealt into chunks by doc_id; each chunk explodes its texts into n-grams,
-counts its distinct ones and sends them, sorted and packed, to the partitions that own their hashes. A partition adds up what
-all chunks sent, which is its part of the count table, and joins the sums to each chunk's n-grams by sending them back in the
-same order. The chunk looks its positions up and sums the logarithms per document. An n-gram that all documents share is
-one entry per chunk, so nothing piles up on a hot one; all n-grams of all documents count.
+Each document is exploded into its distinct n-grams of every order, as rows of a 64-bit hash and the number of times. Grouped by hash
+they are the count table, combined before the shuffle and partitioned by hash; n-grams that only one document has are left out,
+since no other can know them. The table is joined to the exploded n-grams, which gives each document the counts that it has not brought
+itself, and these are gathered per document and summed over its words. All steps are plain aggregates and equi-joins: a
+frequent n-gram is one row for each document that has it, which adaptive execution splits where it is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import WORD, WordHashes
+from cadastra.llm.pieces import parts
 
-#: Bytes of text in a chunk, and bytes of text for each partition of the count tables.
-CHUNK, PART = 8_000_000, 16_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,115 +29,84 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers, byte by byte, compressed; small ones and the high bytes of near ones take next to nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view("<u8").ravel()
-
-
-class Grams:
-    """The n-grams of some texts: for each order the hash at each word, and whether the text has that many words before it."""
-
-    def __init__(self, texts: list[str | None], order: int, known: WordHashes):
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.n_words = np.array([len(w) for w in words], np.int64)
-        h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(self.n_words.sum()))
-        self.doc = np.repeat(np.arange(len(texts)), self.n_words)
-        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
-        self.hashes, g = [], h
-        for k in range(1, order + 1):
-            if k > 1:
-                g = np.append(np.zeros(min(1, len(h)), np.uint64), _mixed(g[:-1] * _MUL + h[1:]))
-            self.hashes.append(g)
-        self.valid = [self.place >= k for k in range(order)]
-        #: for each order the sorted distinct hashes, how often each occurs, and where each valid position's stands
-        self.distinct = [np.unique(g[ok], return_inverse=True, return_counts=True) for g, ok in zip(self.hashes, self.valid, strict=True)]
-
-
-def _asked(order: int, bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        g = Grams(table.column("text").to_pylist(), order, WordHashes())
-        chunk, rows = table.column("chunk")[0].as_py(), []
-        for k, (kinds, _, counts) in enumerate(g.distinct):
-            ends = np.searchsorted(kinds >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(kinds)])
-            for b in range(1 << bits):
-                a, z = int(ends[b]), int(ends[b + 1])
-                if z > a:
-                    rows.append((chunk, b, k, pack(np.append(kinds[a], np.diff(kinds[a:z]))), pack(counts[a:z])))
-        return _table(rows, {"chunk": pa.int64(), "part": pa.int64(), "n": pa.int32(), "grams": pa.binary(), "counts": pa.binary()})
+def grams(text: str | None, order: int, known: WordHashes) -> list[np.ndarray]:
+    """For each order the hashes of the text's n-grams, by the place of their last word; orders differ in their hashes."""
+    words = (text or "").encode("utf-8", "replace").split()
+    out = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words))]
+    for _ in range(1, order):
+        last = out[-1]
+        out.append(_mixed(last[:-1] * _MUL + out[0][len(out) :]) if len(last) else last)
+    return out
+
+
+def _exploded(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            sizes = pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)
+            for some in parts(sizes):
+                part = b.slice(some.start, some.stop - some.start)
+                found = [[np.unique(g, return_counts=True) for g in grams(t, order, known)] for t in part.column(0).to_pylist()]
+                rows = np.repeat(np.arange(len(found)), [sum(len(h) for h, _ in x) for x in found])
+                hashes = np.concatenate([np.zeros(0, np.uint64), *[h for x in found for h, _ in x]])
+                counts = np.concatenate([np.zeros(0, np.int64), *[n for x in found for _, n in x]])
+                yield pa.record_batch([part.column(1).take(pa.array(rows)), part.column(2).take(pa.array(rows)), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int32))], ["_a", "_b", "gram", "n"])
 
     return run
 
 
-def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
-    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
-
-
-def _counted(table: pa.Table) -> pa.Table:
-    """Add up a partition of the count tables and answer every chunk in the order that it asked in."""
-    rows, out = table.to_pylist(), []
-    for n in sorted({r["n"] for r in rows}):
-        own = [r for r in rows if r["n"] == n]
-        grams = [np.cumsum(unpack(r["grams"]), dtype=np.uint64) for r in own]
-        _, back = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(back, np.concatenate([unpack(r["counts"]) for r in own])).astype(np.uint64)
-        at = 0
-        for r, g in zip(own, grams, strict=True):
-            out.append((r["chunk"], r["part"], n, pack(sums[back[at : at + len(g)]])))
-            at += len(g)
-    return _table(out, {"chunk": pa.int64(), "part": pa.int64(), "n": pa.int32(), "sums": pa.binary()})
-
-
-def backoff(g: Grams, sums: list[np.ndarray], total: int, alpha: float) -> np.ndarray:
-    """Each word's ln S, with the word's own document taken out of all counts; sums: for each order those of g.distinct."""
-    order, size = len(sums), len(g.doc)
-    left = []
-    for k in range(order):
-        kinds, back, _ = g.distinct[k]
-        key = g.doc[g.valid[k]] * max(len(kinds), 1) + back
-        _, place, own = np.unique(key, return_inverse=True, return_counts=True)
-        c = np.zeros(size)
-        c[g.valid[k]] = sums[k][back].astype(float) - own[place]
-        left.append(c)
-    can = np.minimum(g.place + 1, order)
+def backoff(text: str | None, order: int, alpha: float, total: int, known: WordHashes, hashes: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Each word's ln S; hashes (sorted) and left: the n-grams that other documents have, and how often."""
+    every = grams(text, order, known)
+    size = len(every[0])
+    place = np.arange(size)
+    counts = np.zeros((order, size))
+    for k, g in enumerate(every):
+        if len(g) and len(hashes):
+            at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
+            counts[k, k:] = np.where(hashes[at] == g, left[at], 0)
+    can = np.minimum(place + 1, order)
     out = alpha ** can.astype(float) / max(total, 1)
     for k in range(order):  # higher orders overwrite lower ones
-        below = np.append(np.ones(min(1, size)), left[k - 1][:-1]) if k else total - g.n_words[g.doc].astype(float)
-        ok = g.valid[k] & (left[k] > 0)
-        out[ok] = alpha ** (can[ok] - k - 1.0) * left[k][ok] / below[ok]
+        below = np.append(1.0, counts[k - 1])[:size] if k else np.full(size, float(total - size))
+        ok = counts[k] > 0
+        out[ok] = alpha ** (can[ok] - k - 1.0) * counts[k][ok] / below[ok]
     return np.log(out)
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, log_score (the sum of its words' ln S), mean_log_score (over n_words).
 
     Words are runs of anything but ASCII spaces, as written. S of a word is the share of its longest known n-gram, up to `order`
     words, in that n-gram's context, times alpha for each word of context given up; an unknown word has alpha to the number
     of words of its longest n-gram, over all words. Counts are of all documents but the one scored (a repeated row is another document).
-    Null and empty texts have 0 words, log_score 0 and a null mean. An empty table gives an empty result; columns besides text
-    and doc_id are not read. n-grams are told apart by 64-bit hashes.
+    Null and empty texts have 0 words, log_score 0 and a null mean. A null doc_id is scored as any other. An empty table gives an
+    empty result; columns besides text and doc_id are not read. Texts of any length are read whole. n-grams are told apart by
+    64-bit hashes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size, total = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
-    size, total = size or 0, total or 0
-    chunks, bits = max(1, -(-size // CHUNK)), max(0, (-(-size // PART) - 1).bit_length())
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(chunks)))
-
-    asked = dealt.groupBy("chunk").applyInArrow(_asked(order, bits), "chunk long, part long, n int, grams binary, counts binary")
-    sums = asked.groupBy("part").applyInArrow(_counted, "chunk long, part long, n int, sums binary")
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Grams(texts.column("text").to_pylist(), order, WordHashes())
-        got: list[list] = [[] for _ in range(order)]
-        for r in sorted(answers.to_pylist(), key=lambda r: (r["n"], r["part"])):
-            got[r["n"]].append(unpack(r["sums"]))
-        log = backoff(g, [np.concatenate(x) if x else np.zeros(0) for x in got], total, alpha)
-        each = np.bincount(g.doc, log, len(g.n_words)) if len(g.n_words) else np.zeros(0)
-        mean = pa.array(each / np.maximum(g.n_words, 1), mask=g.n_words == 0)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(g.n_words), "log_score": pa.array(each, pa.float64()), "mean_log_score": mean})
-
-    return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, log_score double, mean_log_score double")
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    key = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
+    rows = rows.select("text", key(1).alias("_a"), key(2).alias("_b"), "doc_id")
+
+    exploded = rows.select("text", "_a", "_b").mapInArrow(_exploded(order), "_a long, _b long, gram long, n int")
+    counts = exploded.groupBy("gram").agg(F.sum("n").alias("c"), F.count("*").alias("docs")).filter("docs > 1")
+    met = exploded.join(counts, "gram").select("_a", "_b", F.struct("gram", (F.col("c") - F.col("n")).alias("left")).alias("met"))
+    # a set, since rows that repeat a document say the same
+    known = met.groupBy("_a", "_b").agg(F.collect_set("met").alias("met"))
+    known = known.select("_a", "_b", F.col("met.gram").alias("grams"), F.col("met.left").alias("left"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
+        for b in batches:
+            n, sums = [], []
+            for t, g, left in zip(*(b.column(i) for i in range(1, 4)), strict=True):
+                hashes = np.zeros(0, np.uint64) if g.values is None else g.values.to_numpy().view(np.uint64)
+                order_of = np.argsort(hashes)
+                log = backoff(t.as_py(), order, alpha, total, hashes_of, hashes[order_of], np.zeros(0) if left.values is None else left.values.to_numpy()[order_of])
+                n.append(len(log)), sums.append(float(log.sum()))
+            mean = [s / k if k else None for s, k in zip(sums, n, strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    joined = rows.join(known, ["_a", "_b"], "left").select("doc_id", "text", "grams", "left")
+    return joined.mapInArrow(scored, "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -88,12 +88,12 @@ ORACLES: dict[str, str] = {
     "op5_lm_scoring": r"""
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
              p AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t WHERE len(ws) > 0),
-             q AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p),
-             c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
-                          count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2, count(*) OVER () AS n FROM q),
-             d AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS c0 FROM c),
-             s AS (SELECT doc_id, ln(CASE WHEN i > 1 AND c2 > 0 THEN c2 / c0 WHEN c1 > 0 THEN CASE WHEN i > 1 THEN 0.4 ELSE 1 END * c1 / (n - n_words)
-                                          ELSE CASE WHEN i > 1 THEN 0.16::DOUBLE ELSE 0.4 END / n END) AS s FROM d),
+             q AS (SELECT *, lag(w) OVER d AS v, lag(w, 2) OVER d AS u, least(i, 3) AS can FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+             c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1, count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+                          count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c3, count(*) OVER () AS n FROM q),
+             d AS (SELECT *, lag(c1) OVER d AS below1, lag(c2) OVER d AS below2 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+             s AS (SELECT doc_id, ln(CASE WHEN i > 2 AND c3 > 0 THEN c3 / below2 WHEN i > 1 AND c2 > 0 THEN pow(0.4::DOUBLE, can - 2) * c2 / below1
+                                          WHEN c1 > 0 THEN pow(0.4::DOUBLE, can - 1) * c1 / (n - n_words) ELSE pow(0.4::DOUBLE, can) / n END) AS s FROM d),
              g AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
         SELECT t.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(g.s, 0), 6) AS log_score, round(g.s / nullif(len(ws), 0), 6) AS mean_log_score
         FROM t LEFT JOIN g USING (doc_id)""",

@@ -174,9 +174,7 @@ def brute_scores(texts, order, alpha):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(spark, order, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK", 300)
-    monkeypatch.setattr(lm, "PART", 500)
+def test_lm_scores(spark, order):
     rng = random.Random(9)
     texts = [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 40))) for _ in range(60)] + [None, "", " \n", "zz", "a b " * 200] + ["a b c d"] * 10
     got = {r["doc_id"]: r for r in lm.lm_scores(frame(spark, texts), order=order).collect()}
@@ -186,6 +184,10 @@ def test_lm_scores(spark, order, monkeypatch):
     assert lm.lm_scores(frame(spark, []).limit(0)).count() == 0
 
 
-def test_packing():
-    x = np.array([0, 1, 2**63, 2**64 - 1, 7], np.uint64)
-    assert (lm.unpack(lm.pack(x)) == x).all() and len(lm.unpack(lm.pack(x[:0]))) == 0
+def test_lm_scores_of_repeated_rows_and_null_ids(spark):
+    texts = ["a b c a b", "a b c a b", "b c d", None, "", "c d e a b c", "漢 漢 漢", "x" * 200_000 + " a"]
+    ids = [1, 1, None, None, 4, None, 7, 8]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in zip(ids, texts)], "doc_id long, text string, n int, gram long, left string")
+    got = lm.lm_scores(docs).collect()
+    want = sorted((i or 0, n, round(s, 6)) for i, (n, s) in zip(ids, brute_scores(texts, 3, 0.4)))
+    assert sorted((r["doc_id"] or 0, r["n_words"], round(r["log_score"], 6)) for r in got) == want
