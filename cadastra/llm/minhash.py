@@ -19,6 +19,7 @@ variants of one text that are too far apart stay cheap.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import WordHashes, cut, uniform
 from cadastra.llm.components import components
 
-BINS, ROWS, WORDS, CLASSES = 256, 8, 5, 64
+BINS, ROWS, WORDS, CLASSES, SALTED = 256, 8, 5, 64, 512
 #: The share of links at the least similarity that may have no band in common.
 MISSED = 1 / 25_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +162,10 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
     shared = members.join(counts, "key").groupBy("key", "rep").agg(F.max("n").alias("n"))
     shared = cut(shared, "minhash-members")
     reach = shared.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("reach"))
-    shared = cut(shared.join(reach, "rep").select("key", "rep", "reach"), "minhash-reach")
+    # what meets in a bucket meets in one of its salts: one for each SALTED members
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    shared = cut(shared.join(reach, "rep").select("key", "rep", "reach", salts.alias("salts"), F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt")), "minhash-reach")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     ids = cut(shared.select(F.col("rep").alias("_id")).distinct(), "minhash-ids")
     sets = cut(rows.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
@@ -176,14 +180,22 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
         most = F.least(F.col(f"{a}common"), F.col(f"{b}common")) if most is None else most
         return 100 * most >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - most)
 
-    shared = shared.join(bound, "rep")
-    best = shared.groupBy("key", F.col("size").alias("_size")).agg(F.max("common").alias("_common"), F.count("*").alias("_n"))
-    live = shared.join(best, "key").filter(may("", "_") & ((F.col("size") != F.col("_size")) | (F.col("_n") > 1)))
-    live = live.groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("reach", "size", "common", "classes")])
+    # Sizes further apart than 100 to percent can't link: a member is held against the best of its own size class and of the next ones.
+    step = max(math.log(100 / percent) * (1 + 1e-9), 1e-12)
+    shared = shared.join(bound, "rep").withColumn("_class", F.floor(F.log("size") / step))
+    best = shared.groupBy("key", "salts", "_class").agg(F.struct(F.col("_class").alias("of"), F.max("common").alias("common"), F.min("size").alias("size"), F.count("*").alias("n")).alias("best"))
+    best = best.withColumn("_class", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)))
+    best = salted(best.groupBy("key", "salts", "_class").agg(F.collect_list("best").alias("_near")))  # three at most
+
+    def met(b: Column) -> Column:
+        most = F.least("common", b["common"])
+        return (100 * most >= percent * (F.col("size") + b["size"] - most)) & ((b["of"] != F.col("_class")) | (b["n"] > 1))
+
+    live = shared.join(best, ["key", "salt", "_class"]).filter(F.exists("_near", met)).select("key", "rep", "reach", "salts", "salt", "size", "common", "classes")
     # The order in which a bucket's members are hubs: the one that meets the most others, then by chance, spread over 0 to n.
     lead = live.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(-F.col("reach"), F.col("rep")))["rep"].alias("_lead")).filter("_n > 1")
     turn = F.when(F.col("rep") == F.col("_lead"), F.lit(-1.0)).otherwise(uniform(F.col("rep"), F.col("key"), seed=3) * F.col("_n"))
-    shared = cut(live.join(lead, "key").select("key", "rep", "size", "common", "classes", turn.alias("turn")), "minhash-live")
+    shared = cut(live.join(lead, "key").select("key", "rep", "salts", "salt", "size", "common", "classes", turn.alias("turn")), "minhash-live")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
@@ -202,8 +214,8 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
             at = cut(at.join(open_, "key"), "minhash-open")
             if at.isEmpty():
                 break
-        star = at.filter(F.col("turn") < hubs).select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "label", "size", "common", "classes")])
-        pairs = at.join(star, "key").filter((F.col("rep") != F.col("hub_rep")) & (F.col("label") != F.col("hub_label")) & may("", "hub_") & may("", "hub_", in_classes))
+        star = at.filter(F.col("turn") < hubs).select("key", "salts", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "label", "size", "common", "classes")])
+        pairs = at.join(salted(star), ["key", "salt"]).filter((F.col("rep") != F.col("hub_rep")) & (F.col("label") != F.col("hub_label")) & may("", "hub_") & may("", "hub_", in_classes))
         pairs = pairs.select(F.greatest("rep", "hub_rep").alias("u"), F.least("rep", "hub_rep").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import cut
 
-BINS, PARTS, PIECES, BLOCKS = 4096, 128, 1024, 256
-#: A bin that weighs less than this share of its node is cut at its nearer end.
+BINS, PARTS, PIECES = 4096, 128, 1024
+#: Rows that are numbered together, on average.
+BLOCK = 100_000
+#: A bin that weighs less than this share of its node is cut at its nearer end: a median is inexact by half of that at most.
 LIGHT = 0.002
 
 
@@ -73,7 +75,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str
 
     size is the text's UTF-8 bytes plus 1 and the weight; shards weigh nearly the same (law `bytes`), as far as single documents
     allow. Null text counts as empty. slot numbers the rows of a shard from 0 without gaps, in the order of doc_id within hash
-    blocks; rows that repeat a doc_id get a slot each. grown_shard is null: the law is not `key`. An empty table gives an empty
+    blocks; rows that repeat a doc_id, or have none, get a slot each. Texts of any length are one point and one row. grown_shard is null: the law is not `key`. An empty table gives an empty
     result. Columns besides doc_id and text are not read.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -81,7 +83,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("_text"))
     rows = rows.select("doc_id", (F.octet_length("_text") + 1).cast("long").alias("size"), F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32"), F.xxhash64("_text").alias("_hash"), *[c.cast("long").alias(k) for k, c in dims.items()])
     rows = cut(rows, "shard-rows")
-    whole = rows.agg(F.sum("size")).first()[0] or 0
+    whole, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
+    whole, blocks = whole or 0, max(1, -(-n_rows // (shards * BLOCK)))
     limit = max(1, whole // (shards * PARTS))
     # Every group here weighs more than 1/(shards * PARTS) of everything: shards * PARTS rows at most.
     heavy = rows.groupBy("_hash", "text_crc32", "size").agg(F.sum("size").alias("_w"), F.count("*").alias("_n")).filter((F.col("_w") > limit) & (F.col("_n") > 1))
@@ -113,8 +116,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str
     # left before right at every depth: compare the paths from the root
     ends = sorted(leaves, key=lambda k: f"{k:b}")
     shard = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(ends) for x in (k, i)]), F.col("_node"))
-    placed = points.withColumn("shard", shard.cast("int")).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
-    # shards * BLOCKS rows at most
+    placed = points.withColumn("shard", shard.cast("int")).withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    # a row for each BLOCK rows of the table, and one a shard
     counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -3,7 +3,7 @@
 Writing: a payload is framed as a chunked HTTP response; a block above SEGMENT bytes becomes a first segment and `continuation`
 records that name it in WARC-Segment-Origin-ID. A page whose payload another page holds as a `response` becomes a
 `revisit` record without a block. Archives are the text sink's gzip files with WARC's own record end as line
-separator, at most RECORDS records each, so that a file is small enough to be read as one row.
+separator, of about FILE bytes and MOST records of one segment at most, so that a file is small enough to be read as one row.
 
 Reading: files are parsed record by record by Content-Length; only the records of segmented pages are shuffled, by origin
 identifier. Their segments are ordered by number, the total length is verified, and the chunked framing is decoded.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import cut, new_path
 
-SEGMENT, CHUNK, RECORDS = 32768, 8192, 256
+SEGMENT, CHUNK = 32768, 8192
+#: Bytes of an archive file on average, and the records of one at least and at most (a record is a segment and its head at most).
+FILE, LEAST, MOST = 16_000_000, 256, 2048
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -108,6 +110,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write the pages' records under path. Of pages with equal payloads of at least `least` bytes the largest page_id is the response."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     rows = rows.withColumn("_sha", F.unhex(F.sha1("html")))
+    mean = rows.agg(F.avg(F.least(F.octet_length("html"), F.lit(SEGMENT)))).first()[0] or 0
     known = rows.filter(F.octet_length("html") >= least).select("page_id", "_sha")
     top = known.groupBy("_sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).filter("_n > 1")
     again = known.join(top, "_sha").filter("page_id < refers_to or page_id is null and refers_to is not null").select("page_id", "_sha", "refers_to").distinct()
@@ -115,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     again = cut(again, "warc-revisits").withColumnsRenamed({"page_id": "_page", "_sha": "_digest"})
     out = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha") == F.col("_digest")), "left").select("page_id", "url", "html", "refers_to")
     records = out.mapInArrow(_write, "record binary").select(F.col("record").cast("string"))
-    records.write.option("maxRecordsPerFile", RECORDS).text(path, lineSep=END, compression="gzip")
+    records.write.option("maxRecordsPerFile", min(MOST, max(LEAST, int(FILE // (mean + 500))))).text(path, lineSep=END, compression="gzip")
 
 
 RECORD = "kind string, id string, page_id long, origin string, number int, total long, refers_to string, digest string, block binary"
@@ -180,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Segments of one page are grouped by origin identifier; a segment that is there more than once, since its page was,
     counts once in the payload and each time as a page. Broken lengths, framing or digests raise an error.
     """
-    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
+    records = cut(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD), "warc-records")
     whole = records.filter("kind = 'response' and number is null").select("id", "page_id", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("long").alias("total"), "digest", F.array("block").alias("parts"))
     parts = records.filter("number is not null").groupBy("origin", "number").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("block").alias("block"))
     parts = parts.groupBy("origin").agg(F.max("page_id").alias("page_id"), F.min("n").alias("copies"), F.max("total").alias("total"), F.max("digest").alias("digest"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("p"))
@@ -200,7 +203,7 @@ def warc_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back; see read_archives.
 
     Null html is an empty payload, which is deduplicated as any other. A null page_id counts as smaller than any; pages without
-    one whose payload no numbered page has are all responses. Rows that repeat page_id and payload get the same
+    one whose payload no numbered page has are all responses. Payloads of any length are written in segments. Rows that repeat page_id and payload get the same
     kind of record each. An empty table gives an empty result; columns besides page_id, url and html are not read.
     """
     spark = pages.sparkSession
