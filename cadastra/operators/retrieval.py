@@ -3,66 +3,90 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import subject_normalise
+from cadastra.functions.text import search_stems, stem, subject_normalise
 from cadastra.functions.vectors import cosine
+from cadastra.sources.tables import written
 
 K_EACH, K_FUSED, K_EXPANDED, K_CONTEXT, RRF = 50, 30, 30, 60, 60
 
 
-def vector_search(rows: DataFrame, vector: list[float], k: int = K_EACH, id_col: str = "id", column: str = "embedding", digits: int = 6) -> DataFrame:
-    """(id, vector_distance, vector_rank): the k rows nearest by cosine distance, null vectors left out, ties by id."""
+def vector_search(rows: DataFrame, vector: list[float], k: int = K_EACH, id_col: str = "id", column: str = "embedding", digits: int = 6, where: Column | None = None) -> DataFrame:
+    """(id, vector_distance, vector_rank): of the rows that `where` lets through the k nearest by cosine distance, null vectors left out, ties by id."""
+    rows = rows if where is None else rows.filter(where)
     q = F.array(*[F.lit(float(x)) for x in vector])
     d = F.round(1 - cosine(F.col(column), q), digits) + F.lit(0.0)
     top = rows.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), d.alias("vector_distance")).orderBy("vector_distance", "id").limit(k)
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy("vector_distance", "id")))
 
 
-def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", column: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, id, distance, rank) for a set of queries (query_id, vector) against all rows.
+def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", column: str = "embedding", digits: int = 6, most: int = 4096) -> DataFrame:
+    """(query_id, id, distance, rank) for a set of queries (query_id, vector) against all rows; null vectors are left out, ties by id.
 
-    Queries are few: they go to each block of rows as one matrix, a block keeps its k best for each, and the
-    blocks' best meet in one window per query.
+    Queries go over the rows in blocks of about `most`, each as one matrix. A task keeps its k best for each query of the block over
+    all that it reads, and the tasks' best meet in one window per query.
     """
-    asked = queries.orderBy("query_id").collect()
-    ids = [r["query_id"] for r in asked]
-    m = np.array([r["vector"] for r in asked], float)
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).to_pylist(), float)
-            norm = np.linalg.norm(x, axis=1)
-            d = 1 - np.divide(m @ x.T, norm, out=np.zeros((len(m), len(x))), where=norm > 0)
-            for i, row in zip(ids, np.round(d, digits) + 0.0, strict=True):
-                best = np.lexsort((b.column(0).to_numpy(), row))[:k]
-                yield pa.record_batch([pa.array([i] * len(best), pa.int64()), b.column(0).take(pa.array(best)), pa.array(row[best])], ["query_id", "id", "distance"])
-
-    near = rows.filter(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column)).mapInArrow(run, "query_id long, id long, distance double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    asked = written(queries.filter("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector"), "queries")
+    n = -(-asked.count() // most)
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(n, 1))))
+    source = rows.filter(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column))
+
+    def near(block: list) -> DataFrame:
+        ids = np.array([r["query_id"] for r in block], np.int64)
+        m = np.array([r["vector"] for r in block], float)
+        given = rows.sparkSession.sparkContext.broadcast(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, held, far = given.value, np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    x = np.array(part.column(1).to_pylist(), float)
+                    norm = np.linalg.norm(x, axis=1)
+                    d = np.round(1 - np.divide(m @ x.T, norm, out=np.zeros((len(m), len(x))), where=norm > 0), digits) + 0.0
+                    far, held = np.hstack([far, d]), np.hstack([held, np.broadcast_to(part.column(0).to_numpy(), d.shape)])
+                    best = np.lexsort((held, far), axis=1)[:, :k]
+                    far, held = np.take_along_axis(far, best, axis=1), np.take_along_axis(held, best, axis=1)
+            yield pa.record_batch([pa.array(np.repeat(ids, held.shape[1])), pa.array(held.ravel()), pa.array(far.ravel())], ["query_id", "id", "distance"])
+
+        return source.mapInArrow(run, "query_id long, id long, distance double")
+
+    blocks = [asked.filter(F.col("_block") == i).orderBy("query_id").collect() for i in range(n)] if n <= 1 else None
+    if blocks is None:  # one block at a time in the driver's memory, each one's answers written
+        found = [written(near(asked.filter(F.col("_block") == i).orderBy("query_id").collect()), "near") for i in range(n)]
+    else:
+        found = [near(x) for x in blocks if x]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    every = reduce(DataFrame.unionByName, found)
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.filter(F.col("rank") <= k)
 
 
-def text_search(rows: DataFrame, terms: list[str], k: int = K_EACH, id_col: str = "id", column: str = "text") -> DataFrame:
-    """(id, text_score, text_rank): rows that hold every term, by the terms' share of the words; ties by id.
+def text_search(rows: DataFrame, text: str, keywords: tuple[str, ...] = (), k: int = K_EACH, id_col: str = "id", column: str = "text") -> DataFrame:
+    """(id, text_score, text_rank): rows that hold the stem of every word asked for, by these words' share of all words; ties by id.
 
-    Terms and words are lower-cased runs of letters. The score is the number of words that are terms over 1 + ln(words), rounded.
+    Keywords are searched for if there are any, else the text; stop words are left out, and words are cut to their stems on either side.
+    The score is the number of words with one of the stems over 1 + ln(words), rounded. Without a word to ask for nothing is found.
     """
+    wanted = search_stems(" ".join(keywords) or text)
+    starts = sorted({w[:2] for w in wanted})
+    # a stem keeps its word's first two letters: rows and words without them go before any word is cut
+    held = rows.filter(reduce(lambda a, b: a & b, [F.lower(F.col(column)).contains(x) for x in starts], F.lit(bool(wanted))))
     words = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}]+"), lambda x: x != "")
-    wanted = F.array(*[F.lit(t.lower()) for t in terms])
-    held = rows.select(F.col(id_col).alias("id"), words.alias("w"))
-    for t in terms:
-        held = held.filter(F.array_contains("w", t.lower()))
-    hits = F.size(F.filter("w", lambda x: F.array_contains(wanted, x)))
-    score = F.round(hits / (1 + F.log(F.size("w").cast("double"))), 6)
-    top = held.select("id", score.alias("text_score")).orderBy(F.desc("text_score"), "id").limit(k)
+    cut = lambda w: F.transform(F.filter(w, lambda x: F.substring(x, 1, 2).isin(starts)), stem)
+    told = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.filter(cut(w), lambda x: x.isin(wanted)).alias("met")))
+    # exploding the one struct keeps Spark from splitting each text again for every use of it
+    met = held.select(F.col(id_col).alias("id"), F.inline(told))
+    met = met.filter(F.size(F.array_distinct("met")) == len(wanted))
+    score = F.round(F.size("met") / (1 + F.log(F.col("n").cast("double"))), 6)
+    top = met.select("id", score.alias("text_score")).orderBy(F.desc("text_score"), "id").limit(k)
     return top.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), "id")))
 
 
@@ -77,31 +101,36 @@ def fuse(vector: DataFrame, text: DataFrame, k: int = K_FUSED) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, most: int = K_EXPANDED) -> DataFrame:
     """(id, expanded_via, pos): neighbours of the seeds along `defines` into them, `requires` out, `constrains` into them.
 
-    A neighbour counts under the first of these that reaches it; seeds don't count. Of all, the first `most` by kind, then id.
+    seeds: kind, key; edges: type, from_kind, from_key, to_kind, to_key; an id is the kind and the key written together. Edges meet
+    the seeds on their own columns, so that what Spark knows of these prunes the scans. A neighbour counts under the first type that
+    reaches it; seeds don't count. Of all, the first `most` by type, then id.
     """
-    ids = seeds.select(F.col("id").alias("_seed"))
-    steps = [("defines", "to_id", "from_id", 1), ("requires", "from_id", "to_id", 2), ("constrains", "to_id", "from_id", 3)]
-    found = None
+    steps = [("defines", "to", "from", 1), ("requires", "from", "to", 2), ("constrains", "to", "from", 3)]
+    ids, found = seeds.select(F.col("kind").alias("_kind"), F.col("key").alias("_key")), None
     for kind, near, far, order in steps:
-        e = edges.filter((F.col("type") == kind) & F.col(far).isNotNull())
-        got = e.join(ids, e[near] == ids["_seed"], "left_semi").select(F.col(far).alias("id"), F.lit(order).alias("_order"))
+        e = edges.filter((F.col("type") == kind) & F.col(f"{far}_key").isNotNull())
+        got = e.join(ids, (e[f"{near}_kind"] == ids["_kind"]) & (e[f"{near}_key"] == ids["_key"]), "left_semi")
+        got = got.select(F.col(f"{far}_kind").alias("kind"), F.col(f"{far}_key").alias("key"), F.lit(order).alias("_order"))
         found = got if found is None else found.unionByName(got)
-    first = found.groupBy("id").agg(F.min("_order").alias("_order")).join(ids, F.col("id") == F.col("_seed"), "left_anti")
+    first = found.groupBy("kind", "key").agg(F.min("_order").alias("_order")).join(ids, (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key")), "left_anti")
     kinds = F.element_at(F.array(*[F.lit(k) for k, *_ in steps]), F.col("_order"))
-    top = first.orderBy("_order", "id").limit(most)
+    top = first.select(F.concat("kind", F.col("key").cast("string")).alias("id"), "_order").orderBy("_order", "id").limit(most)
     return top.select("id", kinds.alias("expanded_via"), F.row_number().over(Window.orderBy("_order", "id")).alias("pos"))
 
 
 def precedence_pairs(rows: DataFrame) -> DataFrame:
-    """(winner_id, loser_id) of rows with the same type and subject in documents of different levels: the lower level wins.
+    """(winner_id, loser_id): for each row that is overridden, the row of the lowest level (then id) in another document.
 
-    rows: id, document_id, level, type, subject. Subjects are equal after normalising, so pairs meet by an equi-join.
+    rows: id, document_id, level, type, subject. Type and normalised subject must be equal. A group's two lowest documents are enough
+    to name every loser's winner, so a group of any size makes one pair a loser.
     """
     s = rows.withColumn("_subject", subject_normalise(F.col("subject"))).filter("_subject != ''")
-    a, b = s.alias("a"), s.alias("b")
-    same = (F.col("a.type") == F.col("b.type")) & (F.col("a._subject") == F.col("b._subject"))
-    pairs = a.join(b, same & (F.col("a.document_id") != F.col("b.document_id")) & (F.col("a.level") < F.col("b.level")))
-    return pairs.select(F.col("a.id").alias("winner_id"), F.col("b.id").alias("loser_id"))
+    per_doc = s.groupBy("type", "_subject", "document_id").agg(F.min(F.struct("level", "id")).alias("_best"))
+    rank = F.row_number().over(Window.partitionBy("type", "_subject").orderBy("_best"))
+    best = per_doc.withColumn("_r", rank).filter("_r <= 2").groupBy("type", "_subject").agg(F.array_sort(F.collect_list(F.struct("_best", "document_id"))).alias("_two"))
+    own = s.join(best, ["type", "_subject"])
+    winner = F.try_element_at(F.filter("_two", lambda x: x["document_id"] != F.col("document_id")), F.lit(1))["_best"]
+    return own.withColumn("_w", winner).filter(F.col("_w.level") < F.col("level")).select(F.col("_w.id").alias("winner_id"), F.col("id").alias("loser_id"))
 
 
 def precedence_kept(rows: DataFrame) -> DataFrame:
@@ -114,8 +143,9 @@ def precedence_kept(rows: DataFrame) -> DataFrame:
 def precedence_greedy(rows: DataFrame) -> DataFrame:
     """rows (query_id, pos, id, document_id, level, type, subject) with kept, as candidates are compared in order of pos.
 
-    Subjects also match where one holds the other, which is not transitive, so the order decides. A query has some dozens
-    of candidates: each query is one small group.
+    A candidate that is out starts no comparisons, but one that goes out while it compares goes on. Subjects also match where one
+    holds the other, which is not transitive, so the order decides. A query has K_CONTEXT candidates at most (K_FUSED found
+    and K_EXPANDED reached): each query is one small group.
     """
 
     def run(t: pa.Table) -> pa.Table:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.sources.tables import written
+
 
 def cells(lo: str, hi: str, size: float):
     """The numbers of the grid cells that an interval touches."""
@@ -28,38 +32,48 @@ def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 def nearest(points: DataFrame, places: DataFrame, group: str, size: float) -> DataFrame:
     """(id, group, place_id, distance): for each point the nearest place of each group; ties by place_id.
 
-    points: id, x, y; places: place_id, x, y, group. Rings of grid cells around a point are searched outwards, each by an
-    equi-join for those points and groups only that are still open: a place found at distance d closes the search once
-    all cells within d have been seen. Points are never joined with all places, unless these are all that far away.
+    points: id, x, y; places: place_id, x, y, group. A point looks at its grid cell and the eight around it, by an equi-join for those
+    points and groups only that are still open: a place that is no further than a cell is wide closes the search. What stays
+    open looks again in cells twice as wide, so that every round asks for nine cells a point however far its places are.
     """
     kinds = sorted(r[0] for r in places.select(group).distinct().collect() if r[0] is not None)  # a handful, as hospitals, schools, stations
     if not kinds:
         return points.select("id").limit(0).selectExpr("id", f"cast(null as string) as {group}", "cast(null as long) as place_id", "cast(null as double) as distance")
-    at = places.select("place_id", group, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    at = places.select("place_id", group, F.col("x").alias("px"), F.col("y").alias("py"))
     edge = places.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
     own = points.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
-    if edge[0] is None or own[0] is None:
-        far = 0
-    else:
-        far = int(max(max(edge[1], own[1]) - min(edge[0], own[0]), max(edge[3], own[3]) - min(edge[2], own[2])) // size) + 1
-    open_, done, ring = points.select("id", "x", "y", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(group)), None, 1
+    far = 0.0 if edge[0] is None or own[0] is None else max(max(edge[1], own[1]) - min(edge[0], own[0]), max(edge[3], own[3]) - min(edge[2], own[2]))
+    open_, done, wide = points.select("id", "x", "y", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(group)), None, float(size)
     while True:
-        reach = min(ring, far)
-        offsets = F.sequence(F.lit(-reach), F.lit(reach))
-        look = open_.withColumn("_dx", F.explode(offsets)).withColumn("_dy", F.explode(offsets))
-        look = look.withColumn("cx", F.floor(F.col("x") / size) + F.col("_dx")).withColumn("cy", F.floor(F.col("y") / size) + F.col("_dy"))
+        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        look = open_.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+        look = look.withColumn("cx", F.floor(F.col("x") / wide) + F.col("_dx")).withColumn("cy", F.floor(F.col("y") / wide) + F.col("_dy"))
+        here = at.withColumn("cx", F.floor(F.col("px") / wide)).withColumn("cy", F.floor(F.col("py") / wide))
         d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
-        best = look.join(at, ["cx", "cy", group]).groupBy("id", group).agg(F.min(F.struct(d.alias("d"), F.col("place_id"))).alias("b"))
+        best = look.join(here, ["cx", "cy", group]).groupBy("id", group).agg(F.min(F.struct(d.alias("d"), F.col("place_id"))).alias("b"))
         best = best.select("id", group, F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance"))
-        found = best.filter(F.col("distance") <= reach * size) if reach < far else best
+        found = written(best if wide > far else best.filter(F.col("distance") <= wide), "nearest")
         done = found if done is None else done.unionByName(found)
-        if reach >= far:
+        if wide > far:
             return done
-        open_ = open_.join(found, ["id", group], "left_anti")
-        open_ = open_.persist()
+        open_ = written(open_.join(found, ["id", group], "left_anti"), "nearest-open")
         if open_.isEmpty():
             return done
-        ring *= 4
+        wide *= 2
+
+
+def nearest_metres(points: DataFrame, places: DataFrame, group: str, size: float) -> DataFrame:
+    """nearest() over longitudes (x) and latitudes (y), with metres: the distance on the spheroid to the place found, rounded."""
+    found = nearest(points, places, group, size)
+    full = found.join(points.select("id", F.col("x").alias("lon1"), F.col("y").alias("lat1")), "id").join(places.select("place_id", F.col("x").alias("lon2"), F.col("y").alias("lat2")), "place_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lon1, lat1, lon2, lat2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4, 8))
+            yield pa.record_batch([*b.columns[:4], pa.array(np.round(geodesic_metres(lat1, lon1, lat2, lon2)))], [*b.schema.names[:4], "metres"])
+
+    rows = full.select("id", group, "place_id", "distance", *[F.col(c).cast("double").alias(c) for c in ("lon1", "lat1", "lon2", "lat2")])
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes[:4]) + ", metres double")
 
 
 def read_wkb(data: bytes) -> tuple[str, list]:
@@ -118,6 +132,15 @@ def wkt(data: bytes) -> str:
     return f"{kind.upper()} {text[kind]()}"
 
 
+def from_wkt(text: str) -> bytes:
+    """WKB of well-known text: a Point, Polygon or MultiPolygon in two dimensions."""
+    kind, body = re.fullmatch(r"\s*(?:SRID=\d+;)?\s*([A-Za-z]+)\s*(\(.*\))\s*", text, re.DOTALL).groups()
+    # brackets of WKT are those of JSON once the numbers of a pair are put together
+    nested = json.loads(re.sub(r"([-+.\deE]+)\s+([-+.\deE]+)", r"[\1,\2]", body.translate({40: "[", 41: "]"})))
+    kind = {"POINT": "Point", "POLYGON": "Polygon", "MULTIPOLYGON": "MultiPolygon"}[kind.upper()]
+    return write_wkb(kind, nested)
+
+
 def polygons(data: bytes) -> list[list[np.ndarray]]:
     """The polygons of WKB as rings of points."""
     kind, c = read_wkb(data)
@@ -154,19 +177,86 @@ def inside(point: tuple[float, float], shape: list[list[np.ndarray]]) -> bool:
     return False
 
 
+def _lines(data: bytes) -> list[np.ndarray]:
+    """Every ring or line of a geometry; points as lines of no length."""
+    kind, c = read_wkb(data)
+    if kind in ("Polygon", "MultiPolygon"):
+        return [r for p in polygons(data) for r in p]
+    lines = {"Point": [[*c, *c]], "LineString": [c], "MultiPoint": [[*p, *p] for p in c], "MultiLineString": c}[kind]
+    return [np.array(x, float) for x in lines]
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two lines share a point; touching ends, corners on edges and overlapping edges count."""
+    p, q, r, s = x[:-1, None], x[1:, None], y[None, :-1], y[None, 1:]
+    side = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+    boxes = ((np.minimum(p, q) <= np.maximum(r, s)) & (np.minimum(r, s) <= np.maximum(p, q))).all(axis=-1)
+    return bool((boxes & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)).any())
+
+
 def intersects(a: bytes, b: bytes) -> bool:
-    """Whether two polygonal geometries share a point: edges that cross, or one inside the other."""
+    """Whether two geometries share a point: lines that cross or touch, or a part of one inside the other."""
+    la, lb = _lines(a), _lines(b)
+    if any(_meet(x, y) for x in la for y in lb):
+        return True
     pa_, pb = polygons(a), polygons(b)
-    if not pa_ or not pb:
-        kind, c = read_wkb(a if not pa_ else b)
-        return kind == "Point" and inside(c[0], pb or pa_)
-    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    for x in (r for p in pa_ for r in p):
-        for y in (r for p in pb for r in p):
-            p, q, r, s = x[:-1, None], x[1:, None], y[None, :-1], y[None, 1:]
-            if ((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any():
-                return True
-    return inside(tuple(pa_[0][0][0]), pb) or inside(tuple(pb[0][0][0]), pa_)
+    return any(inside(tuple(x[0]), pb) for x in la) or any(inside(tuple(y[0]), pa_) for y in lb)
+
+
+def _area(r: np.ndarray) -> float:
+    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2)
+
+
+def _moved_in(r: np.ndarray, by: float) -> np.ndarray | None:
+    """A ring with its inside on the left, every edge moved to the left; edges that would turn round go. None where no ring is left."""
+    r = r[np.append(True, (r[1:] != r[:-1]).any(axis=1))]
+    u = np.diff(r, axis=0)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    n, m, left = np.stack([-u[:, 1], u[:, 0]], axis=1) * by, len(u), list(range(len(u)))
+
+    def corner(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where moved edge i ends and moved edge j starts."""
+        turn = u[i, 0] * u[j, 1] - u[i, 1] * u[j, 0]
+        if abs(turn) < 1e-12 or (turn < 0 and j == (i + 1) % m):  # straight on, or a corner that points inwards, which is cut
+            return r[i + 1] + n[i], r[j] + n[j]
+        d = r[j] + n[j] - r[i] - n[i]
+        x = r[i] + n[i] + u[i] * (d[0] * u[j, 1] - d[1] * u[j, 0]) / turn
+        return x, x
+
+    while len(left) > 2:
+        at = [corner(left[k - 1], left[k]) for k in range(len(left))]
+        length = [float((at[(k + 1) % len(left)][0] - at[k][1]) @ u[left[k]]) for k in range(len(left))]
+        if min(length) > 0:
+            made = [x for pair in at for x in (pair[:1] if pair[0] is pair[1] else pair)]
+            return np.array([*made, made[0]])
+        left.pop(int(np.argmin(length)))
+    return None
+
+
+def inset(data: bytes, by: float) -> bytes | None:
+    """Polygons drawn in by a distance; null where nothing is left.
+
+    Meant for distances that are small against the shape: one that would fall apart is not split.
+    """
+    out = []
+    for p in polygons(data):
+        # outer rings run against the clock and holes with it, so that the inside is on the left of every edge
+        turned = [r if (_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(p)]
+        moved = [_moved_in(r, by) for r in turned]
+        if moved[0] is not None:
+            out.append([[tuple(x) for x in (r if m is None else m).tolist()] for m, r in zip(moved, turned, strict=True)])
+    return None if not out else write_wkb("Polygon", out[0]) if len(out) == 1 else write_wkb("MultiPolygon", out)
+
+
+def wkb_of(df: DataFrame, column: str) -> DataFrame:
+    """df with geometry: the WKB of a column of well-known text, null where it is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [from_wkt(t) if t else None for t in b.column(b.schema.get_field_index(column)).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, "geometry"])
+
+    return df.mapInArrow(run, ", ".join([f"`{n}` {k}" for n, k in df.dtypes] + ["geometry binary"]))
 
 
 def bounds(df: DataFrame, column: str = "geometry") -> DataFrame:
@@ -185,11 +275,32 @@ def bounds(df: DataFrame, column: str = "geometry") -> DataFrame:
     return df.mapInArrow(run, ", ".join([f"`{n}` {k}" for n, k in df.dtypes] + [f"{n} double" for n in names]))
 
 
+def centroids(df: DataFrame) -> DataFrame:
+    """(id, geometry): each geometry's area centroid as a point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([write_wkb("Point", [centroid(g)]) if g else None for g in b.column(1).to_pylist()], pa.binary())], ["id", "geometry"])
+
+    rows = df.select("id", "geometry")
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
+
+
 def geometry_join(a: DataFrame, b: DataFrame, size: float, shrink: float = 0.0) -> DataFrame:
-    """(a_id, b_id) of rows (id, geometry) whose geometries meet; a's box may be shrunk inwards first, against touching neighbours."""
-    boxed = bounds(a).withColumns({"x0": F.col("x0") + shrink, "y0": F.col("y0") + shrink, "x1": F.col("x1") - shrink, "y1": F.col("y1") - shrink})
-    boxed = boxed.filter("x0 <= x1 and y0 <= y1")
-    pairs = box_join(boxed, bounds(b).filter("x0 is not null"), size)
+    """(a_id, b_id) of rows (id, geometry) whose geometries meet; a's polygons may be drawn in first, against touching neighbours.
+
+    Rows meet in the grid cells of their boxes, then the exact test decides.
+    """
+    a = a.select("id", "geometry")
+    if shrink:
+        kinds = ", ".join(f"`{n}` {k}" for n, k in a.dtypes)
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                yield pa.record_batch([t.column(0), pa.array([inset(g, shrink) if g else None for g in t.column(1).to_pylist()], pa.binary())], t.schema.names)
+
+        a = a.mapInArrow(drawn, kinds)
+    pairs = box_join(bounds(a).filter("x0 is not null"), bounds(b.select("id", "geometry")).filter("x0 is not null"), size)
     full = pairs.join(a.select(F.col("id").alias("a_id"), F.col("geometry").alias("ga")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("geometry").alias("gb")), "b_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

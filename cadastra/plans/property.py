@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import subject_normalise
+from cadastra.functions.text import plural_hit
 from cadastra.operators.relational import all_of, contains_ilike, first_by
-from cadastra.operators.spatial import box_join, nearest
+from cadastra.operators.spatial import box_join, geometry_join, nearest, wkb_of
 from cadastra.plans.registry import query
 from cadastra.sources.tables import table
 
@@ -208,7 +208,7 @@ def use_hits(asked, uses):
 
 
 @query(r"""WITH u AS (SELECT DISTINCT p_name AS use FROM part), q AS (SELECT p_partkey, lower(p_type || ' ' || p_name || ' works') AS question FROM part)
-           SELECT p_partkey, count(*) AS n_hits FROM q JOIN u ON contains(question, use) GROUP BY p_partkey""")
+           SELECT p_partkey, count(*) AS n_hits FROM q JOIN u ON contains(question, use) OR len(list_filter(regexp_split_to_array(use, '\s+'), lambda t: length(t) <= 3 OR NOT contains(question, t))) = 0 GROUP BY p_partkey""")
 def use_hit(spark, d):
     part = table(spark, d, "part")
     uses = part.select(F.col("p_name").alias("use")).distinct()
@@ -216,10 +216,49 @@ def use_hit(spark, d):
     return use_hits(asked, uses).groupBy("p_partkey").agg(F.count("*").alias("n_hits"))
 
 
-@query("""SELECT a.p_partkey, count(*) AS n_plural FROM part a JOIN (SELECT DISTINCT p_type, p_name FROM part) b ON a.p_type = b.p_type AND (a.p_name || 's' = b.p_name || 's' OR a.p_name = b.p_name) GROUP BY a.p_partkey""")
+def plural_matches(texts, terms):
+    """The rows of texts (text and others, lower case) with each term (term, lower case) that stands in them, also as singular or plural.
+
+    Whatever ending is changed, a term's first three characters stay, so both sides meet on these (shorter terms on all of theirs).
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("text"), i, n))))
+    met = texts.withColumn("_key", F.explode(F.array_distinct(runs))).join(terms.withColumn("_key", F.substring(F.regexp_replace("term", "(ies|y)$", ""), 1, 3)), "_key")
+    return met.filter(plural_hit(F.col("term"), F.col("text"))).drop("_key")
+
+
+@query("""WITH t AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN p_name || ' factory' WHEN 2 THEN p_name || ' factories' ELSE p_name END AS term FROM part),
+          x AS (SELECT p_partkey, lower(p_type) || ' ' || p_name || CASE p_partkey % 3 WHEN 0 THEN ' factory' WHEN 1 THEN ' factories' ELSE 's allowed' END AS text FROM part)
+          SELECT p_partkey, count(*) AS n_plural, min(term) AS first_term FROM x JOIN t ON contains(text, term) OR (term LIKE '%y' AND contains(text, regexp_replace(term, 'y$', 'ies'))) OR (term LIKE '%ies' AND contains(text, regexp_replace(term, 'ies$', 'y')))
+          OR (term LIKE '%s' AND term NOT LIKE '%ies' AND length(term) > 4 AND contains(text, left(term, length(term) - 1))) GROUP BY p_partkey""")
 def plural_match(spark, d):
-    part = table(spark, d, "part")
-    stem = lambda c: F.regexp_replace(F.regexp_replace(subject_normalise(c), "ies$", "y"), "(?<=.{4})s$", "")
-    terms = part.select("p_type", F.col("p_name").alias("term")).distinct().withColumn("stem", stem(F.col("term")))
-    texts = part.select("p_partkey", "p_type", stem(F.concat(F.col("p_name"), F.lit("s"))).alias("stem"))
-    return texts.join(terms, ["p_type", "stem"]).groupBy("p_partkey").agg(F.count("*").alias("n_plural"))
+    part, c = table(spark, d, "part"), F.col
+    ends = lambda k, *x: F.when(k == 0, x[0]).when(k == 1, x[1]).when(k == 2, x[2]).otherwise("")
+    terms = part.select(F.concat("p_name", ends(c("p_size") % 4, "s", " factory", " factories")).alias("term")).distinct()
+    texts = part.select("p_partkey", F.concat(F.lower("p_type"), F.lit(" "), c("p_name"), ends(c("p_partkey") % 3, " factory", " factories", "s allowed")).alias("text"))
+    return plural_matches(texts, terms).groupBy("p_partkey").agg(F.count("*").alias("n_plural"), F.min("term").alias("first_term"))
+
+
+def _square(x, y, wide, high):
+    """The corners of a rectangle as in well-known text."""
+    at = [(x, y), (x + wide, y), (x + wide, y + high), (x, y + high), (x, y)]
+    return F.concat_ws(", ", *[F.format_string("%.6f %.6f", a.cast("double"), b.cast("double")) for a, b in at])
+
+
+@query("""SELECT p_partkey AS a_id, s_suppkey AS b_id FROM part JOIN supplier ON p_size <= s_nationkey + 2 AND s_nationkey <= p_size + 1 AND round(p_retailprice) <= round(s_acctbal) + 20 AND round(s_acctbal) <= round(p_retailprice) + 10""")
+def geometry_meets(spark, d):
+    """Rectangles on whole coordinates: many share no more than a border or a corner, which counts."""
+    return _shape_join(spark, d, 0.0)
+
+
+@query("""SELECT p_partkey AS a_id, s_suppkey AS b_id FROM part JOIN supplier ON p_size < s_nationkey + 2 AND s_nationkey < p_size + 1 AND round(p_retailprice) < round(s_acctbal) + 20 AND round(s_acctbal) < round(p_retailprice) + 10""")
+def geometry_meets_inset(spark, d):
+    """The same with the lots drawn in, so that neighbours that only touch don't meet."""
+    return _shape_join(spark, d, 0.001)
+
+
+def _shape_join(spark, d, shrink):
+    lots = table(spark, d, "part").select("p_partkey", F.round("p_retailprice").alias("x"), "p_size")
+    zones = table(spark, d, "supplier").select("s_suppkey", F.round("s_acctbal").alias("x"), "s_nationkey")
+    shape = lambda df, key, y, w, h: wkb_of(df.select(F.col(key).alias("id"), F.concat(F.lit("POLYGON (("), _square(F.col("x"), F.col(y), w, h), F.lit("))")).alias("wkt")), "wkt")
+    return geometry_join(shape(lots, "p_partkey", "p_size", 10, 1), shape(zones, "s_suppkey", "s_nationkey", 20, 2), 50.0, shrink)

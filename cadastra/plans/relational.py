@@ -97,10 +97,11 @@ def layer_max_and_string(spark, d):
            SELECT o_orderkey, o_custkey, zones, kinds, names, flags, n_lines FROM orders LEFT JOIN z ON z.l_orderkey = o_orderkey LEFT JOIN t ON t.l_orderkey = o_orderkey
            LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN s ON s.l_orderkey = o_orderkey""")
 def comprehensive_wide(spark, d):
-    key = lambda df: df.withColumnRenamed("l_orderkey", "o_orderkey")
-    flags = table(spark, d, "lineitem").groupBy("l_orderkey").agg(joined_distinct(F.col("l_returnflag")).alias("flags"), F.count("*").alias("n_lines"))
-    layers = [_layer(spark, d, *x) for x in [("p_brand", "zones"), ("p_type", "kinds"), ("p_name", "names")]] + [flags]
-    return left_join_all(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [key(x) for x in layers], ["o_orderkey"])
+    """Layers that come from one source are brought together in one pass over it, then joined to the lots."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    named = [("p_brand", "zones"), ("p_type", "kinds"), ("p_name", "names"), ("l_returnflag", "flags")]
+    wide = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[joined_distinct(F.col(a)).alias(b) for a, b in named], F.count("*").alias("n_lines"))
+    return left_join_all(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [wide], ["o_orderkey"])
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_customers, count(DISTINCT o_orderdate) AS n_days FROM orders")
@@ -164,11 +165,10 @@ _USES = """u AS (SELECT p_brand AS zone, p_type AS use FROM part GROUP BY ALL),
 @query(f"""WITH {_USES}, z AS (SELECT l_orderkey, trim(unnest(string_split(zones, ','))) AS zone FROM p)
            SELECT p.l_orderkey, zones, string_agg(DISTINCT use, ', ' ORDER BY use) AS uses FROM p LEFT JOIN z ON z.l_orderkey = p.l_orderkey LEFT JOIN u ON u.zone = z.zone GROUP BY p.l_orderkey, zones""")
 def zone_uses_enrich(spark, d):
-    uses = table(spark, d, "part").select(F.col("p_brand").alias("zone"), F.col("p_type").alias("use")).distinct()
-    lots = _layer(spark, d, "p_brand", "zones")
-    zones = lots.select("l_orderkey", F.explode(F.split("zones", ",")).alias("zone")).withColumn("zone", F.trim("zone"))
-    per_lot = zones.join(uses, "zone").groupBy("l_orderkey").agg(joined_distinct(F.col("use")).alias("uses"))
-    return lots.join(per_lot, "l_orderkey", "left").select("l_orderkey", "zones", "uses")
+    part = table(spark, d, "part")
+    uses = part.select(F.col("p_brand").alias("zone"), F.col("p_type").alias("use")).distinct()
+    zones = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).filter("p_brand is not null").select("l_orderkey", F.col("p_brand").alias("zone")).distinct()
+    return zones.join(uses, "zone", "left").groupBy("l_orderkey").agg(joined_distinct(F.col("zone")).alias("zones"), joined_distinct(F.col("use")).alias("uses"))
 
 
 @query("""WITH t AS (SELECT p_brand, string_agg(DISTINCT p_name, ' | ' ORDER BY p_name) AS names, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, names, n::VARCHAR AS n FROM t""")

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import CITATION, document_label, quote, section_label
+from cadastra.functions.text import CITATION, ENDINGS, document_label, intent_keywords, quote, section_label
 from cadastra.functions.vectors import cosine
-from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_kept, precedence_pairs, text_search, vector_search
+from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_greedy, precedence_kept, precedence_pairs, text_search, vector_search
 from cadastra.plans.registry import query
 from cadastra.sources.tables import table
 
-TERMS = ["the", "and"]
+#: What the text queries ask for: a stop word, a plural and words with endings.
+ASKED = "the others of ering"
+_STEM = reduce(lambda w, x: f"regexp_replace({w}, '{x[0]}', '\\1{x[1]}')", ENDINGS, "x")
 _DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _COS = "1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
 _VEC = f"""v AS (SELECT vec_id AS id, round({_COS}, 6) + 0.0 AS vector_distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_Q} ORDER BY vector_distance, id LIMIT 50),
            vr AS (SELECT *, row_number() OVER (ORDER BY vector_distance, id)::INT AS vector_rank FROM v)"""
-_TXT = r"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents),
-           t AS (SELECT id, round(len(list_filter(w, lambda x: x IN ('the', 'and'))) / (1 + ln(len(w))), 6) AS text_score FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and') ORDER BY text_score DESC, id LIMIT 50),
+_TXT = f"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents),
+           m AS (SELECT id, len(w) AS n, list_filter(list_transform(w, lambda x: {_STEM}), lambda x: x IN ('other', 'er')) AS met FROM w),
+           t AS (SELECT id, round(len(met) / (1 + ln(n)), 6) AS text_score FROM m WHERE list_contains(met, 'other') AND list_contains(met, 'er') ORDER BY text_score DESC, id LIMIT 50),
            tr AS (SELECT *, row_number() OVER (ORDER BY text_score DESC, id)::INT AS text_rank FROM t)"""
 _RRF = f"""{_VEC}, {_TXT}, f AS (SELECT coalesce(vr.id, tr.id) AS id, vector_rank, text_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + text_rank), 0), 9) AS rrf_score
            FROM vr FULL JOIN tr ON vr.id = tr.id ORDER BY rrf_score DESC, vector_rank NULLS LAST, text_rank NULLS LAST, id LIMIT 30)"""
@@ -33,7 +38,7 @@ def _vectors(spark, d):
 
 
 def _texts(spark, d):
-    return text_search(table(spark, d, "documents"), TERMS, id_col="doc_id")
+    return text_search(table(spark, d, "documents"), ASKED, id_col="doc_id")
 
 
 @query(f"WITH {_VEC} SELECT * FROM vr")
@@ -57,24 +62,24 @@ def rrf_fusion(spark, d):
     return fuse(_vectors(spark, d), _texts(spark, d))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 8), x AS (SELECT query_id, vec_id AS id,
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS id,
           round(1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) + 0.0 AS distance FROM q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
           r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM x) SELECT * FROM r WHERE rank <= 10""")
 def multi_query_batch(spark, d):
     rows = table(spark, d, "embeddings")
-    asked = rows.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return batch_vector_search(rows, asked, 10, id_col="vec_id")
 
 
 def _edges(spark, d):
-    """Parts, suppliers and orders as nodes: parts define suppliers, orders require parts, suppliers constrain nations."""
-    c = F.col
+    """Parts, suppliers and orders as nodes: parts define suppliers, suppliers require orders, nations constrain suppliers."""
     lines = table(spark, d, "lineitem")
-    node = lambda p, x: F.concat(F.lit(p), c(x).cast("string"))
-    a = lines.select(F.lit("defines").alias("type"), node("p", "l_partkey").alias("from_id"), node("s", "l_suppkey").alias("to_id"))
-    b = lines.select(F.lit("requires").alias("type"), node("s", "l_suppkey").alias("from_id"), node("o", "l_orderkey").alias("to_id"))
-    e = table(spark, d, "supplier").select(F.lit("constrains").alias("type"), node("n", "s_nationkey").alias("from_id"), node("s", "s_suppkey").alias("to_id"))
-    return a.unionByName(b).unionByName(e)
+
+    def edge(df, kind, a, from_key, b, to_key):
+        return df.select(F.lit(kind).alias("type"), F.lit(a).alias("from_kind"), F.col(from_key).cast("long").alias("from_key"), F.lit(b).alias("to_kind"), F.col(to_key).cast("long").alias("to_key"))
+
+    e = edge(lines, "defines", "p", "l_partkey", "s", "l_suppkey").unionByName(edge(lines, "requires", "s", "l_suppkey", "o", "l_orderkey"))
+    return e.unionByName(edge(table(spark, d, "supplier"), "constrains", "n", "s_nationkey", "s", "s_suppkey"))
 
 
 _EXPAND = """e AS (SELECT 'p' || l_partkey AS id, 1 AS o FROM lineitem WHERE l_suppkey IN (1, 2) UNION ALL SELECT 'o' || l_orderkey, 2 FROM lineitem WHERE l_suppkey IN (1, 2) UNION ALL SELECT 'n' || s_nationkey, 3 FROM supplier WHERE s_suppkey IN (1, 2)),
@@ -82,7 +87,7 @@ _EXPAND = """e AS (SELECT 'p' || l_partkey AS id, 1 AS o FROM lineitem WHERE l_s
 
 
 def _expanded(spark, d):
-    seeds = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    seeds = spark.createDataFrame([("s", 1), ("s", 2)], "kind string, key long")
     return expand(seeds, _edges(spark, d))
 
 
@@ -106,19 +111,44 @@ def _propositions(spark, d):
 _PROP = r"p AS (SELECT p_partkey AS id, p_brand AS document_id, regexp_extract(p_brand, '(\d+)', 1)::INT % 4 + 1 AS level, p_type AS type, p_name AS subject FROM part)"
 
 
-@query(f"WITH {_PROP} SELECT a.id AS winner_id, b.id AS loser_id FROM p a JOIN p b ON a.type = b.type AND a.subject = b.subject AND a.document_id <> b.document_id AND a.level < b.level")
+@query(f"""WITH {_PROP}, w AS (SELECT b.id AS loser_id, first(a.id ORDER BY a.level, a.id) AS winner_id FROM p a JOIN p b ON a.type = b.type AND a.subject = b.subject AND a.document_id <> b.document_id AND a.level < b.level GROUP BY b.id)
+           SELECT winner_id, loser_id FROM w""")
 def hierarchy_pairs(spark, d):
     return precedence_pairs(_propositions(spark, d))
 
 
+_CANDIDATES = r"""c AS (SELECT p_partkey // 60 AS query_id, p_partkey % 60 AS pos, p_partkey AS id, p_brand AS document_id, regexp_extract(p_brand, '(\d+)', 1)::INT % 4 + 1 AS level, left(p_type, 1) AS type,
+                  CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2) || ' plant' ELSE split_part(p_name, ' ', 2) END AS subject FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, s AS (SELECT *, trim(regexp_replace(regexp_replace(lower(subject), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS n FROM c),
+           p AS (SELECT a.query_id, a.pos AS i, b.pos AS j, CASE WHEN a.level < b.level THEN b.pos ELSE a.pos END AS loser, row_number() OVER (PARTITION BY a.query_id ORDER BY a.pos, b.pos) AS k
+                 FROM s a JOIN s b ON a.query_id = b.query_id AND a.pos < b.pos AND a.type = b.type AND a.document_id <> b.document_id AND a.level <> b.level
+                 AND (a.n = b.n OR (length(a.n) >= 6 AND length(b.n) >= 6 AND (contains(a.n, b.n) OR contains(b.n, a.n))))),
+           g AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS gone, -1::BIGINT AS i, true AS goes FROM p
+                 UNION ALL SELECT query_id, k, CASE WHEN now AND NOT list_contains(gone, j) THEN list_append(gone, loser) ELSE gone END, i, now
+                 FROM (SELECT g.query_id, p.k, g.gone, p.i, p.j, p.loser, CASE WHEN p.i <> g.i THEN NOT list_contains(g.gone, p.i) ELSE g.goes END AS now FROM g JOIN p ON p.query_id = g.query_id AND p.k = g.k + 1)),
+           e AS (SELECT query_id, arg_max(gone, k) AS gone FROM g GROUP BY query_id)
+           SELECT c.query_id, c.id, NOT coalesce(list_contains(e.gone, c.pos), false) AS kept FROM c LEFT JOIN e USING (query_id)""")
+def precedence(spark, d):
+    """Candidates in turn, sixty a query; subjects match where one holds the other."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    level = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 4 + 1).alias("level")
+    word = lambda i: F.split_part(name, F.lit(" "), F.lit(i))
+    subject = F.when(k % 3 == 0, name).when(k % 3 == 1, F.concat(word(1), F.lit("-"), word(2), F.lit(" plant"))).otherwise(word(2))
+    rows = table(spark, d, "part").select(F.expr("p_partkey div 60").alias("query_id"), (k % 60).alias("pos"), k.alias("id"), F.col("p_brand").alias("document_id"), level, F.substring("p_type", 1, 1).alias("type"), subject.alias("subject"))
+    return precedence_greedy(rows).select("query_id", "id", "kept")
+
+
 @query(f"WITH {_PROP}, m AS (SELECT *, min(level) OVER (PARTITION BY type, subject) AS least FROM p) SELECT id, document_id, level, type, subject FROM m WHERE level = least")
 def hierarchy_kept(spark, d):
     return precedence_kept(_propositions(spark, d))
 
 
-@query("SELECT left(text, 800) AS q, doc_id FROM documents")
+@query(r"SELECT left(concat_ws(' ', text, nullif(array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3)[1:6], ' '), '')), 800) AS q, doc_id FROM documents")
 def query_text(spark, d):
-    return table(spark, d, "documents").select(F.substring(F.concat_ws(" ", "text"), 1, 800).alias("q"), "doc_id")
+    words = F.nullif(F.array_join(intent_keywords(F.col("text")), " "), F.lit(""))
+    return table(spark, d, "documents").select(F.substring(F.concat_ws(" ", "text", words), 1, 800).alias("q"), "doc_id")
 
 
 @query("SELECT source, sum(ceil(length(text) / 4) + 30)::BIGINT AS tokens FROM documents GROUP BY source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import clause_refs, html_clean, html_escape, intent_keywords, metric, numbers, rolling_hash, route, slug, slug_heading, zone_family, zone_mentions
+from cadastra.functions.text import clause_refs, html_clean, html_escape, intent_keywords, metric, numbers, rolling_hash, route, slug, slug_file, slug_heading, zone_family, zone_mentions
 from cadastra.functions.text import HECTARES, METRES, PERCENT, SQUARE_METRES
 from cadastra.plans.registry import query
 from cadastra.sources.tables import table
@@ -28,42 +28,55 @@ def html_escape_pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(html_escape(F.col("html"))).alias("escaped"))
 
 
-_CLAUSE = "p_name || ' in Zone R' || (p_size % 6) || ' and Zone ' || upper(left(p_type, 2)) || (p_size % 3) || ', clause 4.' || p_size || 'A or clause ' || p_partkey || ': not less than ' || (p_size * 100) || ' square metres, 1,200 m2, ' || p_size || ' ha, ' || p_size || '.5 metres, 25%'"
+# Documents with a clause behind the text, of four kinds by doc_id: land sizes, distances, shares, and none at all.
+_CLAUSE = """text || CASE doc_id % 4 WHEN 0 THEN ' Land in Zone R' || (doc_id % 6) || ' and Zone RU' || (doc_id % 3) || ' or Zone R' || (doc_id % 6) || ', clause 4.' || (doc_id % 90) || 'A or clause ' || doc_id || ': not less than ' || (doc_id % 70) || ',500 square metres, 1,200 m2 or ' || (doc_id % 9) || '.5 ha'
+  WHEN 1 THEN ' A setback in Zone E' || (doc_id % 4) || ' of not more than ' || (doc_id % 30) || '.5 metres, clause 5.' || (doc_id % 40) WHEN 2 THEN ' At most ' || (doc_id % 100) || '% of Zone Objectives or ' || (doc_id % 50) || ' per cent' ELSE '' END"""
+_BODY = f"t AS (SELECT doc_id, {_CLAUSE} AS text FROM documents)"
+_ONCE = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_FAMILY = """CASE WHEN {z} LIKE 'RU%' THEN 'RU' WHEN regexp_matches({z}, '^R[0-9]') THEN 'R' WHEN {z} LIKE 'B%' THEN 'B' WHEN {z} LIKE 'MU%' THEN 'MU' WHEN {z} LIKE 'IN%' THEN 'IN'
+  WHEN {z} LIKE 'SP%' THEN 'SP' WHEN {z} LIKE 'RE%' THEN 'RE' WHEN {z} LIKE 'C%' THEN 'C' WHEN {z} LIKE 'W%' THEN 'W' WHEN {z} LIKE 'E%' THEN 'E' ELSE 'OTHER' END"""
+_FIRST = "try_cast(replace(nullif(regexp_extract(text, '{p}', 1), ''), ',', '') AS DOUBLE)"
 
 
 def _clauses(spark, d):
-    c = F.col
-    text = F.format_string("%s in Zone R%d and Zone %s%d, clause 4.%dA or clause %d: not less than %d square metres, 1,200 m2, %d ha, %d.5 metres, 25%%", c("p_name"), c("p_size") % 6, F.upper(F.substring("p_type", 1, 2)), c("p_size") % 3, c("p_size"), c("p_partkey"), c("p_size") * 100, c("p_size"), c("p_size"))
-    return table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_name", text.alias("text"))
+    k = F.col("doc_id")
+    land = F.format_string(" Land in Zone R%d and Zone RU%d or Zone R%d, clause 4.%dA or clause %d: not less than %d,500 square metres, 1,200 m2 or %d.5 ha", k % 6, k % 3, k % 6, k % 90, k, k % 70, k % 9)
+    away = F.format_string(" A setback in Zone E%d of not more than %d.5 metres, clause 5.%d", k % 4, k % 30, k % 40)
+    share = F.format_string(" At most %d%% of Zone Objectives or %d per cent", k % 100, k % 50)
+    clause = F.when(k % 4 == 0, land).when(k % 4 == 1, away).when(k % 4 == 2, share).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat("text", clause).alias("text"))
 
 
-@query(f"SELECT p_partkey, 'R' || (p_size % 6) || ',' || upper(left(p_type, 2)) || (p_size % 3) AS zones FROM (SELECT *, {_CLAUSE} AS text FROM part)", name="zone_mentions")
+@query(rf"""WITH {_BODY}, z AS (SELECT doc_id, regexp_extract_all(text, 'Zone\s+([A-Z][A-Z0-9]*)', 1) AS l FROM t) SELECT doc_id, array_to_string({_ONCE.format(l="l")}, ',') AS zones FROM z""", name="zone_mentions")
 def zone_mention_codes(spark, d):
-    return _clauses(spark, d).select("p_partkey", F.array_join(zone_mentions(F.col("text")), ",").alias("zones"))
+    return _clauses(spark, d).select("doc_id", F.array_join(zone_mentions(F.col("text")), ",").alias("zones"))
 
 
-@query(f"""SELECT p_partkey, regexp_extract_all(text, 'Zone\\s+([A-Z][A-Z0-9]*)', 1)[1] AS zone, CASE WHEN regexp_matches(text, '^$') THEN 'x' ELSE 'residential' END AS family FROM (SELECT *, {_CLAUSE} AS text FROM part)
-           UNION ALL SELECT p_partkey, regexp_extract_all(text, 'Zone\\s+([A-Z][A-Z0-9]*)', 1)[2], CASE left(p_type, 2) WHEN 'EC' THEN 'employment' ELSE 'other' END FROM (SELECT *, {_CLAUSE} AS text FROM part)""")
+@query(rf"""WITH {_BODY}, z AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'Zone\s+([A-Z][A-Z0-9]*)', 1)) AS zone FROM t) SELECT doc_id, zone, {_FAMILY.format(z="zone")} AS family FROM z""")
 def clause_zone_explode(spark, d):
-    zones = _clauses(spark, d).select("p_partkey", F.explode(zone_mentions(F.col("text"))).alias("zone"))
+    zones = _clauses(spark, d).select("doc_id", F.explode(zone_mentions(F.col("text"))).alias("zone"))
     return zones.withColumn("family", zone_family(F.col("zone")))
 
 
-@query(f"SELECT p_partkey, '4.' || p_size || 'A|' || p_partkey AS refs FROM (SELECT *, {_CLAUSE} AS text FROM part)", name="clause_refs")
+@query(rf"""WITH {_BODY}, r AS (SELECT doc_id, regexp_extract_all(text, 'clause\s+(\d+[A-Z]*(?:\.\d+[A-Z]*)*)', 1) AS l FROM t) SELECT doc_id, array_to_string({_ONCE.format(l="l")}, '|') AS refs FROM r""", name="clause_refs")
 def clause_ref_numbers(spark, d):
-    return _clauses(spark, d).select("p_partkey", F.array_join(clause_refs(F.col("text")), "|").alias("refs"))
+    return _clauses(spark, d).select("doc_id", F.array_join(clause_refs(F.col("text")), "|").alias("refs"))
 
 
-@query("SELECT p_partkey, (p_size * 100)::DOUBLE AS value, 'sqm' AS unit, 'min' AS qualifier FROM part")
+@query(rf"""WITH {_BODY}, m AS (SELECT doc_id, lower(text) AS low, {_FIRST.format(p=SQUARE_METRES)} AS sqm, {_FIRST.format(p=METRES)} AS m, {_FIRST.format(p=PERCENT)} AS share FROM t)
+            SELECT doc_id, coalesce(sqm, m, share) AS value, CASE WHEN sqm IS NOT NULL THEN 'sqm' WHEN m IS NOT NULL THEN 'm' WHEN share IS NOT NULL THEN '%' END AS unit,
+            CASE WHEN sqm IS NOT NULL OR (m IS NULL AND share IS NOT NULL) THEN CASE WHEN contains(low, 'not less than') THEN 'min' ELSE 'max' END
+                 WHEN m IS NOT NULL THEN CASE WHEN contains(low, 'not more than') OR contains(low, 'exceed') THEN 'max' ELSE 'min' END END AS qualifier FROM m""")
 def metric_extract(spark, d):
-    return _clauses(spark, d).select("p_partkey", metric(F.col("text")).alias("m")).select("p_partkey", "m.*")
+    return _clauses(spark, d).select("doc_id", metric(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size * 100 = 1200 THEN 1 ELSE 2 END AS n_sqm, (p_size * 100)::DOUBLE AS sqm, p_size::DOUBLE AS ha, p_size + 0.5::DOUBLE AS m, 25.0::DOUBLE AS percent FROM part""")
+@query(rf"""WITH {_BODY}, s AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '{SQUARE_METRES}', 1), lambda x: replace(x, ',', '')::DOUBLE)) AS l FROM t)
+            SELECT doc_id, len(l)::INT AS n_sqm, {_FIRST.format(p=SQUARE_METRES)} AS sqm, {_FIRST.format(p=HECTARES)} AS ha, {_FIRST.format(p=METRES)} AS m, {_FIRST.format(p=PERCENT)} AS percent FROM s""")
 def metric_sets(spark, d):
     t = F.col("text")
     first = lambda p: F.try_element_at(numbers(t, p), F.lit(1))
-    return _clauses(spark, d).select("p_partkey", F.size(numbers(t, SQUARE_METRES)).alias("n_sqm"), first(SQUARE_METRES).alias("sqm"), first(HECTARES).alias("ha"), first(METRES).alias("m"), first(PERCENT).alias("percent"))
+    return _clauses(spark, d).select("doc_id", F.size(numbers(t, SQUARE_METRES)).alias("n_sqm"), first(SQUARE_METRES).alias("sqm"), first(HECTARES).alias("ha"), first(METRES).alias("m"), first(PERCENT).alias("percent"))
 
 
 @query(r"""WITH l AS (SELECT p_brand, string_agg(DISTINCT p_type || ' ' || p_name, '; ' ORDER BY p_type || ' ' || p_name) || '; Any other development not specified' AS txt FROM part GROUP BY p_brand),
@@ -75,15 +88,14 @@ def landuse_split(spark, d):
     return split.withColumn("catch_all", F.col("use").rlike("^Any other development"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || ' (' || p_name || ')'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, left(regexp_replace(lower(p_type || ' (' || p_name || ')'), '[^a-z0-9]+', '_', 'g'), 30) AS heading FROM part")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS file, left(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), 30) AS heading FROM documents")
 def slugify(spark, d):
-    title = F.concat(F.col("p_type"), F.lit(" ("), F.col("p_name"), F.lit(")"))
-    return table(spark, d, "part").select("p_partkey", slug(title).alias("slug"), slug_heading(title).alias("heading"))
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(slug(text)).alias("slug"), slug_file(text).alias("file"), slug_heading(text).alias("heading"))
 
 
 @query("""WITH z AS (SELECT p_partkey, CASE p_size % 11 WHEN 0 THEN 'RU' WHEN 1 THEN 'R' WHEN 2 THEN 'B' WHEN 3 THEN 'MU' WHEN 4 THEN 'IN' WHEN 5 THEN 'SP' WHEN 6 THEN 'RE' WHEN 7 THEN 'C' WHEN 8 THEN 'W' WHEN 9 THEN 'E' ELSE 'DM' END || (p_size % 4) AS zone FROM part)
-          SELECT p_partkey, zone, CASE WHEN zone LIKE 'RU%' THEN 'rural' WHEN regexp_matches(zone, '^R[0-9]') THEN 'residential' WHEN zone LIKE 'B%' THEN 'business' WHEN zone LIKE 'MU%' THEN 'mixed use' WHEN zone LIKE 'IN%' THEN 'industrial'
-          WHEN zone LIKE 'SP%' THEN 'special purpose' WHEN zone LIKE 'RE%' THEN 'recreation' WHEN zone LIKE 'C%' THEN 'conservation' WHEN zone LIKE 'W%' THEN 'waterway' WHEN zone LIKE 'E%' THEN 'employment' ELSE 'other' END AS family FROM z""", name="zone_family")
+          SELECT p_partkey, zone, """ + _FAMILY.format(z="zone") + " AS family FROM z", name="zone_family")
 def zone_families(spark, d):
     codes = F.array(*[F.lit(x) for x in ("RU", "R", "B", "MU", "IN", "SP", "RE", "C", "W", "E", "DM")])
     zone = F.concat(F.element_at(codes, F.col("p_size") % 11 + 1), (F.col("p_size") % 4).cast("string"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +28,15 @@ def title_index(spark: SparkSession, path: str) -> DataFrame:
     """(file, title) of XML files, the title attribute taken from the first 512 bytes, ordered by title."""
     files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 512).alias("head"))
     title = F.regexp_extract(F.decode("head", "ISO-8859-1"), r'title="([^"]*)"', 1)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.nullif(title, F.lit("")).alias("title")).orderBy("title", "file")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.nullif(title, F.lit("")).alias("title")).orderBy(F.collate("title", "UNICODE"), "file")
 
 
 def read_json_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An index of JSON lines; a missing path is an empty index."""
+    """The records of an index file `{"epis": [...]}`; a missing path is an empty index."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(f"epis array<struct<{schema}>>").json(path, multiLine=True).select(F.explode("epis").alias("r")).select("r.*")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -55,6 +58,22 @@ def safe_code(code: str) -> str:
     return out
 
 
+def load_document(spark: SparkSession, root: str, code: str, state_policy: bool = False) -> str:
+    """The XML of one instrument by its code, of the state policies' folder or the local plans'; FileNotFoundError, or ValueError for other than XML."""
+    from pyspark.errors import AnalysisException
+
+    path = f"{root}/{'SEPPs' if state_policy else 'LEPs'}/{safe_code(code)}.xml"
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(path) from e
+    if row is None or "<" not in row["value"]:
+        raise ValueError(f"{path} holds no XML")
+    return row["value"]
+
+
 def flattened(df: DataFrame, separator: str = " | ") -> DataFrame:
     """All columns as strings, arrays joined by the separator."""
 
@@ -74,6 +93,35 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_table(df: DataFrame, name: str) -> None:
+    """Add rows to a table, which is made if it isn't there; columns are matched by name."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(name):
+        df = df.select(*spark.table(name).columns)
+    df.write.mode("append").saveAsTable(name)
+
+
+def write_markdown(df: DataFrame, path: str, key: str = "path", title: str = "title", body: str = "body") -> None:
+    """A folder for each key with its sections as Markdown text: rows key, pos, title, body in order of pos."""
+    item = F.struct("pos", F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body)).alias("text"))
+    whole = df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "\n\n").alias("value"))
+    whole.write.mode("overwrite").partitionBy(key).text(path, lineSep="\n\n")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names, so that lost executors cost no recomputation; tests may leave it unset."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def swap_table(df: DataFrame, name: str) -> None:
     """Write a table under a new name and put it in the old one's place."""
     spark = df.sparkSession

@@ -1,8 +1,10 @@
 """Column functions and operators on the surveyed golden pairs and edge cases."""
 
+import itertools
 import json
 import math
 import struct
+import uuid
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import text as tx
 from cadastra.operators import retrieval as rt
 from cadastra.operators import spatial as sp
+from cadastra.sources import tables as tb
 from cadastra.plans.property import address_search, constraint_rows, pathway_rows, permissibility
 from cadastra.streaming import events as ev
 
@@ -25,7 +28,7 @@ def values(spark, f, inputs):
 def test_names(spark):
     assert values(spark, tx.lga_normalise, ["ALBURY CITY", "CITY OF PARRAMATTA", "GEORGES RIVER", "RANDWICK", None]) == ["albury", "parramatta", "georges river", "randwick", None]
     assert values(spark, tx.slug, ["Dual occupancies (attached)", "--A--"]) == ["dual-occupancies-attached", "a"]
-    assert values(spark, tx.zone_family, ["RU1", "R2", "RE1", "E4", "X"]) == ["rural", "residential", "recreation", "employment", "other"]
+    assert values(spark, tx.zone_family, ["RU1", "R2", "RE1", "E4", "X"]) == ["RU", "R", "RE", "E", "OTHER"]
 
 
 def test_section_labels(spark):
@@ -91,8 +94,10 @@ def test_fusion_prefers_the_vector_list(spark):
 
 
 def test_expand(spark):
-    edges = spark.createDataFrame([("defines", "d1", "s"), ("requires", "s", "r1"), ("requires", "s", None), ("constrains", "c1", "s"), ("constrains", "d1", "s"), ("defines", "s", "s")], "type string, from_id string, to_id string")
-    seeds = spark.createDataFrame([("s",)], "id string")
+    node = lambda x: (None, None) if x is None else (x[0], int(x[1:]))
+    kinds = [("defines", "d1", "s0"), ("requires", "s0", "r1"), ("requires", "s0", None), ("constrains", "c1", "s0"), ("constrains", "d1", "s0"), ("defines", "s0", "s0"), ("requires", "x0", "r9")]
+    edges = spark.createDataFrame([(t, *node(a), *node(b)) for t, a, b in kinds], "type string, from_kind string, from_key long, to_kind string, to_key long")
+    seeds = spark.createDataFrame([("s", 0)], "kind string, key long")
     assert [(r["id"], r["expanded_via"]) for r in rt.expand(seeds, edges).orderBy("pos").collect()] == [("d1", "defines"), ("r1", "requires"), ("c1", "constrains")]
     assert rt.expand(seeds, edges, 2).count() == 2
 
@@ -128,12 +133,127 @@ def test_geometry():
     assert sp.centroid(g) == pytest.approx((1, 1))
     assert sp.wkt(struct.pack("<BIId", 1, 0x20000001, 4283, 1.5) + struct.pack("<d", 2)) == "POINT (1.5 2)"
     move = lambda dx: sp.write_wkb("MultiPolygon", [[[(x + dx, y) for x, y in SQUARE[0]]]])
+    assert sp.wkt(sp.from_wkt("SRID=4283;MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0.2 0.1, 0.4 0.1, 0.4 0.2, 0.2 0.1)))")) == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0.2 0.1, 0.4 0.1, 0.4 0.2, 0.2 0.1)))"
     assert sp.intersects(g, move(1)) and not sp.intersects(g, move(5)) and sp.intersects(g, sp.write_wkb("Polygon", [[(x / 4 + 0.5, y / 4 + 0.5) for x, y in SQUARE[0]]]))
     # Flinders Peak to Buninyong, a published test of the inverse formula: 54,972.271 m
     assert sp.geodesic_metres(-37.951033417, 144.424867889, -37.652821139, 143.926495528) == pytest.approx(54972.271, abs=0.05)
     assert sp.geodesic_metres(1, 1, 1, 1) == 0
 
 
+def turned(start, dx=0.0, dy=0.0, back=False):
+    """A unit square whose ring starts at any of its corners and runs either way."""
+    r = [(x + dx, y + dy) for x, y in [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
+    r = r[start:] + r[:start]
+    r = r[::-1] if back else r
+    return sp.write_wkb("Polygon", [[*r, r[0]]])
+
+
+def test_touching_shapes_meet():
+    for s1, s2, back in itertools.product(range(4), range(4), (False, True)):
+        for dx, dy in itertools.product((0, 0.5, 1, 1.5), repeat=2):
+            assert sp.intersects(turned(s1), turned(s2, dx, dy, back)) == (dx <= 1 and dy <= 1)
+            # drawn in, squares that only touch don't meet
+            assert sp.intersects(sp.inset(turned(s1, back=back), 0.1), turned(s2, dx, dy)) == (dx < 1 and dy < 1)
+    hole = sp.write_wkb("Polygon", [[(-5, -5), (5, -5), (5, 5), (-5, 5), (-5, -5)], [(-2, -2), (3, -2), (3, 3), (-2, 3), (-2, -2)]])
+    assert not sp.intersects(turned(0), hole) and sp.intersects(turned(0, 2.0), hole)
+    point = lambda x, y: sp.write_wkb("Point", [(x, y)])
+    assert [sp.intersects(point(*p), turned(2)) for p in [(0.5, 0.5), (1, 0.5), (1, 1), (1.1, 0.5)]] == [True, True, True, False]
+    pair = sp.write_wkb("MultiPolygon", [[[(9, 9), (10, 9), (10, 10), (9, 9)]], [[(0.4, 0.4), (0.5, 0.4), (0.5, 0.5), (0.4, 0.4)]]])
+    assert sp.intersects(pair, turned(1)) and sp.intersects(turned(3), pair)
+
+
+def test_inset():
+    assert sp.inset(turned(0), 0.6) is None
+    assert sp.wkt(sp.inset(sp.from_wkt("POLYGON ((0 0, 2 0, 2 1, 1 1, 1 2, 0 2, 0 0))"), 0.1)) == "POLYGON ((0.1 0.1, 1.9 0.1, 1.9 0.9, 1 0.9, 0.9 1, 0.9 1.9, 0.1 1.9, 0.1 0.1))"
+    circle = [(math.cos(k / 50 * math.pi), math.sin(k / 50 * math.pi)) for k in range(100)]
+    outer, hole = sp.polygons(sp.inset(sp.write_wkb("Polygon", [[*circle, circle[0]], [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1), (-0.1, -0.1)]]), 0.2))[0]
+    assert sp._area(outer) == pytest.approx(math.pi * 0.64, rel=0.01) and abs(sp._area(hole)) == pytest.approx(0.28, abs=0.01)
+    # a slanted neighbour that only touches is left out, one that laps over by more is not
+    slant = lambda by: sp.write_wkb("Polygon", [[(2 - by, 0), (3, 0), (3, 2), (0 - by, 2), (2 - by, 0)]])
+    lot = sp.inset(sp.write_wkb("Polygon", [[(0, 0), (2, 0), (0, 2), (0, 0)]]), 0.01)
+    assert not sp.intersects(lot, slant(0.0)) and sp.intersects(lot, slant(0.1))
+
+
+def test_nearest_metres(spark):
+    points = spark.createDataFrame([(1, 144.424867889, -37.951033417)], "id int, x double, y double")
+    places = spark.createDataFrame([(7, 143.926495528, -37.652821139, "a"), (8, 120.0, -20.0, "a"), (9, 144.424867889, -37.951033417, "b")], "place_id int, x double, y double, g string")
+    got = {r["g"]: (r["place_id"], r["metres"]) for r in sp.nearest_metres(points, places, "g", 0.01).collect()}
+    assert got == {"a": (7, 54972.0), "b": (9, 0.0)}
+
+
+def test_stems(spark):
+    words = ["ponies", "glasses", "houses", "this", "running", "zoning", "thing", "zoned", "speed", "bus", "er", "ering", "others"]
+    want = ["pony", "glass", "house", "this", "run", "zon", "thing", "zon", "speed", "bus", "er", "er", "other"]
+    assert values(spark, tx.stem, words) == want
+    assert tx.search_stems("The others and ponies of Ering, ering!") == ["other", "pony", "er"] and tx.search_stems("the of and") == []
+
+
+def test_text_search(spark):
+    rows = spark.createDataFrame([(1, "Houses and the ponies"), (2, "a house, a pony; houses"), (3, "house only"), (4, None), (5, "")], "id int, text string")
+    got = [(r["id"], r["text_score"]) for r in rt.text_search(rows, "the pony of houses").orderBy("text_rank").collect()]
+    assert got == [(2, round(3 / (1 + math.log(5)), 6)), (1, round(2 / (1 + math.log(4)), 6))]
+    assert rt.text_search(rows, "the of").count() == 0 and rt.text_search(rows, "whatever", ("house",)).count() == 3
+
+
+def test_batch_search_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None)], "id long, embedding array<double>")
+    asked = rows.filter("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {(r["query_id"], r["rank"]): r["id"] for r in rt.batch_vector_search(rows, asked, 4, most=10).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 300, 7):
+        d = np.round(1 - unit @ unit[i], 6)
+        assert [got[i, k + 1] for k in range(4)] == np.lexsort((np.arange(300), d))[:4].tolist()
+    assert len(got) == 43 * 4 and rt.batch_vector_search(rows, asked.limit(0), 4).count() == 0
+
+
+def test_precedence_pairs_name_the_lowest(spark):
+    rows = [(1, "A", 1, "t", "x"), (2, "A", 3, "t", "X!"), (3, "B", 2, "t", "x"), (4, "C", 2, "t", "x "), (5, "D", 1, "t", "y"), (6, "E", 4, "t", ""), (7, "F", 1, "t", "")]
+    got = {r["loser_id"]: r["winner_id"] for r in rt.precedence_pairs(spark.createDataFrame(rows, "id int, document_id string, level int, type string, subject string")).collect()}
+    assert got == {2: 3, 3: 1, 4: 1}
+
+
+def test_plural_hit(spark):
+    cases = [("pony", "two ponies"), ("ponies", "a pony"), ("houses", "a house"), ("gas", "ga"), ("shop", "shops"), ("dairies", "dairy (restricted)"), ("farms", "arms")]
+    df = spark.createDataFrame(cases, "term string, text string")
+    assert [r[0] for r in df.select(tx.plural_hit(F.col("term"), F.col("text"))).collect()] == [True, True, True, False, True, True, False]
+
+
+def test_bold_numbers(spark):
+    texts = ["at least 1,200 m2 in 2015", "clause 4.3 allows 8.5 m", "FSR 0.5:1", "section 12 metres of", "in 1999 and 25% of 3 storeys", "Zone R2 has 2000 sqm"]
+    want = ["at least **1,200 m2** in 2015", "clause 4.3 allows **8.5 m**", "FSR **0.5:1**", "section 12 metres of", "in 1999 and **25%** of **3 storeys**", "Zone R2 has **2000 sqm**"]
+    assert values(spark, tx.bold_numbers, texts) == want
+
+
+def test_tables_and_documents(spark, tmp_path):
+    name = f"t_{uuid.uuid4().hex[:8]}"
+    tb.append_table(spark.createDataFrame([(1, "a")], "k int, v string"), name)
+    tb.append_table(spark.createDataFrame([("b", 2)], "v string, k int"), name)
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, "a"), (2, "b")]
+    tb.swap_table(spark.createDataFrame([(3, "c")], "k int, v string"), name)
+    assert [tuple(r) for r in spark.table(name).collect()] == [(3, "c")]
+    (tmp_path / "index.json").write_text('{"epis": [{"id": "x", "title": "T"}, {"id": "y"}]}')
+    assert sorted((r["id"], r["title"]) for r in tb.read_json_index(spark, str(tmp_path / "index.json"), "id string, title string").collect()) == [("x", "T"), ("y", None)]
+    assert tb.read_json_index(spark, str(tmp_path / "none.json"), "id string").count() == 0
+    (tmp_path / "LEPs").mkdir()
+    (tmp_path / "LEPs" / "a-2010.xml").write_text("<act>\n<x/></act>")
+    assert tb.load_document(spark, str(tmp_path), "A-2010!") == "<act>\n<x/></act>"
+    with pytest.raises(FileNotFoundError):
+        tb.load_document(spark, str(tmp_path), "a-2010", state_policy=True)
+    with pytest.raises(ValueError):
+        tb.load_document(spark, str(tmp_path), "../!")
+    rows = spark.createDataFrame([("a", 2, "Second", "two"), ("a", 1, "First", "one"), ("b", 1, "Only", "x")], "path string, pos int, title string, body string")
+    tb.write_markdown(rows, str(tmp_path / "md"))
+    back = {r["path"].split("path=")[1][0]: r["body"].strip() for r in tb.read_markdown(spark, str(tmp_path / "md/*/*.txt")).collect()}
+    assert back == {"a": "## First\n\none\n\n## Second\n\ntwo", "b": "## Only\n\nx"}
+    (tmp_path / "urls.csv").write_text("name,URL\na,http://x\nb, \n")
+    assert [r["name"] for r in tb.read_url_csv(spark, str(tmp_path / "urls.csv")).collect()] == ["a"]
+    tb.write_csv(spark.createDataFrame([("a", ["x", 'y"z'], None)], "k string, l array<string>, n string"), str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()
+    assert [tuple(r) for r in back] == [("a", 'x | y"z', None)]
+
+
 def test_geometry_join(spark):
     shape = lambda dx: sp.write_wkb("Polygon", [[(x + dx, y) for x, y in SQUARE[0]]])
     a = spark.createDataFrame([(i, shape(i * 2.0)) for i in range(6)], "id int, geometry binary")

@@ -33,7 +33,7 @@ def test_elements(e):
 
 
 def test_zones_and_uses(e):
-    assert [(r["code"], r["title"], r["family"]) for r in lx.zones(e).orderBy("code").collect()] == [("R2", "Low Density Residential", "residential"), ("RU1", "Primary Production", "rural")]
+    assert [(r["code"], r["title"], r["family"]) for r in lx.zones(e).orderBy("code").collect()] == [("R2", "Low Density Residential", "R"), ("RU1", "Primary Production", "RU")]
     got = sorted((r["code"], r["consent"], r["slug"], r["catch_all"]) for r in lx.land_uses(e).collect())
     assert got == [("R2", "prohibited", "pubs", False), ("R2", "with", "any-other-development-not-specified-in-item-2", True), ("R2", "with", "dual-occupancies", False), ("R2", "with", "dwelling-houses", False)]
     assert [(r["term"], r["slug"]) for r in lx.definitions(e).collect()] == [("Pub", "pub")]
@@ -63,13 +63,19 @@ def test_site_lots(spark):
 
 
 def test_layers(spark):
-    known = {x.name: x for x in ly.catalogue()}
+    known = {x.name: x for x in ly.CATALOGUE}
     assert len(known) == 49 and known["lzn_historic"].history and known["floodsdf"].geometry == "wkb_geometry" and known["suburb"].place == "centroid"
     box = lambda x, w=1.0: write_wkb("Polygon", [[(x, 0.0), (x + w, 0.0), (x + w, 1.0), (x, 1.0), (x, 0.0)]])
     lots = spark.createDataFrame([(1, box(0.0)), (2, box(1.0)), (3, box(50.0))], "lot_id int, geometry binary")
     zones = spark.createDataFrame([("R2", "Low", "E", None, box(0.0)), ("E1", "Local", "E", "x", box(0.5, 1.0)), (None, "Low", "E", None, box(0.0))], "SYM_CODE string, LAY_CLASS string, EPI_NAME string, LABEL string, geometry binary")
     hist = spark.createDataFrame([("B", "2001", "2020-01-01", box(0.0)), ("A", "2002", "2020-01-01", box(0.0)), ("C", "2003", "9999-01-01", box(0.0))], "sym_code string, commenced_datetime string, published_datetime string, geometry binary")
     hist = hist.withColumns({"lay_class": F.col("sym_code"), "amendment": F.col("sym_code")})
-    got = {r["lot_id"]: r for r in ly.enrich(lots, {"Land_Zoning_Map": zones, "land_zoning_map_historic": hist}, 1.0).collect()}
+    broken = hist.select("geometry")  # a layer whose columns are missing fails by itself
+    suburbs = spark.createDataFrame([("West", "1", box(-9.0, 10.0)), ("East", "2", box(1.0, 9.0))], "SUBURBNAME string, POSTCODE string, geometry binary")
+    wide, failed = ly.enrich(lots, {"Suburbs": suburbs, "Land_Zoning_Map": zones, "land_zoning_map_historic": hist, "Floor_Space_Ratio_Map": broken}, 1.0)
+    got = {r["lot_id"]: r for r in wide.collect()}
+    # lots 1 and 2 share a border with both suburbs; their centroids lie in one
+    assert [got[i]["suburbname"] for i in (1, 2, 3)] == ["West", "East", None]
+    assert list(failed) == ["fsr"] and "FSR" in failed["fsr"]
     assert (got[1]["lzn_sym_code"], got[2]["lzn_sym_code"], got[3]["lzn_sym_code"]) == ("E1, R2", "E1", None)
     assert got[1]["historic_zone"] == "B | A" and got[1]["lzn_label"] == "x"
