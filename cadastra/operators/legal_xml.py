@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import HECTARES, METRES, PERCENT, SQUARE_METRES, clause_refs, metric, numbers, slug, zone_family, zone_mentions
+from cadastra.functions.text import HECTARES, METRES, PERCENT, SQUARE_METRES, clause_refs, metric, numbers, plural_hit, slug, zone_family, zone_mentions
 from cadastra.operators.relational import first_by
 
-FIELDS = "path string, pos int, parent int, depth int, tag string, id string, kind string, status string, number string, heading string, text string, error string"
-_KEPT = {"level", "tier", "li", "defterm", "extref", "legref", "row"}
+FIELDS = (
+    "path string, pos int, parent int, depth int, tag string, id string, kind string, status string, number string, heading string, text string, error string, "
+    "within string, clause int, tier int, label string, lead string, block string, whole string, title string, year string"
+)
+_KEPT = {"level", "tier", "li", "defterm", "extref", "legref", "row", "metacontent"}
 _LAYERS = {"level", "tier", "li"}
 
 
@@ -35,38 +39,69 @@ def _own_text(node: ET.Element) -> str:
     return " ".join(" ".join(parts).split())
 
 
+def _block_text(block: ET.Element | None) -> str:
+    """A block as it is read: its texts, and the items of its lists as `(no) text`, nested ones too; notes are left out."""
+    parts = []
+    for x in block if block is not None else ():
+        if x.tag == "txt":
+            parts.append(_flat(x))
+        elif x.tag == "list":
+            for item in x.findall("li"):
+                said, no = _block_text(item.find("block")), item.find("no")
+                parts.append(f"{_flat(no)} {said}" if said and no is not None else said)
+    return " ".join(" ".join(parts).split())
+
+
 def walk(path: str, xml: str) -> Iterator[tuple]:
-    """The rows of one document; a document that can't be parsed gives one row with the error, cut to 200 characters."""
+    """The rows of one document; a document that can't be parsed gives one row with the error, cut to 200 characters.
+
+    within: the ids of the levels around an element; clause, tier: the places of those nearest around it; label: the numbers from the
+    clause down to it; lead, block: the first text of its block, and all of it as it is read; whole: all its text.
+    """
     try:
         root = ET.fromstring(xml)
     except ET.ParseError as e:
-        yield (path, 0, None, 0, None, None, None, None, None, None, None, str(e)[:200])
+        yield (path, 0, None, 0, *[None] * 7, str(e)[:200], *[None] * 9)
         return
     count = 0
-    stack: list[tuple[ET.Element, int | None, int]] = [(root, None, 0)]
+    stack: list[tuple] = [(root, None, 0, "", None, None, "")]
     while stack:
-        node, parent, depth = stack.pop()
+        node, parent, depth, within, clause, tier, label = stack.pop()
         if node is root or node.tag in _KEPT:
             at, count = count, count + 1
             head = node.find("head")
             text = " | ".join(_flat(e) for e in node.iter("entry")) if node.tag == "row" else _own_text(node)
-            no = node.find("no") if head is None else head.find("no")
+            no = node.find("no") if head is None or head.find("no") is None else head.find("no")
+            number = None if no is None else _flat(no)
             title = None if head is None else head.find("heading")
-            yield (path, at, parent, depth, node.tag, node.get("id"), node.get("type") or node.get("class"), node.get("status"), None if no is None else _flat(no), None if title is None else _flat(title), text, None)
+            kind, block, layer = node.get("type") or node.get("class"), node.find("block"), node.tag in _LAYERS
+            if kind == "clause":
+                label = ""
+            label = label + (number or "").replace(" ", "") if layer else label
+            txt = None if block is None else block.find("txt")
+            yield (
+                path, at, parent, depth, node.tag, node.get("id"), kind, node.get("status"), number, None if title is None else _flat(title), text, None,
+                within, clause, tier, label or None, None if txt is None else _flat(txt), None if block is None else _block_text(block), _flat(node) if layer else None,
+                node.get("title") if node is root else None, node.get("year") if node is root else None,
+            )
             parent, depth = at, depth + 1
-        stack += [(x, parent, depth) for x in reversed(node)]
+            if node.tag == "level":
+                within, clause, tier = f"{within}/{node.get('id') or ''}", at if kind == "clause" else None, None
+            elif node.tag == "tier":
+                tier = at
+        stack += [(x, parent, depth, within, clause, tier, label) for x in reversed(node)]
 
 
 def elements(files: DataFrame) -> DataFrame:
     """files (path, xml) to one row an element, in document order (pos); see FIELDS."""
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 8]
-    names = [f.split()[0] for f in FIELDS.split(", ")]
+    names, types = zip(*[f.split() for f in FIELDS.split(", ")], strict=True)
+    kinds = [pa.int32() if t == "int" else pa.string() for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = list(walk(path, xml or ""))
-                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
     return files.select("path", "xml").mapInArrow(run, FIELDS)
 
@@ -156,6 +191,165 @@ def heritage_items(e: DataFrame) -> DataFrame:
     return out.select("path", "pos", *[F.trim(F.col("c")[i]).alias(n) for i, n in enumerate(names)]).filter("item_name != '' and item_no != '' and lower(item_name) != 'item name'")
 
 
+def plan_info(e: DataFrame) -> DataFrame:
+    """(path, id, title, year, council) of each document."""
+    council = e.filter("tag = 'metacontent' and kind = 'council'").groupBy("path").agg(F.min_by("text", "pos").alias("council"))
+    return e.filter("parent is null and tag is not null").join(council, "path", "left").select("path", "id", "title", "year", "council")
+
+
+def sections(e: DataFrame) -> DataFrame:
+    """(path, id, number, title, part): the parts, and the clauses of parts 4 and 5."""
+    found = e.filter((F.col("tag") == "level") & (((F.col("kind") == "part") & F.col("id").rlike(r"^pt\.\d+$")) | ((F.col("kind") == "clause") & F.col("id").rlike(r"^sec\.[45]\.[0-9A-Z]+$"))))
+    return found.filter("heading != ''").select("path", "id", "number", F.col("heading").alias("title"), F.regexp_extract("id", r"^(?:pt|sec)\.(\d+)", 1).cast("int").alias("part"))
+
+
+def _subclauses(e: DataFrame) -> DataFrame:
+    """The tiers in force right below a clause, with the clause's id, that are more than an objective."""
+    heads = e.filter("tag = 'level' and kind = 'clause'").select("path", F.col("pos").alias("clause"), F.col("id").alias("clause_id"))
+    tiers = e.filter("tag = 'tier' and coalesce(status, '') != 'repealed' and block is not null").join(heads, ["path", "clause"])
+    return tiers.filter(F.col("id").rlike(r"^.*-ssec\.[^-]+$") & (F.regexp_replace("id", r"-ssec\.[^-]+$", "") == F.col("clause_id")))
+
+
+_OBJECTIVES = r"(?i)^the objectives? of this clause"
+
+
+def requirement_tree(e: DataFrame, parts: str = r"^sec\.[45]\.[0-9A-Z]+$") -> DataFrame:
+    """(path, id, parent_id, clause_id, section_id, description, value, unit, qualifier, clause): what the clauses of parts 4 and 5 ask for.
+
+    A clause is a requirement without a measure. In part 4 its subclauses and all items of their lists, at any depth, are below it,
+    each with the measure in its text. In part 5 the items right below a subclause are, led in by its text, and where a
+    clause has a list of its own, the items of that at any depth. Of equal ids the first counts. Objectives, repealed and
+    not adopted text are left out, and clause 5.4, which has rows of its own (controls).
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = e.filter(F.col("id").rlike(parts) & (F.col("id") != "sec.5.4")).filter("tag = 'level' and kind = 'clause' and coalesce(status, '') != 'repealed' and heading != ''")
+    heads = heads.filter(~F.coalesce("lead", F.lit("")).rlike(r"(?i)^\[not adopted\]"))
+    top = heads.select("path", "pos", "id", none("string").alias("parent"), F.coalesce("number", F.regexp_replace("id", r"^sec\.", "")).alias("clause_id"), F.col("heading").alias("description"), none("string").alias("_said"), F.col("pos").alias("clause"))
+    of = heads.select("path", F.col("pos").alias("clause"), F.col("id").alias("_clause"), F.col("id").startswith("sec.4.").alias("_deep"))
+    tiers = _subclauses(e).join(of, ["path", "clause"]).filter(~F.coalesce("lead", F.lit("")).rlike(_OBJECTIVES))
+    long = tiers.filter("length(block) >= 10")
+    below = long.filter("_deep").select("path", "pos", "id", F.col("_clause").alias("parent"), F.col("label").alias("clause_id"), F.col("block").alias("description"), F.col("block").alias("_said"), "clause")
+
+    named = e.filter("tag in ('level', 'tier', 'li')").select("path", F.col("pos").alias("parent"), F.coalesce("id", F.lit("")).alias("_parent"), (F.col("tag") == "li").alias("_nested"))
+    items = e.filter("tag = 'li' and block != ''").join(named, ["path", "parent"]).join(of, ["path", "clause"])
+    items = items.withColumn("id", F.coalesce("id", F.concat("_parent", F.lit("-li"))))
+    inside = items.join(tiers.select("path", F.col("pos").alias("tier"), F.col("lead").alias("_lead"), F.col("block").alias("_tier")), ["path", "tier"])
+    deep = inside.filter("_deep and length(_tier) >= 10").select("path", "pos", "id", F.col("_parent").alias("parent"), F.col("label").alias("clause_id"), F.col("block").alias("description"), F.col("block").alias("_said"), "clause")
+    led = F.trim(F.concat_ws(" ", F.nullif("_lead", F.lit("")), F.nullif("number", F.lit("")), "block"))
+    flat = inside.filter("not _deep and not _nested").select("path", "pos", "id", F.col("_clause").alias("parent"), F.col("label").alias("clause_id"), led.alias("description"), none("string").alias("_said"), "clause")
+    own = items.filter("not _deep and tier is null").filter(~F.coalesce("lead", "block").rlike(r"(?i)^\[not (?:adopted|applicable)\]"))
+    own = own.select("path", "pos", "id", F.col("_parent").alias("parent"), F.col("label").alias("clause_id"), F.col("block").alias("description"), F.col("block").alias("_said"), "clause")
+
+    every = reduce(DataFrame.unionByName, [top, below, deep, flat, own])
+    first = first_by(every, ["path", "id"], [F.col("pos")])
+    top_unit = F.when(F.col("parent").isNull(), "map-reference")
+    measured = first.withColumn("_m", metric(F.coalesce("_said", F.lit(""))))
+    return measured.select("path", F.concat(F.lit("req:"), "id").alias("id"), F.concat(F.lit("req:"), "parent").alias("parent_id"), "clause_id", F.col("id").alias("section_id"), "description", "_m.value", F.coalesce("_m.unit", top_unit).alias("unit"), "_m.qualifier", "clause")
+
+
+def controls(e: DataFrame) -> DataFrame:
+    """(path, id, clause_id, use_slug, description, value, unit, qualifier, zones): the subclauses of 5.4, each for the use that its heading names."""
+    tiers = e.filter(F.col("id").startswith("sec.5.4-ssec.")).filter("tag = 'tier' and coalesce(status, '') != 'repealed' and heading != '' and lead != ''")
+    tiers = tiers.filter(~F.col("lead").rlike(r"(?i)^\[not adopted\]"))
+    sqm = F.try_element_at(numbers(F.col("lead"), r"([\d,]+)\s*(?:square metres?)"), F.lit(1))
+    rooms = F.nullif(F.regexp_extract("lead", r"(?i)no more than (\d+)\s*bedrooms?", 1), F.lit("")).cast("double")
+    unit = F.when(sqm.isNotNull(), "sqm").when(rooms.isNotNull(), "bedrooms")
+    clause = F.concat(F.regexp_replace(F.regexp_replace("id", r"^sec\.", ""), r"-ssec\.", "("), F.lit(")"))
+    known = zones(e).groupBy("path").agg(F.collect_set("code").alias("_codes"))
+    named = F.array_intersect(zone_mentions(F.col("lead")), F.coalesce("_codes", F.array().cast("array<string>")))
+    return tiers.join(known, "path", "left").select("path", F.concat(F.lit("req:"), "id").alias("id"), clause.alias("clause_id"), slug(F.col("heading")).alias("use_slug"), F.col("lead").alias("description"), F.coalesce(sqm, rooms).alias("value"), unit.alias("unit"), F.lit("max").alias("qualifier"), named.alias("zones"))
+
+
+def requirement_zones(tree: DataFrame, e: DataFrame) -> DataFrame:
+    """(path, id, zone): the known zones that a requirement's clause names, or all of the document's where it names none."""
+    known = zones(e).groupBy("path").agg(F.array_sort(F.collect_set("code")).alias("_codes"))
+    named = e.filter("tag = 'level' and kind = 'clause'").join(known, "path").withColumn("_named", F.array_intersect(zone_mentions(F.col("whole")), "_codes"))
+    per = named.select("path", F.col("pos").alias("clause"), F.when(F.size("_named") > 0, F.col("_named")).otherwise(F.col("_codes")).alias("_zones"))
+    return tree.join(per, ["path", "clause"]).select("path", "id", F.explode("_zones").alias("zone"))
+
+
+def requirement_uses(tree: DataFrame, e: DataFrame) -> DataFrame:
+    """(path, id, use_slug): the uses of the document's zone tables that a requirement's text names, also in singular or plural.
+
+    Both sides meet on the first three characters of a use, which no ending changes.
+    """
+    uses = land_uses(e).filter("not catch_all").select("path", F.lower("use").alias("_term"), F.col("slug").alias("use_slug")).distinct()
+    whole = e.filter("tag = 'level' and kind = 'clause'").select("path", F.col("pos").alias("clause"), "whole")
+    texts = tree.join(whole, ["path", "clause"]).select("path", "id", F.lower(F.when(F.col("parent_id").isNull(), F.col("whole")).otherwise(F.col("description"))).alias("_text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1)))
+    keyed = texts.withColumn("_key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(3))))))
+    met = keyed.join(uses.withColumn("_key", F.substring("_term", 1, 3)), ["path", "_key"])
+    return met.filter(plural_hit(F.col("_term"), F.col("_text"))).select("path", "id", "use_slug").distinct()
+
+
+def prerequisites(e: DataFrame) -> DataFrame:
+    """(path, kind, pos, text): the subclauses of 3.1 (exempt) and 3.2 (complying), and the areas that 3.3 excludes."""
+    said = _subclauses(e).filter(F.col("clause_id").isin("sec.3.1", "sec.3.2")).filter((F.col("block") != "") & ~F.col("block").rlike("(?i)^the objective"))
+    said = said.select("path", F.when(F.col("clause_id") == "sec.3.1", "exempt").otherwise("complying").alias("kind"), "pos", F.col("block").alias("text"))
+    return said.unionByName(exclusion_areas(e).select("path", F.lit("excluded").alias("kind"), "pos", "text"))
+
+
+def exclusion_areas(e: DataFrame) -> DataFrame:
+    """(path, pos, letter, text, refs): the areas listed in 3.3(2), with the clauses that they refer to."""
+    tier = e.filter("tag = 'tier' and id = 'sec.3.3-ssec.2'").select("path", F.col("pos").alias("parent"))
+    items = e.filter("tag = 'li'").join(tier, ["path", "parent"])
+    letter = F.trim(F.regexp_replace("number", r"[()]", ""))
+    text = F.trim(F.regexp_replace("whole", r"^\([^)]*\)\s*", ""))
+    return items.select("path", "pos", letter.alias("letter"), text.alias("text"), clause_refs(text).alias("refs")).filter("letter != '' and text != ''")
+
+
+def schedule_items(e: DataFrame) -> DataFrame:
+    """(path, id, heading, consent, zones, conditions): schedule 2's clauses (exempt) and those of schedule 3, part 1 (complying).
+
+    zones: the known zones that the conditions name; a clause without conditions in force is left out.
+    """
+    consent = F.when(F.col("within").contains("/sch.2/") | F.col("within").endswith("/sch.2"), "exempt").when(F.col("within").contains("/sch.3-pt.1"), "complying")
+    heads = e.filter("tag = 'level' and kind = 'clause' and coalesce(status, '') != 'repealed' and heading != ''").withColumn("consent", consent).filter("consent is not null")
+    said = _subclauses(e).filter("block != ''").groupBy("path", "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]).alias("conditions"))
+    known = zones(e).groupBy("path").agg(F.collect_set("code").alias("_codes"))
+    out = heads.drop("clause").withColumnRenamed("pos", "clause").join(said, ["path", "clause"]).join(known, "path", "left")
+    named = F.array_intersect(zone_mentions(F.array_join("conditions", " ")), F.coalesce("_codes", F.array().cast("array<string>")))
+    return out.select("path", "id", "heading", "consent", named.alias("zones"), "conditions")
+
+
+def additional_uses(e: DataFrame) -> DataFrame:
+    """(path, id, heading, address, lots, permitted, use_slugs): schedule 1's sites: where they are, and what is permitted there.
+
+    The first subclause describes the land, the others grant uses; use_slugs are those that the dictionary or a zone table knows.
+    """
+    heads = e.filter("tag = 'level' and kind = 'clause' and heading != ''").filter(F.col("id").startswith("sch.1-sec."))
+    tiers = e.filter("tag = 'tier'").filter(F.col("id").rlike(r"^sch\.1-sec\.[^-]+-ssec\.[^-]+$")).select("path", "clause", "pos", "whole")
+    said = tiers.groupBy("path", "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "whole"))), lambda x: x["whole"]).alias("_t")).filter("size(_t) >= 2")
+    rows = heads.drop("clause").withColumnRenamed("pos", "clause").join(said, ["path", "clause"])
+    grant = F.array_join(F.slice("_t", 2, F.size("_t")), " ")
+    for_what = F.regexp_extract_all(grant, F.lit(r"(?i)purposes of (?:an? )?([a-z][a-z ,/()&-]+?)(?:\s+is permitted|\s+are permitted|,\s+vehicle|\s*\.|$)"), 1)
+    slugs = F.array_distinct(F.transform(F.flatten(F.transform(for_what, lambda x: F.split(x, r"\s*,\s*(?:and\s+)?"))), lambda x: slug(F.trim(x))))
+    known = definitions(e).select("path", "slug").unionByName(land_uses(e).select("path", "slug")).groupBy("path").agg(F.collect_set("slug").alias("_known"))
+    rows = rows.join(known, "path", "left")
+    lots = F.regexp_extract(F.col("_t")[0], r"(?i)(Lots?\s[\d\sand]+,\s*DP\s*\d+)", 1)
+    return rows.select("path", "id", "heading", F.trim(F.regexp_replace("heading", r"(?i)^use of certain land at\s+", "")).alias("address"), lots.alias("lots"), grant.alias("permitted"), F.array_intersect(slugs, F.coalesce("_known", F.array().cast("array<string>"))).alias("use_slugs"))
+
+
+def local_provisions(e: DataFrame) -> DataFrame:
+    """(path, id, number, title, summary): part 6's clauses in force, summed up by their first subclause that is no objective."""
+    heads = e.filter("tag = 'level' and kind = 'clause' and coalesce(status, '') != 'repealed' and heading != ''").filter(F.col("id").rlike(r"^sec\.6\.[0-9A-Z]+$") & F.col("within").contains("/pt.6"))
+    tiers = e.filter("tag = 'tier' and whole != ''").filter(F.col("id").rlike(r"^sec\.6\.[0-9A-Z]+-ssec\.[^-]+$"))
+    told = tiers.filter(~F.regexp_replace("whole", r"^\([^)]*\)\s*", "").rlike(_OBJECTIVES)).groupBy("path", "clause").agg(F.min_by("whole", "pos").alias("summary"))
+    rows = heads.drop("clause").withColumnRenamed("pos", "clause").join(told, ["path", "clause"], "left")
+    return rows.select("path", "id", "number", F.col("heading").alias("title"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def markdown_sections(e: DataFrame, least: int = 30) -> DataFrame:
+    """(path, pos, title, body): a document's levels as the sections of a Markdown text; bodies of up to `least` characters stay out."""
+    levels = e.filter("tag = 'level' and coalesce(status, '') != 'repealed' and heading != ''")
+    title = F.concat(F.concat_ws(" ", F.nullif("number", F.lit("")), "heading"), F.coalesce(F.concat(F.lit(" ["), "id", F.lit("]")), F.lit("")))
+    tiers = e.filter("tag = 'tier' and coalesce(status, '') != 'repealed' and block != ''").select("path", F.col("parent").alias("pos"), F.struct(F.col("pos").alias("p"), F.concat_ws(" ", "number", "block").alias("t")).alias("x"))
+    said = tiers.groupBy("path", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("_below"))
+    body = F.concat_ws("\n\n", F.nullif("block", F.lit("")), "_below")
+    rows = levels.join(said, ["path", "pos"], "left").select("path", "pos", title.alias("title"), body.alias("body"))
+    return rows.withColumn("body", F.when(F.length("body") > least, F.col("body")).otherwise(""))
+
+
 def site_lots(text):
     """Lot and plan references of a site's text, as `Lot 9, DP 862908` or `Lots 7300 and 7301, DP 1153423`."""
     return F.regexp_extract_all(text, F.lit(r"(Lots? [\dA-Z]+(?:(?:, | and )[\dA-Z]+)*, (?:DP|SP) \d+)"), 1)

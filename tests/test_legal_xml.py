@@ -57,6 +57,83 @@ def test_structure(e):
     assert [(r["item_no"], r["item_name"]) for r in lx.heritage_items(e).collect()] == [("I1", "Hall")]
 
 
+RULES = """<act id="lep-2" title="Rule Plan" year="2012"><metacontent class="council"> Test Council </metacontent>
+ <level type="part" id="pt.2"><head><no>Part 2</no><heading>Zones</heading></head>
+  <level type="clausegroup" id="z1"><head><heading>Zone R2 Low</heading></head><tier id="u1"><head><heading>Permitted with consent</heading></head><block><txt>Dual occupancies; Dairies; Shops</txt></block></tier></level>
+  <level type="clausegroup" id="z2"><head><heading>Zone E1 Local</heading></head><tier id="u2"><head><heading>Prohibited</heading></head><block><txt>Pubs</txt></block></tier></level></level>
+ <level type="clause" id="sec.3.1"><head><no>3.1</no><heading>Exempt</heading></head><tier id="sec.3.1-ssec.1"><head><no>(1)</no></head><block><txt>The objective of this clause is x.</txt></block></tier>
+  <tier id="sec.3.1-ssec.2"><head><no>(2)</no></head><block><txt>Must be minor</txt><note>not this</note><list><li id="q1"><no>(a)</no><block><txt>and safe</txt></block></li></list></block></tier></level>
+ <level type="clause" id="sec.3.3"><head><no>3.3</no><heading>Areas</heading></head><tier id="sec.3.3-ssec.2"><block><txt>areas</txt><deflist><block><list><li><no>(a)</no><block><txt>coast, clause 5.5</txt></block></li><li><no>(b)</no><block><txt>parks</txt></block></li></list></block></deflist></block></tier></level>
+ <level type="clause" id="sec.4.1"><head><no>4.1</no><heading>Lot size</heading></head>
+  <tier id="sec.4.1-ssec.1"><head><no>(1)</no></head><block><txt>The objectives of this clause are</txt><list><li id="o1"><no>(a)</no><block><txt>nothing of note</txt></block></li></list></block></tier>
+  <tier id="sec.4.1-ssec.2"><head><no>(2)</no></head><block><txt>In Zone R2 a dairy needs</txt><list><li id="i1"><no>(a)</no><block><txt>not less than 500 square metres, and</txt><list><li id="i2"><no>(i)</no><block><txt>25% of shop fronts</txt></block></li></list></block></li><li><no>(b)</no><block><txt>8.5 metres</txt></block></li><li><no>(c)</no><block><txt>later</txt></block></li></list></block></tier>
+  <tier id="sec.4.1-ssec.3" status="repealed"><block><txt>a repealed subclause</txt></block></tier></level>
+ <level type="clause" id="sec.5.3"><head><no>5.3</no><heading>Zone edges</heading></head>
+  <tier id="sec.5.3-ssec.1"><head><no>(1)</no></head><block><txt>This clause applies to a pub:</txt><list><li id="p1"><no>(a)</no><block><txt>near roads</txt><list><li id="p2"><no>(i)</no><block><txt>deep down</txt></block></li></list></block></li></list></block></tier></level>
+ <level type="clause" id="sec.5.4"><head><no>5.4</no><heading>Controls</heading></head>
+  <tier id="sec.5.4-ssec.1"><head><no>(1)</no><heading>Bed and breakfast</heading></head><block><txt>no more than 3 bedrooms in Zone R2 or Zone X9</txt></block></tier>
+  <tier id="sec.5.4-ssec.7AA"><head><no>(7AA)</no><heading>Kiosks</heading></head><block><txt>must not exceed 1,200 square metres</txt></block></tier>
+  <tier id="sec.5.4-ssec.8"><head><no>(8)</no><heading>None</heading></head><block><txt>[Not adopted]</txt></block></tier></level>
+ <level type="clause" id="sec.5.5"><head><no>5.5</no><heading>Coast</heading></head><block><list><li id="c1"><no>(a)</no><block><txt>at least 10 metres</txt><list><li id="c2"><no>(i)</no><block><txt>of sand</txt></block></li></list></block></li><li id="c3"><no>(b)</no><block><txt>[Not applicable]</txt></block></li></list></block></level>
+ <level type="clause" id="sec.5.6"><head><no>5.6</no><heading>Roofs</heading></head><block><txt>[Not adopted]</txt></block></level>
+ <level type="part" id="pt.6"><head><no>Part 6</no><heading>Local</heading></head><level type="clause" id="sec.6.1"><head><no>6.1</no><heading>Earthworks</heading></head>
+  <tier id="sec.6.1-ssec.1"><head><no>(1)</no></head><block><txt>The objective of this clause is order.</txt></block></tier><tier id="sec.6.1-ssec.2"><head><no>(2)</no></head><block><txt>Consent is needed.</txt></block></tier></level>
+  <level type="clause" id="sec.6.2"><head><no>6.2</no><heading>Bare</heading></head></level></level>
+ <level type="schedule" id="sch.1"><level type="clause" id="sch.1-sec.1"><head><no>1</no><heading>Use of certain land at 5 Main Road, Town</heading></head>
+  <tier id="sch.1-sec.1-ssec.1"><block><txt>This clause applies to Lots 3 and 4, DP 1234, Town.</txt></block></tier><tier id="sch.1-sec.1-ssec.2"><block><txt>Development for the purposes of a shops, and kiosks is permitted with consent.</txt></block></tier></level></level>
+ <level type="schedule" id="sch.2"><level type="clause" id="sch.2-sec.1"><head><heading>Signs</heading></head><tier id="sch.2-sec.1-ssec.1"><block><txt>Small ones in Zone E1</txt></block></tier><tier id="sch.2-sec.1-ssec.2"><block><txt>Flat ones</txt></block></tier></level><level type="clause" id="sch.2-sec.2"><head><heading>Empty</heading></head></level></level>
+ <level type="schedule" id="sch.3"><level type="part" id="sch.3-pt.1"><level type="clause" id="sch.3-sec.1"><head><heading>Pools</heading></head><tier id="sch.3-sec.1-ssec.1"><block><txt>Fenced</txt></block></tier></level></level>
+  <level type="part" id="sch.3-pt.2"><level type="clause" id="sch.3-sec.9"><head><heading>Conditions</heading></head><tier id="sch.3-sec.9-ssec.1"><block><txt>Other</txt></block></tier></level></level></level>
+</act>"""
+
+
+@pytest.fixture(scope="module")
+def rules(spark):
+    return lx.elements(spark.createDataFrame([("r.xml", RULES), ("bad.xml", "<a")], "path string, xml string")).cache()
+
+
+def test_requirement_tree(rules):
+    tree = lx.requirement_tree(rules).cache()
+    got = {r["section_id"]: (r["parent_id"], r["clause_id"], r["value"], r["unit"], r["qualifier"]) for r in tree.collect()}
+    assert got == {
+        "sec.4.1": (None, "4.1", None, "map-reference", None),
+        "sec.4.1-ssec.2": ("req:sec.4.1", "4.1(2)", 500.0, "sqm", "min"),
+        "i1": ("req:sec.4.1-ssec.2", "4.1(2)(a)", 500.0, "sqm", "min"),
+        "i2": ("req:i1", "4.1(2)(a)(i)", 25.0, "%", "max"),
+        "sec.4.1-ssec.2-li": ("req:sec.4.1-ssec.2", "4.1(2)(b)", 8.5, "m", "min"),  # items without an id share one: the first counts
+        "sec.5.3": (None, "5.3", None, "map-reference", None),
+        "p1": ("req:sec.5.3", "5.3(1)(a)", None, None, None),
+        "sec.5.5": (None, "5.5", None, "map-reference", None),
+        "c1": ("req:sec.5.5", "5.5(a)", 10.0, "m", "min"),
+        "c2": ("req:c1", "5.5(a)(i)", None, None, None),
+    }
+    said = {r["section_id"]: r["description"] for r in tree.collect()}
+    assert said["p1"] == "This clause applies to a pub: (a) near roads (i) deep down" and said["i1"] == "not less than 500 square metres, and (i) 25% of shop fronts"
+    zones = {(r["id"], r["zone"]) for r in lx.requirement_zones(tree, rules).collect()}
+    assert ("req:i2", "R2") in zones and ("req:i2", "E1") not in zones and {("req:sec.5.5", "R2"), ("req:sec.5.5", "E1")} <= zones
+    uses = {(r["id"], r["use_slug"]) for r in lx.requirement_uses(tree, rules).collect()}
+    assert uses == {("req:sec.4.1", "dairies"), ("req:sec.4.1", "shops"), ("req:sec.4.1-ssec.2", "dairies"), ("req:sec.4.1-ssec.2", "shops"), ("req:i1", "shops"), ("req:i2", "shops")}  # a use of four letters keeps its s
+
+
+def test_controls(rules):
+    got = [(r["clause_id"], r["use_slug"], r["value"], r["unit"], r["zones"]) for r in lx.controls(rules).orderBy("id").collect()]
+    assert got == [("5.4(1)", "bed-and-breakfast", 3.0, "bedrooms", ["R2"]), ("5.4(7AA)", "kiosks", 1200.0, "sqm", [])]
+
+
+def test_other_parts(rules):
+    assert [tuple(r)[1:] for r in lx.plan_info(rules).collect()] == [("lep-2", "Rule Plan", "2012", "Test Council")]
+    assert {(r["kind"], r["text"]) for r in lx.prerequisites(rules).collect()} == {("exempt", "Must be minor (a) and safe"), ("excluded", "coast, clause 5.5"), ("excluded", "parks")}
+    assert [(r["letter"], r["refs"]) for r in lx.exclusion_areas(rules).orderBy("pos").collect()] == [("a", ["5.5"]), ("b", [])]
+    items = {r["heading"]: (r["consent"], r["zones"], r["conditions"]) for r in lx.schedule_items(rules).collect()}
+    assert items == {"Signs": ("exempt", ["E1"], ["Small ones in Zone E1", "Flat ones"]), "Pools": ("complying", [], ["Fenced"])}
+    site = lx.additional_uses(rules).collect()
+    assert [(r["address"], r["lots"], r["use_slugs"]) for r in site] == [("5 Main Road, Town", "Lots 3 and 4, DP 1234", ["shops"])]
+    assert [(r["number"], r["title"], r["summary"]) for r in lx.local_provisions(rules).orderBy("id").collect()] == [("6.1", "Earthworks", "(2) Consent is needed."), ("6.2", "Bare", "")]
+    assert {(r["id"], r["part"]) for r in lx.sections(rules).collect()} >= {("pt.2", 2), ("sec.4.1", 4), ("sec.5.5", 5)}
+    md = {r["title"]: r["body"] for r in lx.markdown_sections(rules).collect()}
+    assert md["6.2 Bare [sec.6.2]"] == "" and md["3.1 Exempt [sec.3.1]"].endswith("(2) Must be minor (a) and safe")
+
+
 def test_site_lots(spark):
     df = spark.createDataFrame([("being Lot 9, DP 862908 and Lots 7300 and 7301, DP 1153423",)], "t string")
     assert df.select(lx.site_lots(F.col("t"))).first()[0] == ["Lot 9, DP 862908", "Lots 7300 and 7301, DP 1153423"]
