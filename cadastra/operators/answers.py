@@ -1,4 +1,4 @@
-"""What surrounds a language model: embedding and completion by injected callables, JSON repair, links of citations, personas."""
+"""What surrounds a language model: embedding and completion by injected callables, JSON repair, links of citations."""
 
 from __future__ import annotations
 
@@ -20,8 +20,6 @@ VIEWER_KEYS = [
     (["liverpool", "schedule 3"], "liverpool-dcp-sch3"),
     (["liverpool"], "liverpool-dcp-main"),
 ]
-#: Which steps a report takes for whom.
-PERSONAS = {"owner": {"summary": False, "cards": 0}, "developer": {"summary": True, "cards": 0}, "planner": {"summary": True, "cards": 8}}
 
 
 def json_repair(text: Column) -> Column:

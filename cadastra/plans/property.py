@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import plural_hit
 from cadastra.operators.relational import all_of, contains_ilike, first_by
 from cadastra.operators.spatial import box_join, geometry_join, nearest, wkb_of
+from cadastra.operators.reports import assess, fact_block, pattern_rows, property_lookup, question_cards
 from cadastra.plans.registry import query
 from cadastra.sources.tables import table
 
@@ -49,9 +48,14 @@ def addr_autocomplete(spark, d):
     return address_search(rows, "505 Building, Street")
 
 
+def title_search(rows, text: str, column: str = "title"):
+    """The rows whose title holds the text, whatever the case; all rows for an empty text."""
+    return rows.filter(F.lower(F.col(column)).contains(text.strip().lower())) if text.strip() else rows
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bolt')")
 def doc_title_search(spark, d):
-    return table(spark, d, "part").filter(F.lower("p_name").contains("Bolt".lower().strip())).select("p_partkey", "p_name")
+    return title_search(table(spark, d, "part").select("p_partkey", "p_name"), " Bolt", "p_name")
 
 
 @query("SELECT p_partkey, p_name, round(power(p_size - 25, 2) + power(p_retailprice - 1200, 2), 6) AS d FROM part ORDER BY d, p_partkey LIMIT 1")
@@ -62,7 +66,8 @@ def knn_point(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000042' LIMIT 1")
 def prop_lookup_exact(spark, d):
-    return table(spark, d, "customer").filter(F.col("c_name") == "Customer#000000042").select("c_custkey", "c_name").limit(1)
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("address"))
+    return property_lookup(rows, "Customer#000000042").select("c_custkey", F.col("address").alias("c_name"))
 
 
 @query("""WITH x AS (SELECT s_suppkey AS id, c_mktsegment AS kind, c_custkey AS place_id, round(sqrt(power(s_acctbal - c_acctbal, 2) + power(s_nationkey * 100.0 - c_nationkey * 100.0, 2)), 6) AS distance FROM supplier CROSS JOIN customer),
@@ -98,20 +103,17 @@ def permissibility(uses, land_use: str):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN r < 1 THEN 'under' WHEN r >= 2 THEN 'exceeds' ELSE 'meets' END AS lot_band, CASE WHEN q < 12 THEN 'narrow' WHEN q >= 15 THEN 'wide' ELSE 'between' END AS frontage_band,
-          round(a * f) AS gfa, floor(a / 3.1) AS storeys, n AS n_constraints, CASE WHEN l_linestatus = 'O' AND n = 0 THEN 'viable' WHEN l_linestatus = 'O' THEN 'verify' ELSE 'application' END AS pathway
-          FROM (SELECT *, l_quantity AS q, l_extendedprice AS a, 1 + l_tax AS f, l_extendedprice / 30000.0 AS r, (l_returnflag = 'R')::INT + (l_discount > 0.05)::INT + (l_tax > 0.06)::INT AS n FROM lineitem)""")
+          round(a * f) AS gfa, floor(nullif(h, 0) / 3.1) AS storeys, n AS n_constraints, CASE WHEN l_linestatus = 'O' AND n = 0 THEN 'viable' WHEN l_linestatus = 'O' THEN 'verify' ELSE 'application' END AS pathway
+          FROM (SELECT *, l_quantity AS q, l_extendedprice AS a, 1 + l_tax AS f, l_linenumber * 2.5 AS h, l_extendedprice / 30000.0 AS r, (l_returnflag = 'R')::INT + (l_discount > 0.05)::INT + (l_tax > 0.06)::INT AS n FROM lineitem)""")
 def assess_flags(spark, d):
-    area, q = F.col("l_extendedprice"), F.col("l_quantity")
-    n = reduce(lambda a, b: a + b, [x.cast("int") for x in (F.col("l_returnflag") == "R", F.col("l_discount") > 0.05, F.col("l_tax") > 0.06)])
-    ratio = area / 30000.0
-    open_ = F.col("l_linestatus") == "O"
-    return table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.when(ratio < 1, "under").when(ratio >= 2, "exceeds").otherwise("meets").alias("lot_band"),
-        F.when(q < 12, "narrow").when(q >= 15, "wide").otherwise("between").alias("frontage_band"),
-        F.round(area * (1 + F.col("l_tax"))).alias("gfa"), F.floor(area / 3.1).cast("double").alias("storeys"), n.alias("n_constraints"),
-        F.when(open_ & (n == 0), "viable").when(open_, "verify").otherwise("application").alias("pathway"),
+    """Lines as properties: price as area, quantity as frontage, line number as height, three flags as constraints."""
+    c, some = F.col, lambda x: F.when(x, "yes")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", c("l_extendedprice").alias("area_sqm"), F.lit(30000.0).alias("min_lot_size"), c("l_quantity").alias("frontage_m"), (1 + c("l_tax")).alias("fsr_value"),
+        (c("l_linenumber") * 2.5).alias("max_height_m"), some(c("l_returnflag") == "R").alias("floodmapping"), some(c("l_discount") > 0.05).alias("biodiversity"), some(c("l_tax") > 0.06).alias("acid_sulfate"),
+        (c("l_linestatus") == "O").cast("string").alias("cdc_eligible"),
     )
+    return assess(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 # Constraints with the column that tells of each, its label and severity.
@@ -159,11 +161,37 @@ def pathway_unpivot(spark, d):
     return pathway_rows(rows, "o_orderkey")
 
 
-@query("""SELECT o_orderkey, concat_ws(chr(10), 'Order: ' || o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Status: ' || o_orderstatus END, CASE WHEN o_totalprice > 100000 THEN 'Price: ' || round(o_totalprice)::BIGINT END) AS block FROM orders""")
+@query("""SELECT o_orderkey, concat_ws(chr(10), 'Address: ' || o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Zone: ' || o_orderstatus END, CASE WHEN o_totalprice > 100000 THEN 'Lot area: ' || round(o_totalprice)::BIGINT || ' sqm' END,
+          'DCP: ' || o_orderpriority) AS block FROM orders""")
 def fact_lines(spark, d):
     c = F.col
-    lines = [F.concat(F.lit("Order: "), c("o_orderkey").cast("string")), F.when(c("o_orderstatus") != "P", F.concat(F.lit("Status: "), c("o_orderstatus"))), F.when(c("o_totalprice") > 100000, F.concat(F.lit("Price: "), F.round("o_totalprice").cast("long").cast("string")))]
-    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("\n", *lines).alias("block"))
+    rows = table(spark, d, "orders").select("o_orderkey", c("o_orderkey").alias("address"), F.when(c("o_orderstatus") != "P", c("o_orderstatus")).otherwise("").alias("zone"), F.when(c("o_totalprice") > 100000, c("o_totalprice")).alias("area_sqm"), c("o_orderpriority").alias("dcp_plan_name"))
+    return fact_block(rows, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, p.pattern, p.eligible FROM (SELECT o_orderkey, o_orderpriority LIKE '1%' AS lmr, unnest([{'pattern': 'semis_01_anthony_gill', 'eligible': o_orderstatus = 'O'}, {'pattern': 'semis_02_sibling', 'eligible': false}, {'pattern': 'manor_homes_01_studio', 'eligible': false},
+          {'pattern': 'row_homes_01_saha', 'eligible': false}, {'pattern': 'terraces_01_carter', 'eligible': o_totalprice > 300000}, {'pattern': 'terraces_02_sam_crawford', 'eligible': false}, {'pattern': 'terraces_03_officer_woods', 'eligible': false}, {'pattern': 'terraces_04_other', 'eligible': false}]) AS p FROM orders)
+          WHERE p.eligible OR lmr""")
+def pattern_unpivot(spark, d):
+    c = F.col
+    rows = table(spark, d, "orders").select("o_orderkey", c("o_orderpriority").startswith("1").cast("string").alias("in_lmr_housing_area"), (c("o_orderstatus") == "O").cast("string").alias("semis_01_anthony_gill_eligible"), (c("o_totalprice") > 300000).cast("string").alias("terraces_01_carter_eligible"))
+    return pattern_rows(rows, "o_orderkey")
+
+
+@query("""SELECT c_custkey, c_name FROM customer ORDER BY power(c_acctbal - 1000.5, 2) + power(c_nationkey - 7.25, 2), c_name LIMIT 1""")
+def prop_lookup_point(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("address"), F.col("c_acctbal").alias("centroid_lat"), F.col("c_nationkey").alias("centroid_lon"))
+    return property_lookup(rows, lat=1000.5, lon=7.25).select("c_custkey", F.col("address").alias("c_name"))
+
+
+@query("""SELECT n_nationkey, count(*) AS n_cards, count(DISTINCT card) AS n_kinds, sum(CASE WHEN contains(question, n_name || ' LEP') THEN 1 ELSE 0 END) AS n_named
+          FROM (SELECT n_nationkey, n_name, unnest(['clause_46', 'subdivision', 'secondary_dwelling', 'dual_occupancy', 'setbacks_envelope', 'parking_access', 'heritage', 'contributions']) AS card FROM nation) c
+          JOIN (SELECT * FROM (VALUES ('clause_46', true), ('subdivision', true), ('secondary_dwelling', false), ('dual_occupancy', true), ('setbacks_envelope', false), ('parking_access', false), ('heritage', true), ('contributions', false)) v(k, own)) v ON v.k = c.card,
+          LATERAL (SELECT CASE WHEN own THEN n_name || ' LEP' ELSE '' END AS question) GROUP BY n_nationkey""")
+def card_questions(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("lga_name"), F.lit("R2").alias("zone"))
+    cards = question_cards(rows, "n_nationkey").join(rows.select("n_nationkey", "lga_name"), "n_nationkey")
+    return cards.groupBy("n_nationkey").agg(F.count("*").alias("n_cards"), F.count_distinct("card").alias("n_kinds"), F.sum(F.contains("question", F.concat("lga_name", F.lit(" LEP"))).cast("int")).alias("n_named"))
 
 
 def approximate_polygons(edges):

