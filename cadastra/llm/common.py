@@ -50,7 +50,7 @@ def uniform(*cols: Column, seed: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (as bytes), kept up to about `most` bytes, then forgotten as a whole."""
 
-    def __init__(self, most: int = 80_000_000):
+    def __init__(self, most: int = 40_000_000):
         super().__init__()
         self.most, self.held = most, 0
 

@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import WordHashes, cut, uniform
 from cadastra.llm.components import components
+from cadastra.llm.pieces import parts
 
 BINS, ROWS, WORDS, CLASSES, SALTED = 256, 8, 5, 64, 512
 #: The share of links at the least similarity that may have no band in common.
@@ -88,14 +90,16 @@ def _signed(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            sets = [shingles(x.as_py(), known) for x in b.column(1)]
-            sigs = np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]) if sets else np.zeros((0, BINS), np.uint64)
-            keys = _mixed((sigs[:, : bands * rows].reshape(-1, bands, rows) * _COEF[:rows]).sum(axis=2, dtype=np.uint64) + _SALT[:bands]).view(np.int64)
-            # documents without shingles have no bands
-            some = np.array([len(s) > 0 for s in sets], bool)
-            ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "set", "bands"])
+            for some in parts(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)):
+                part = b.slice(some.start, some.stop - some.start)
+                sets = [shingles(x.as_py(), known) for x in part.column(1)]
+                sigs = np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets])
+                keys = _mixed((sigs[:, : bands * rows].reshape(-1, bands, rows) * _COEF[:rows]).sum(axis=2, dtype=np.uint64) + _SALT[:bands]).view(np.int64)
+                # documents without shingles have no bands
+                some = np.array([len(s) > 0 for s in sets], bool)
+                ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "set", "bands"])
 
     return run
 
@@ -103,7 +107,9 @@ def _signed(rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([shingles(x.as_py(), known).tobytes() for x in b.column(1)], pa.binary())], ["id", "shingles"])
+        for some in parts(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)):
+            part = b.slice(some.start, some.stop - some.start)
+            yield pa.record_batch([part.column(0), pa.array([shingles(x.as_py(), known).tobytes() for x in part.column(1)], pa.binary())], ["id", "shingles"])
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +126,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, shingles and those that it has alone (folded) to id, size, and how many it shares in all and in each class."""
     for b in batches:
         rows = []
-        for x, alone in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+        for x, alone in zip(b.column(1), b.column(2), strict=True):
             every = np.frombuffer(x.as_py(), np.uint64).astype(np.uint32)
-            count = np.bincount(every % CLASSES, minlength=CLASSES) - np.bincount(np.array(alone or [], np.int32).view(np.uint32) % CLASSES, minlength=CLASSES)
+            own = np.zeros(0, np.uint32) if alone.values is None else alone.values.to_numpy().view(np.uint32)
+            count = np.bincount(every % CLASSES, minlength=CLASSES) - np.bincount(own % CLASSES, minlength=CLASSES)
             rows.append((len(every), int(count.sum()), count))
         hist = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * CLASSES, pa.int32()), pa.array(np.concatenate([r[2] for r in rows] or [np.zeros(0)]).astype(np.int32)))
         yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), hist], ["rep", "size", "common", "classes"])
