@@ -34,7 +34,7 @@ UNIT = 1e3
 #: Probability of a character that is in no piece.
 STRANGE = 1e-7
 #: Bytes that a task takes for the words whose probabilities it keeps.
-KEPT = 36_000_000
+KEPT = 24_000_000
 #: Documents per language that the models are fitted on, on average.
 SAMPLE = 1500
 UNKNOWN = "und"
