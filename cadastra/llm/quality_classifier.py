@@ -49,7 +49,7 @@ def index_vectors(rows: int, seed: int = 1) -> np.ndarray:
 class Reader:
     """Texts as rows of the vectors; what was found for words between spaces is kept up to a number of bytes."""
 
-    def __init__(self, words: dict[str, int], most: int = 24_000_000):
+    def __init__(self, words: dict[str, int], most: int = 48_000_000):
         self.words, self.known = words, Known(most)
 
     def row(self, token: str) -> int:
@@ -58,6 +58,9 @@ class Reader:
 
     def rows(self, word: str) -> array:
         out = array("i")
+        if word.isalpha() and word.islower():  # most words are one token
+            out.append(self.row(word))
+            return out
         for t in _TOKEN.findall(word):
             low = t.lower()
             out.append(self.row(low))
