@@ -125,7 +125,7 @@ def zones(e: DataFrame) -> DataFrame:
 
 
 def land_uses(e: DataFrame) -> DataFrame:
-    """(path, code, consent, use, slug, catch_all): what a zone's tiers 2 to 4 permit or prohibit, split at semicolons."""
+    """(path, code, consent, use, slug, catch_all, pos): what a zone's tiers 2 to 4 permit or prohibit, split at semicolons."""
     z = zones(e).select("path", F.col("pos").alias("_zone"), "code")
     tiers = e.filter("tag = 'tier'").join(z, (F.col("parent") == F.col("_zone")) & (e["path"] == z["path"])).drop(z["path"])
     low = F.lower(F.concat_ws(" ", "heading", "number"))
@@ -135,7 +135,14 @@ def land_uses(e: DataFrame) -> DataFrame:
     items = text.select("path", "code", "consent", "pos", F.explode(F.split("text", r";\s*")).alias("use"))
     listed = text.join(below, (text["pos"] == below["_tier"]) & (text["path"] == below["path"])).select(text["path"], "code", "consent", "pos", F.explode(F.split("_item", r";\s*")).alias("use"))
     use = items.unionByName(listed).withColumn("use", F.trim(F.regexp_replace("use", r"\.\s*$", ""))).filter("use != '' and not lower(use) like 'uses authorised under%' and lower(use) != 'nil'")
-    return use.select("path", "code", "consent", "use", slug(F.col("use")).alias("slug"), F.lower("use").contains("any other development not specified").alias("catch_all")).distinct()
+    use = use.groupBy("path", "code", "consent", "use").agg(F.min("pos").alias("pos"))
+    return use.select("path", "code", "consent", "use", slug(F.col("use")).alias("slug"), F.lower("use").contains("any other development not specified").alias("catch_all"), "pos")
+
+
+def zoned_terms(e: DataFrame) -> DataFrame:
+    """(path, slug, term): the uses of the zone tables, lower case, the first of each slug; terms of up to three characters stay out."""
+    uses = land_uses(e).filter("not catch_all and length(use) > 3")
+    return first_by(uses, ["path", "slug"], [F.col("pos"), F.col("use")]).select("path", "slug", F.lower("use").alias("term"))
 
 
 def definitions(e: DataFrame) -> DataFrame:
@@ -162,11 +169,14 @@ def zone_index(e: DataFrame, parts: str = r"^[456]\.") -> DataFrame:
 
 
 def lot_size_index(e: DataFrame) -> DataFrame:
-    """Clauses on lot sizes: square metres, hectares as square metres, each once, the zones named, and 8,000 characters of text."""
-    rows = clauses(e).filter(F.col("section").rlike(r"^(4\.|2\.6)"))
+    """Clauses on lot sizes: square metres, hectares as square metres, each once, with up to 100 characters around the first, the zones named,
+    their subclauses, and 8,000 characters of text."""
+    said = _subclauses(e).groupBy("path", F.col("clause").alias("_clause")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number", "block"))), lambda x: F.struct(x["number"].alias("number"), x["block"].alias("text"))).alias("subclauses"))
+    rows = clauses(e).filter(F.col("section").rlike(r"^(4\.|2\.6)")).drop("clause").withColumnRenamed("pos", "_clause").join(said, ["path", "_clause"], "left")
+    context = F.nullif(F.regexp_extract("full_text", rf"(?s)(.{{0,100}}{SQUARE_METRES}.{{0,100}})", 1), F.lit(""))
     hectares = F.transform(numbers(F.col("full_text"), HECTARES), lambda x: F.round(x * 10000))
     sizes = F.array_distinct(F.concat(numbers(F.col("full_text"), SQUARE_METRES), hectares))
-    return rows.select("path", "section", "heading", zone_mentions(F.col("full_text")).alias("zones_referenced"), sizes.alias("sqm"), F.lower("full_text").contains("lot size map").alias("has_map_reference"), F.substring("full_text", 1, 8000).alias("raw_text"))
+    return rows.select("path", "section", "heading", zone_mentions(F.col("full_text")).alias("zones_referenced"), sizes.alias("sqm"), context.alias("context"), "subclauses", F.lower("full_text").contains("lot size map").alias("has_map_reference"), F.substring("full_text", 1, 8000).alias("raw_text"))
 
 
 def structure(e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +283,7 @@ def requirement_uses(tree: DataFrame, e: DataFrame) -> DataFrame:
 
     Both sides meet on the first three characters of a use, which no ending changes.
     """
-    uses = land_uses(e).filter("not catch_all").select("path", F.lower("use").alias("_term"), F.col("slug").alias("use_slug")).distinct()
+    uses = zoned_terms(e).select("path", F.col("term").alias("_term"), F.col("slug").alias("use_slug"))
     whole = e.filter("tag = 'level' and kind = 'clause'").select("path", F.col("pos").alias("clause"), "whole")
     texts = tree.join(whole, ["path", "clause"]).select("path", "id", F.lower(F.when(F.col("parent_id").isNull(), F.col("whole")).otherwise(F.col("description"))).alias("_text"))
     starts = F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1)))

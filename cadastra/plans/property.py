@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import plural_hit
+from cadastra.functions.text import plural_hit, subjects_equivalent
 from cadastra.operators.relational import all_of, contains_ilike, first_by
 from cadastra.operators.spatial import box_join, geometry_join, nearest, wkb_of
 from cadastra.operators.reports import assess, fact_block, pattern_rows, property_lookup, question_cards
@@ -95,6 +95,8 @@ def permissibility_match(spark, d):
 
 def permissibility(uses, land_use: str):
     """(zone, status, matched): whether a use is among those listed for each zone; contained either way or with the same first word."""
+    if not land_use.strip():
+        raise ValueError("a land use is required")
     needle = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9 ]", "", land_use.lower())).strip()
     hay = F.trim(F.regexp_replace(F.regexp_replace(F.lower("use"), "[^a-z0-9 ]", ""), r"\s+", " "))
     hit = F.contains(hay, F.lit(needle)) | F.contains(F.lit(needle), hay) | (F.split_part(hay, F.lit(" "), F.lit(1)) == needle.split(" ")[0])
@@ -267,6 +269,18 @@ def plural_match(spark, d):
     return plural_matches(texts, terms).groupBy("p_partkey").agg(F.count("*").alias("n_plural"), F.min("term").alias("first_term"))
 
 
+@query(r"""WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) || ' (' || split_part(p_name, ' ', 2) || ')' END AS subject FROM part),
+           n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(subject), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM s), l AS (SELECT *, lead(n) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS m FROM n)
+           SELECT p_partkey, coalesce(n = m OR (length(n) >= 6 AND length(m) >= 6 AND (contains(n, m) OR contains(m, n))), false) AS same FROM l""")
+def subject_match(spark, d):
+    """Each part's subject against the next one's of its brand."""
+    name = F.col("p_name")
+    subject = F.when(F.col("p_partkey") % 2 == 0, name).otherwise(F.concat(F.upper(name), F.lit(" ("), F.split_part(name, F.lit(" "), F.lit(2)), F.lit(")")))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", subject.alias("subject"))
+    after = rows.withColumn("after", F.lead("subject").over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    return after.select("p_partkey", F.coalesce(subjects_equivalent(F.col("subject"), F.col("after")), F.lit(False)).alias("same"))
+
+
 def _square(x, y, wide, high):
     """The corners of a rectangle as in well-known text."""
     at = [(x, y), (x + wide, y), (x + wide, y + high), (x, y + high), (x, y)]

@@ -115,6 +115,13 @@ def test_requirement_tree(rules):
     assert uses == {("req:sec.4.1", "dairies"), ("req:sec.4.1", "shops"), ("req:sec.4.1-ssec.2", "dairies"), ("req:sec.4.1-ssec.2", "shops"), ("req:i1", "shops"), ("req:i2", "shops")}  # a use of four letters keeps its s
 
 
+def test_zoned_terms_and_lot_sizes(rules):
+    assert {(r["slug"], r["term"]) for r in lx.zoned_terms(rules).collect()} == {("dual-occupancies", "dual occupancies"), ("dairies", "dairies"), ("shops", "shops"), ("pubs", "pubs")}
+    lots = {r["section"]: r for r in lx.lot_size_index(rules).collect()}
+    assert set(lots) == {"4.1"} and lots["4.1"]["sqm"] == [500.0] and "not less than 500 square metres" in lots["4.1"]["context"]
+    assert [r["number"] for r in lots["4.1"]["subclauses"]] == ["(1)", "(2)"]
+
+
 def test_controls(rules):
     got = [(r["clause_id"], r["use_slug"], r["value"], r["unit"], r["zones"]) for r in lx.controls(rules).orderBy("id").collect()]
     assert got == [("5.4(1)", "bed-and-breakfast", 3.0, "bedrooms", ["R2"]), ("5.4(7AA)", "kiosks", 1200.0, "sqm", [])]
