@@ -35,7 +35,7 @@ def exact_classes(
 
     Texts are equal when they are identical without ASCII spaces. Of equal texts the row with the most code points in its
     original text stays, then the smallest doc_id; a null doc_id comes last. Null texts count as empty and are equal to each
-    other and to texts of spaces. Rows that repeat a doc_id share its decision. An empty table gives an empty result; columns
+    other and to texts of spaces. Texts of any length are compared whole. Rows that repeat a doc_id share its decision. An empty table gives an empty result; columns
     besides text and doc_id are not read. digest may be weakened to show that colliding hashes don't merge texts.
     """
     sha = F.sha2(F.encode("_norm", "UTF-8"), 256)

@@ -154,7 +154,7 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| for their sets of distinct WORDS-word shingles (lower-cased
     A-Z; a shorter text is one shingle). component_id is the smallest doc_id that links lead to, the document's own where none
-    do; kept is doc_id = component_id. Null and empty texts and texts of spaces have no shingles and no links. Rows that repeat
+    do; kept is doc_id = component_id. Texts of any length are read whole. Null and empty texts and texts of spaces have no shingles and no links. Rows that repeat
     a doc_id are one document; a null doc_id with shingles takes part through copies only. An empty table gives an
     empty result; columns besides text and doc_id are not read.
     """

@@ -154,7 +154,7 @@ def judge(docs: DataFrame, trees: Trees, least: float = 0.3) -> DataFrame:
     """One row for each row of docs: doc_id, the five statistics, base_failed, score, kept.
 
     base_failed: fewer than 10 words, or more than 20 words in 100 stand in repeated windows. kept is false where base_failed is
-    true, else whether the trees' score is at least `least`. Null text has no words and fails. Rows are judged
+    true, else whether the trees' score is at least `least` (a tie with it is kept). Texts of any length are read whole. Null text has no words and fails. Rows are judged
     one by one: repeated rows alike; an empty table gives an empty result; columns besides doc_id and text are not read.
     """
     given = docs.sparkSession.sparkContext.broadcast(trees)
