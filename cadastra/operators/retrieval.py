@@ -106,7 +106,8 @@ def expand(seeds: DataFrame, edges: DataFrame, most: int = K_EXPANDED) -> DataFr
     reaches it; seeds don't count. Of all, the first `most` by type, then id.
     """
     steps = [("defines", "to", "from", 1), ("requires", "from", "to", 2), ("constrains", "to", "from", 3)]
-    ids, found = seeds.select(F.col("kind").alias("_kind"), F.col("key").alias("_key")), None
+    # written, so that Spark knows how few they are and sends them to the edges instead of shuffling these
+    ids, found = written(seeds.select(F.col("kind").alias("_kind"), F.col("key").alias("_key")), "seeds"), None
     for kind, near, far, order in steps:
         e = edges.filter((F.col("type") == kind) & F.col(f"{far}_key").isNotNull())
         got = e.join(ids, (e[f"{near}_kind"] == ids["_kind"]) & (e[f"{near}_key"] == ids["_key"]), "left_semi")
