@@ -152,6 +152,13 @@ def test_registered_codec_query(spark, tmp_path):
             assert r["ids"] == [x for s in (CUTS.findall(MARK + t.replace(" ", MARK)) if t else []) for x in brute_path(s, v)]
 
 
+def test_ties_go_to_the_first_language(spark):
+    n = len(load().pieces)
+    models = lid.Models(["aa", "bb"], np.column_stack([np.full(n, 2 / n)] * 2))
+    got = lid.identify(frame(spark, [(1, "the water", "bb"), (2, "", "bb"), (3, None, None)]), models).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["aa", "und", "und"] and 0 < got[0]["score"] <= 0.5
+
+
 def test_other_languages_score_low(spark):
     rows = [(i, t, k) for i, t, k in documents() if k and t]
     models = lid.fit(frame(spark, rows), lid.F.lit(False))
