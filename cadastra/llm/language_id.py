@@ -239,8 +239,11 @@ def identify(docs: DataFrame, models: Models, model: str = MODEL, text: str = "t
                     log = np.frombuffer(known.joined(ws), np.float32).reshape(-1, p.shape[1]).sum(axis=0, dtype=float)
                     k = int(log[:-1].argmax())
                     names.append(m.languages[k]), scores.append(float(np.exp(log[k] - _logsum(log))))
-            yield pa.record_batch([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
+            yield pa.record_batch([*b.columns[first:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[first:], "lang_pred", "score"])
 
-    kept = [F.col(c) for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    # the text goes to Python once and comes back if it is to be kept
+    kept = [F.col(c) for c in keep if c != text] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    first = 0 if text in (keep or []) else 1
     rows = docs.select(F.col(text).cast("string").alias("_text"), *kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[first:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select(*[F.col("_text" if c == text else c).alias(c) for c in keep or ["doc_id"]], "lang_pred", "score")

@@ -105,7 +105,7 @@ def best_paths(words: list[str], v: Vocabulary) -> list[np.ndarray]:
 class Encoder:
     """Piece ids (as bytes of int32) of text segments; what was found is kept up to a number of bytes."""
 
-    def __init__(self, v: Vocabulary, most: int = 36_000_000):
+    def __init__(self, v: Vocabulary, most: int = 24_000_000):
         self.v, self.known = v, Known(most)
 
     def learn(self, segments: set[str]) -> None:
@@ -159,12 +159,15 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text", do
                 same = [decode(i.tolist(), v) == t for i, t in zip(ids, texts, strict=True)]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                yield pa.record_batch([*part.columns[1:], pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())], [*part.schema.names[1:], "n_pieces", "ids", "round_trip"])
+                yield pa.record_batch([*part.columns[first:], pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())], [*part.schema.names[first:], "n_pieces", "ids", "round_trip"])
 
-    kept = [F.col(c) for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    # the text goes to Python once and comes back if it is to be kept
+    kept = [F.col(c) for c in keep if c != text] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
+    first = 0 if text in (keep or []) else 1
     rows = docs.select(F.col(text).cast("string").alias("_text"), *kept)
     made = T.StructType.fromDDL("n_pieces long, ids array<int>, round_trip boolean")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *made.fields]))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[first:], *made.fields]))
+    return out.select(*[F.col("_text" if c == text else c).alias(c) for c in keep or ["doc_id"]], *made.names)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
