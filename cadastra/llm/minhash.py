@@ -200,9 +200,9 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
 
     live = shared.join(best, ["key", "salt", "_class"]).filter(F.exists("_near", met)).select("key", "rep", "reach", "salts", "salt", "size", "common", "classes")
     # The order in which a bucket's members are hubs: the one that meets the most others, then by chance, spread over 0 to n.
-    lead = live.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(-F.col("reach"), F.col("rep")))["rep"].alias("_lead")).filter("_n > 1")
+    lead = live.groupBy("key", "salts").agg(F.count("*").alias("_n"), F.min(F.struct(-F.col("reach"), F.col("rep")))["rep"].alias("_lead")).filter("_n > 1")
     turn = F.when(F.col("rep") == F.col("_lead"), F.lit(-1.0)).otherwise(uniform(F.col("rep"), F.col("key"), seed=3) * F.col("_n"))
-    shared = cut(live.join(lead, "key").select("key", "rep", "salts", "salt", "size", "common", "classes", turn.alias("turn")), "minhash-live")
+    shared = cut(live.join(salted(lead), ["key", "salt"]).select("key", "rep", "salts", "salt", "size", "common", "classes", turn.alias("turn")), "minhash-live")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
@@ -217,8 +217,8 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text", doc_id:
         else:
             at = at.join(label, F.col("rep") == F.col("id"), "left").select(*shared.columns, F.coalesce("component", "rep").alias("label"))
             # of a bucket only what is open goes on: members of more than one component that have not been hubs
-            open_ = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            at = cut(at.join(open_, "key"), "minhash-open")
+            open_ = at.groupBy("key", "salts").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "salts")
+            at = cut(at.join(salted(open_), ["key", "salt"]), "minhash-open")
             if at.isEmpty():
                 break
         star = at.filter(F.col("turn") < hubs).select("key", "salts", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "label", "size", "common", "classes")])
