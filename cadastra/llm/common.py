@@ -47,6 +47,17 @@ def uniform(*cols: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
+def join_hot(rows: DataFrame, by: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of `by`, which has one row for each key of rows, and in n how many rows have it. Both are written tables.
+
+    Keys with more than one in `share` of all rows, of which there are fewer than `share`, are broadcast; only the other rows are shuffled.
+    """
+    total = by.agg(F.sum("n")).first()[0] or 0
+    hot, cold = by.filter(F.col("n") * share > total).drop("n"), by.filter(F.col("n") * share <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (as bytes), kept up to about `most` bytes, then forgotten as a whole."""
 
