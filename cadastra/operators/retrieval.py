@@ -1,4 +1,4 @@
-"""Hybrid retrieval as batch plans: exact vector search, conjunctive text search, reciprocal rank fusion, and what follows."""
+"""Hybrid retrieval as batch plans: exact vector search, reciprocal rank fusion with a text search, and what follows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import search_stems, stem, subject_normalise
+from cadastra.functions.text import subject_normalise
 from cadastra.functions.vectors import cosine
 from cadastra.sources.tables import written
 
@@ -69,27 +69,6 @@ def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int, id_col: str
     return ranked.filter(F.col("rank") <= k)
 
 
-def text_search(rows: DataFrame, text: str, keywords: tuple[str, ...] = (), k: int = K_EACH, id_col: str = "id", column: str = "text") -> DataFrame:
-    """(id, text_score, text_rank): rows that hold the stem of every word asked for, by these words' share of all words; ties by id.
-
-    Keywords are searched for if there are any, else the text; stop words are left out, and words are cut to their stems on either side.
-    The score is the number of words with one of the stems over 1 + ln(words), rounded. Without a word to ask for nothing is found.
-    """
-    wanted = search_stems(" ".join(keywords) or text)
-    starts = sorted({w[:2] for w in wanted})
-    # a stem keeps its word's first two letters: rows and words without them go before any word is cut
-    held = rows.filter(reduce(lambda a, b: a & b, [F.lower(F.col(column)).contains(x) for x in starts], F.lit(bool(wanted))))
-    words = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}]+"), lambda x: x != "")
-    cut = lambda w: F.transform(F.filter(w, lambda x: F.substring(x, 1, 2).isin(starts)), stem)
-    told = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.filter(cut(w), lambda x: x.isin(wanted)).alias("met")))
-    # exploding the one struct keeps Spark from splitting each text again for every use of it
-    met = held.select(F.col(id_col).alias("id"), F.inline(told))
-    met = met.filter(F.size(F.array_distinct("met")) == len(wanted))
-    score = F.round(F.size("met") / (1 + F.log(F.col("n").cast("double"))), 6)
-    top = met.select("id", score.alias("text_score")).orderBy(F.desc("text_score"), "id").limit(k)
-    return top.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), "id")))
-
-
 def fuse(vector: DataFrame, text: DataFrame, k: int = K_FUSED) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; equal scores keep rows of the vector list first."""
     part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))

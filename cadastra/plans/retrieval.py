@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import CITATION, ENDINGS, document_label, intent_keywords, quote, section_label
+from cadastra.functions.text import CITATION, document_label, intent_keywords, quote, section_label
 from cadastra.functions.vectors import cosine
-from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_greedy, precedence_kept, precedence_pairs, text_search, vector_search
+from cadastra.operators.full_text import add_documents, index_search, with_stems
+from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_greedy, precedence_kept, precedence_pairs, vector_search
 from cadastra.plans.registry import query
-from cadastra.sources.tables import table
+from cadastra.plans.stems_sql import STEMS_SQL
+from cadastra.sources.tables import shared_path, table
 
-#: What the text queries ask for: a stop word, a plural and words with endings.
-ASKED = "the others of ering"
-_STEM = reduce(lambda w, x: f"regexp_replace({w}, '{x[0]}', '\\1{x[1]}')", ENDINGS, "x")
+#: What the text queries ask for: stop words, a plural, and a word with an ending.
+ASKED = "the erings of ones"
 _DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _COS = "1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
 _VEC = f"""v AS (SELECT vec_id AS id, round({_COS}, 6) + 0.0 AS vector_distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_Q} ORDER BY vector_distance, id LIMIT 50),
            vr AS (SELECT *, row_number() OVER (ORDER BY vector_distance, id)::INT AS vector_rank FROM v)"""
-_TXT = f"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents),
-           m AS (SELECT id, len(w) AS n, list_filter(list_transform(w, lambda x: {_STEM}), lambda x: x IN ('other', 'er')) AS met FROM w),
-           t AS (SELECT id, round(len(met) / (1 + ln(n)), 6) AS text_score FROM m WHERE list_contains(met, 'other') AND list_contains(met, 'er') ORDER BY text_score DESC, id LIMIT 50),
+_TXT = f"""{STEMS_SQL}, q AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+           m AS (SELECT id, pos, stem FROM (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM q) JOIN stems USING (word) WHERE stem IN ('ere', 'one')),
+           -- at each place the last one of either stem: the shortest stretch that ends here
+           l AS (SELECT *, row_number() OVER d AS n, max(CASE WHEN stem = 'ere' THEN pos END) OVER d AS a, max(CASE WHEN stem = 'one' THEN pos END) OVER d AS b FROM m WINDOW d AS (PARTITION BY id ORDER BY pos)),
+           s AS (SELECT *, least(a, b) AS begun, lag(least(a, b)) OVER (PARTITION BY id ORDER BY pos) AS before FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+           t AS (SELECT s.id, round(sum(0.1::DOUBLE / (1 + (s.pos - s.begun) - (s.n - f.n))), 6) AS text_score FROM s JOIN l f ON f.id = s.id AND f.pos = s.begun WHERE before IS NULL OR begun > before
+                 GROUP BY s.id ORDER BY text_score DESC, s.id LIMIT 50),
            tr AS (SELECT *, row_number() OVER (ORDER BY text_score DESC, id)::INT AS text_rank FROM t)"""
 _RRF = f"""{_VEC}, {_TXT}, f AS (SELECT coalesce(vr.id, tr.id) AS id, vector_rank, text_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + text_rank), 0), 9) AS rrf_score
            FROM vr FULL JOIN tr ON vr.id = tr.id ORDER BY rrf_score DESC, vector_rank NULLS LAST, text_rank NULLS LAST, id LIMIT 30)"""
@@ -37,8 +40,21 @@ def _vectors(spark, d):
     return vector_search(table(spark, d, "embeddings"), _query_vector(spark, d), id_col="vec_id")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> str:
+    """The text index over the documents of these tables, made once in a session."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _INDEXES:
+        path = shared_path(spark, "text-index")
+        add_documents(table(spark, d, "documents"), path, id_col="doc_id")
+        _INDEXES[at] = path
+    return _INDEXES[at]
+
+
 def _texts(spark, d):
-    return text_search(table(spark, d, "documents"), ASKED, id_col="doc_id")
+    return index_search(spark, _index(spark, d), ASKED)
 
 
 @query(f"WITH {_VEC} SELECT * FROM vr")
@@ -57,6 +73,13 @@ def fts_rank(spark, d):
     return _texts(spark, d)
 
 
+@query(f"WITH {STEMS_SQL} SELECT word, stem FROM stems")
+def stem_words(spark, d):
+    """The words of all documents with their stems."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")
+    return with_stems(table(spark, d, "documents").select(words).distinct())
+
+
 @query(f"WITH {_RRF} SELECT * FROM f")
 def rrf_fusion(spark, d):
     return fuse(_vectors(spark, d), _texts(spark, d))

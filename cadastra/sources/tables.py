@@ -108,18 +108,22 @@ def write_markdown(df: DataFrame, path: str, key: str = "path", title: str = "ti
     whole.write.mode("overwrite").partitionBy(key).text(path, lineSep="\n\n")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, so that lost executors cost no recomputation; tests may leave it unset."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which driver and executors share; tests may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def swap_table(df: DataFrame, name: str) -> None:

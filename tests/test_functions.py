@@ -181,20 +181,6 @@ def test_nearest_metres(spark):
     assert got == {"a": (7, 54972.0), "b": (9, 0.0)}
 
 
-def test_stems(spark):
-    words = ["ponies", "glasses", "houses", "this", "running", "zoning", "thing", "zoned", "speed", "bus", "er", "ering", "others"]
-    want = ["pony", "glass", "house", "this", "run", "zon", "thing", "zon", "speed", "bus", "er", "er", "other"]
-    assert values(spark, tx.stem, words) == want
-    assert tx.search_stems("The others and ponies of Ering, ering!") == ["other", "pony", "er"] and tx.search_stems("the of and") == []
-
-
-def test_text_search(spark):
-    rows = spark.createDataFrame([(1, "Houses and the ponies"), (2, "a house, a pony; houses"), (3, "house only"), (4, None), (5, "")], "id int, text string")
-    got = [(r["id"], r["text_score"]) for r in rt.text_search(rows, "the pony of houses").orderBy("text_rank").collect()]
-    assert got == [(2, round(3 / (1 + math.log(5)), 6)), (1, round(2 / (1 + math.log(4)), 6))]
-    assert rt.text_search(rows, "the of").count() == 0 and rt.text_search(rows, "whatever", ("house",)).count() == 3
-
-
 def test_batch_search_in_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 5))
