@@ -9,6 +9,7 @@ from cadastra.functions.text import CITATION, document_label, intent_keywords, q
 from cadastra.functions.vectors import cosine
 from cadastra.operators.full_text import add_documents, index_search, with_stems
 from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_greedy, precedence_kept, precedence_pairs, vector_search
+from cadastra.operators.vector_index import build_index, search_index
 from cadastra.plans.registry import query
 from cadastra.plans.stems_sql import STEMS_SQL
 from cadastra.sources.tables import shared_path, table
@@ -85,13 +86,40 @@ def rrf_fusion(spark, d):
     return fuse(_vectors(spark, d), _texts(spark, d))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS id,
+_NEAREST = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS id,
           round(1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) + 0.0 AS distance FROM q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
-          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM x) SELECT * FROM r WHERE rank <= 10""")
+          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM x) SELECT * FROM r WHERE rank <= 10"""
+
+
+def _asked_vectors(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(_NEAREST)
 def multi_query_batch(spark, d):
-    rows = table(spark, d, "embeddings")
-    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return batch_vector_search(rows, asked, 10, id_col="vec_id")
+    return batch_vector_search(table(spark, d, "embeddings"), _asked_vectors(spark, d), 10, id_col="vec_id")
+
+
+def _vector_index(spark, d) -> str:
+    """The inverted lists over the vectors of these tables, made once in a session."""
+    at = spark.sparkContext.applicationId, f"{d} vectors"
+    if at not in _INDEXES:
+        path = shared_path(spark, "vector-index")
+        build_index(table(spark, d, "embeddings"), path, id_col="vec_id")
+        _INDEXES[at] = path
+    return _INDEXES[at]
+
+
+@query()
+def vec_index(spark, d):
+    """Approximate: the share of the exact answers that it finds is tested, as no SQL gives its rows."""
+    return search_index(spark, _vector_index(spark, d), _asked_vectors(spark, d))
+
+
+@query(_NEAREST)
+def vec_index_certain(spark, d):
+    """Few lists first, then those that may hold something nearer."""
+    return search_index(spark, _vector_index(spark, d), _asked_vectors(spark, d), probes=4, certain=True)
 
 
 def _edges(spark, d):
