@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.operators.quadtree import intersects, shape_join  # noqa: F401
+from cadastra.operators.rings import area, drawn_in, valid
+from cadastra.operators.wkb import from_wkt, polygons, read_wkb, wkt, write_wkb  # noqa: F401
 from cadastra.sources.tables import written
 
 
@@ -76,77 +76,6 @@ def nearest_metres(points: DataFrame, places: DataFrame, group: str, size: float
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes[:4]) + ", metres double")
 
 
-def read_wkb(data: bytes) -> tuple[str, list]:
-    """(kind, coordinates) of a two-dimensional WKB point, line, polygon or a collection of one of them."""
-
-    def one(at: int) -> tuple[str, list, int]:
-        order = "<" if data[at] else ">"
-        kind, at = struct.unpack_from(order + "I", data, at + 1)[0], at + 5
-        if kind & 0x20000000:  # an identifier of the reference system stands first
-            kind, at = kind & 0x1FFFFFFF, at + 4
-
-        def ring(at: int) -> tuple[list, int]:
-            n = struct.unpack_from(order + "I", data, at)[0]
-            flat = struct.unpack_from(f"{order}{2 * n}d", data, at + 4)
-            return list(zip(flat[::2], flat[1::2], strict=True)), at + 4 + 16 * n
-
-        if kind == 1:
-            return "Point", [struct.unpack_from(order + "2d", data, at)], at + 16
-        if kind == 2:
-            line, at = ring(at)
-            return "LineString", line, at
-        n, at = struct.unpack_from(order + "I", data, at)[0], at + 4
-        parts = []
-        if kind == 3:
-            for _ in range(n):
-                x, at = ring(at)
-                parts.append(x)
-            return "Polygon", parts, at
-        if kind not in (4, 5, 6):
-            raise ValueError(f"geometry kind {kind} is not supported")
-        for _ in range(n):
-            _, x, at = one(at)
-            parts.append(x)
-        return {4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}[kind], parts, at
-
-    return one(0)[:2]
-
-
-def write_wkb(kind: str, coordinates: list) -> bytes:
-    """Little-endian WKB of a Point, Polygon or MultiPolygon."""
-    ring = lambda r: struct.pack(f"<I{2 * len(r)}d", len(r), *[v for p in r for v in p])
-    if kind == "Point":
-        return struct.pack("<BI2d", 1, 1, *coordinates[0])
-    if kind == "Polygon":
-        return struct.pack("<BII", 1, 3, len(coordinates)) + b"".join(map(ring, coordinates))
-    return struct.pack("<BII", 1, 6, len(coordinates)) + b"".join(write_wkb("Polygon", p) for p in coordinates)
-
-
-def wkt(data: bytes) -> str:
-    """Well-known text of WKB."""
-    kind, c = read_wkb(data)
-    pair = lambda p: f"{p[0]:.15g} {p[1]:.15g}"
-    ring = lambda r: "(" + ", ".join(map(pair, r)) + ")"
-    poly = lambda p: "(" + ", ".join(map(ring, p)) + ")"
-    text = {"Point": lambda: ring(c), "LineString": lambda: ring(c), "Polygon": lambda: poly(c), "MultiPolygon": lambda: "(" + ", ".join(map(poly, c)) + ")", "MultiLineString": lambda: poly(c), "MultiPoint": lambda: poly(c)}
-    return f"{kind.upper()} {text[kind]()}"
-
-
-def from_wkt(text: str) -> bytes:
-    """WKB of well-known text: a Point, Polygon or MultiPolygon in two dimensions."""
-    kind, body = re.fullmatch(r"\s*(?:SRID=\d+;)?\s*([A-Za-z]+)\s*(\(.*\))\s*", text, re.DOTALL).groups()
-    # brackets of WKT are those of JSON once the numbers of a pair are put together
-    nested = json.loads(re.sub(r"([-+.\deE]+)\s+([-+.\deE]+)", r"[\1,\2]", body.translate({40: "[", 41: "]"})))
-    kind = {"POINT": "Point", "POLYGON": "Polygon", "MULTIPOLYGON": "MultiPolygon"}[kind.upper()]
-    return write_wkb(kind, nested)
-
-
-def polygons(data: bytes) -> list[list[np.ndarray]]:
-    """The polygons of WKB as rings of points."""
-    kind, c = read_wkb(data)
-    return [[np.array(r, float) for r in p] for p in (c if kind == "MultiPolygon" else [c] if kind == "Polygon" else [])]
-
-
 def centroid(data: bytes) -> tuple[float, float]:
     """The area centroid of polygons; the mean of the points where there is no area."""
     area = sx = sy = 0.0
@@ -163,91 +92,60 @@ def centroid(data: bytes) -> tuple[float, float]:
     return sx / area, sy / area
 
 
-def inside(point: tuple[float, float], shape: list[list[np.ndarray]]) -> bool:
-    """Whether a point is in any of the polygons, by the even-odd rule over all rings of each."""
-    for p in shape:
-        odd = False
-        for r in p:
-            (x0, y0), (x1, y1) = r[:-1].T, r[1:].T
-            over = (y0 > point[1]) != (y1 > point[1])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                odd ^= bool((over & (point[0] < (x1 - x0) * (point[1] - y0) / (y1 - y0) + x0)).sum() % 2)
-        if odd:
-            return True
-    return False
-
-
-def _lines(data: bytes) -> list[np.ndarray]:
-    """Every ring or line of a geometry; points as lines of no length."""
-    kind, c = read_wkb(data)
-    if kind in ("Polygon", "MultiPolygon"):
-        return [r for p in polygons(data) for r in p]
-    lines = {"Point": [[*c, *c]], "LineString": [c], "MultiPoint": [[*p, *p] for p in c], "MultiLineString": c}[kind]
-    return [np.array(x, float) for x in lines]
-
-
-def _meet(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two lines share a point; touching ends, corners on edges and overlapping edges count."""
-    p, q, r, s = x[:-1, None], x[1:, None], y[None, :-1], y[None, 1:]
-    side = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
-    boxes = ((np.minimum(p, q) <= np.maximum(r, s)) & (np.minimum(r, s) <= np.maximum(p, q))).all(axis=-1)
-    return bool((boxes & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)).any())
-
-
-def intersects(a: bytes, b: bytes) -> bool:
-    """Whether two geometries share a point: lines that cross or touch, or a part of one inside the other."""
-    la, lb = _lines(a), _lines(b)
-    if any(_meet(x, y) for x in la for y in lb):
-        return True
-    pa_, pb = polygons(a), polygons(b)
-    return any(inside(tuple(x[0]), pb) for x in la) or any(inside(tuple(y[0]), pa_) for y in lb)
-
-
-def _area(r: np.ndarray) -> float:
-    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2)
-
-
 def _moved_in(r: np.ndarray, by: float) -> np.ndarray | None:
-    """A ring with its inside on the left, every edge moved to the left; edges that would turn round go. None where no ring is left."""
-    r = r[np.append(True, (r[1:] != r[:-1]).any(axis=1))]
+    """A convex ring with its inside on the left, every edge moved to the left; edges that would turn round go. None where no ring is left."""
     u = np.diff(r, axis=0)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    n, m, left = np.stack([-u[:, 1], u[:, 0]], axis=1) * by, len(u), list(range(len(u)))
+    n, left = np.stack([-u[:, 1], u[:, 0]], axis=1) * by, list(range(len(u)))
 
-    def corner(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where moved edge i ends and moved edge j starts."""
+    def corner(i: int, j: int) -> np.ndarray:
+        """Where moved edges i and j meet."""
         turn = u[i, 0] * u[j, 1] - u[i, 1] * u[j, 0]
-        if abs(turn) < 1e-12 or (turn < 0 and j == (i + 1) % m):  # straight on, or a corner that points inwards, which is cut
-            return r[i + 1] + n[i], r[j] + n[j]
+        if abs(turn) < 1e-12:
+            return r[j] + n[j]
         d = r[j] + n[j] - r[i] - n[i]
-        x = r[i] + n[i] + u[i] * (d[0] * u[j, 1] - d[1] * u[j, 0]) / turn
-        return x, x
+        return r[i] + n[i] + u[i] * (d[0] * u[j, 1] - d[1] * u[j, 0]) / turn
 
     while len(left) > 2:
         at = [corner(left[k - 1], left[k]) for k in range(len(left))]
-        length = [float((at[(k + 1) % len(left)][0] - at[k][1]) @ u[left[k]]) for k in range(len(left))]
+        length = [float((at[(k + 1) % len(left)] - at[k]) @ u[left[k]]) for k in range(len(left))]
         if min(length) > 0:
-            made = [x for pair in at for x in (pair[:1] if pair[0] is pair[1] else pair)]
-            return np.array([*made, made[0]])
+            return np.array([*at, at[0]])
         left.pop(int(np.argmin(length)))
     return None
 
 
-def inset(data: bytes, by: float) -> bytes | None:
-    """Polygons drawn in by a distance; null where nothing is left.
+def _convex(r: np.ndarray) -> bool:
+    """Whether a ring turns left only, once round."""
+    u = np.diff(r, axis=0)
+    v = np.roll(u, -1, axis=0)
+    turn = np.arctan2(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0], (u * v).sum(axis=1))
+    return bool((turn >= 0).all() and (turn < 3.0).all() and turn.sum() < 7)
 
-    Meant for distances that are small against the shape: one that would fall apart is not split.
-    """
-    out = []
-    for p in polygons(data):
-        # outer rings run against the clock and holes with it, so that the inside is on the left of every edge
-        turned = [r if (_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(p)]
-        moved = [_moved_in(r, by) for r in turned]
-        if moved[0] is not None:
-            out.append([[tuple(x) for x in (r if m is None else m).tolist()] for m, r in zip(moved, turned, strict=True)])
+
+def _polygon_wkb(shape: list[list[np.ndarray]]) -> bytes | None:
+    out = [[[tuple(x) for x in r.tolist()] for r in p] for p in shape]
     return None if not out else write_wkb("Polygon", out[0]) if len(out) == 1 else write_wkb("MultiPolygon", out)
 
 
+def make_valid(data: bytes) -> bytes | None:
+    """Polygons whose rings cross, touch or overlap, as valid ones (by the odd rule); null where no area is left. Other kinds stay."""
+    return _polygon_wkb(valid(polygons(data))) if read_wkb(data)[0] in ("Polygon", "MultiPolygon") else data
+
+
+def inset(data: bytes, by: float, quarter: int = 1) -> bytes | None:
+    """Polygons drawn in by a distance, in as many parts as that leaves; null where nothing is left. Corners that point inwards become arcs of `quarter` edges a quarter turn."""
+    shape = polygons(data)
+    if len(shape) == 1 and len(shape[0]) == 1:
+        r = shape[0][0]
+        r = r[np.append(True, (r[1:] != r[:-1]).any(axis=1))]
+        r = r if len(r) < 4 or area(r) > 0 else r[::-1]
+        if len(r) > 3 and _convex(r):
+            moved = _moved_in(r, by)
+            return None if moved is None else _polygon_wkb([[moved]])
+    return _polygon_wkb(drawn_in(shape, by, quarter))
+
+
 def wkb_of(df: DataFrame, column: str) -> DataFrame:
     """df with geometry: the WKB of a column of well-known text, null where it is null."""
 
@@ -275,41 +173,43 @@ def bounds(df: DataFrame, column: str = "geometry") -> DataFrame:
     return df.mapInArrow(run, ", ".join([f"`{n}` {k}" for n, k in df.dtypes] + [f"{n} double" for n in names]))
 
 
+def made_valid(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """df with a WKB column's polygons made valid; null where no area is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.get_field_index(column)
+            yield b.set_column(i, b.schema.field(i), pa.array([make_valid(g) if g else None for g in b.column(i).to_pylist()], pa.binary()))
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in df.dtypes))
+
+
 def centroids(df: DataFrame) -> DataFrame:
-    """(id, geometry): each geometry's area centroid as a point."""
+    """(id, geometry): each geometry's area centroid as a point, polygons made valid first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([write_wkb("Point", [centroid(g)]) if g else None for g in b.column(1).to_pylist()], pa.binary())], ["id", "geometry"])
+            yield pa.record_batch([b.column(0), pa.array([write_wkb("Point", [centroid(make_valid(g) or g)]) if g else None for g in b.column(1).to_pylist()], pa.binary())], ["id", "geometry"])
 
     rows = df.select("id", "geometry")
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
 
 
-def geometry_join(a: DataFrame, b: DataFrame, size: float, shrink: float = 0.0) -> DataFrame:
+def geometry_join(a: DataFrame, b: DataFrame, size: float = 0.0, shrink: float = 0.0) -> DataFrame:
     """(a_id, b_id) of rows (id, geometry) whose geometries meet; a's polygons may be drawn in first, against touching neighbours.
 
-    Rows meet in the grid cells of their boxes, then the exact test decides.
+    size: squares of the tree in which shapes meet are no narrower. Polygons of b are taken as they are; make them valid first where they
+    may not be.
     """
     a = a.select("id", "geometry")
-    if shrink:
-        kinds = ", ".join(f"`{n}` {k}" for n, k in a.dtypes)
 
-        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                yield pa.record_batch([t.column(0), pa.array([inset(g, shrink) if g else None for g in t.column(1).to_pylist()], pa.binary())], t.schema.names)
-
-        a = a.mapInArrow(drawn, kinds)
-    pairs = box_join(bounds(a).filter("x0 is not null"), bounds(b.select("id", "geometry")).filter("x0 is not null"), size)
-    full = pairs.join(a.select(F.col("id").alias("a_id"), F.col("geometry").alias("ga")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("geometry").alias("gb")), "b_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            yes = pa.array([intersects(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.record_batch([t.column(0).filter(yes), t.column(1).filter(yes)], ["a_id", "b_id"])
+            yield pa.record_batch([t.column(0), pa.array([inset(g, shrink, 8) if g else None for g in t.column(1).to_pylist()], pa.binary())], t.schema.names)
 
-    kind = {n: k for n, k in full.dtypes}
-    return full.select("a_id", "b_id", "ga", "gb").mapInArrow(run, f"a_id {kind['a_id']}, b_id {kind['b_id']}")
+    if shrink:
+        a = a.mapInArrow(drawn, ", ".join(f"`{n}` {k}" for n, k in a.dtypes))
+    return shape_join(written(a, "shapes-a"), written(b.select("id", "geometry"), "shapes-b"), size)
 
 
 def geodesic_metres(lat1, lon1, lat2, lon2):
