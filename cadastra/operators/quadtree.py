@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators.wkb import lines, polygons, read_wkb
+from cadastra.operators.wkb import kind_of, lines, polygons
 from cadastra.sources.tables import written
 
 #: Corners in a leaf, about; leaves across, at most 2 ** DEEPEST; pieces of either side in a group; inner squares, at most about.
@@ -39,8 +39,9 @@ class Tree:
 
 def _edges(data: bytes) -> list[tuple[np.ndarray, bool]]:
     """The parts of a geometry: edges (x0, y0, x1, y1) and whether they enclose area. Edges without length go, but for single points."""
-    if read_wkb(data)[0] in ("Polygon", "MultiPolygon"):
-        parts = [(np.vstack([np.hstack([r[:-1], r[1:]]) for r in p if len(r) > 1]), True) for p in polygons(data) if p and len(p[0]) > 1]
+    if kind_of(data) in ("Polygon", "MultiPolygon"):
+        rings = [[np.hstack([r[:-1], r[1:]]) for r in p if len(r) > 1] for p in polygons(data)]
+        parts = [(p[0] if len(p) == 1 else np.vstack(p), True) for p in rings if p]
     else:
         parts = [(np.hstack([x[:-1], x[1:]]), False) for x in lines(data) if len(x) > 1]
     out = []
@@ -99,6 +100,7 @@ def plant(shapes: list[DataFrame], narrowest: float = 0.0, corners: int = CORNER
     while depth and wide / (1 << depth) < narrowest:
         depth -= 1
     cells = rows.mapInArrow(_counted(box[0], box[1], wide, depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    cells = written(cells, "cells")  # read for the total and for the sums
     ups = cells.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(depth, 1))), lambda k: F.struct(F.expr("1L").alias("_"), k.alias("k")))).alias("_k"), "code", "n")
     sums = ups.select(F.expr("shiftright(code, 2 * _k.k)").alias("code"), "n").filter("code > 0").groupBy("code").agg(F.sum("n").alias("n"))
     total = cells.agg(F.sum("n")).first()[0] or 0
@@ -247,30 +249,55 @@ def _meet_in(o: np.ndarray, a: tuple, b: tuple) -> bool:
     return bool(ca and any((ha ^ _holds(ea, o, pb[k : k + step])).any() for k in range(0, len(eb), step)))
 
 
+def _met(tree: Tree, leaf: int, left: pa.Table, right: pa.Table) -> tuple[list[int], list[int]]:
+    """The rows of either side's pieces of a leaf that meet in it."""
+    x, y, wide = _place(tree, leaf)
+    o = np.array([x, y]) + wide * _AT
+
+    def opened(t: pa.Table) -> tuple[list, np.ndarray]:
+        every = t["edges"].to_pylist()
+        e, ends = np.frombuffer(b"".join(every)).reshape(-1, 4), np.cumsum([0, *(len(d) // 32 for d in every)]).tolist()
+        inner = _inner_points(e, x, y, wide)
+        pieces = [(e[i:j], inner[i:j], *flags) for i, j, *flags in zip(ends, ends[1:], t["encloses"].to_pylist(), t["holds"].to_pylist())]
+        # the boxes of the whole parts
+        return pieces, np.frombuffer(b"".join(t["box"].to_pylist())).reshape(-1, 4)
+
+    (others, other), (pieces, boxes) = opened(left), opened(right)
+    full = np.array([not len(e) and holds for e, _, _, holds in pieces], bool)  # these hold the whole leaf
+    found = ([], [])
+    for i, box in enumerate(other):
+        near = np.flatnonzero(full | ((boxes[:, 0] <= box[2]) & (boxes[:, 2] >= box[0]) & (boxes[:, 1] <= box[3]) & (boxes[:, 3] >= box[1])))
+        hits = [j for j in near.tolist() if full[j] or _meet_in(o, others[i], pieces[j])]
+        found[0].extend([i] * len(hits))
+        found[1].extend(hits)
+    return found
+
+
 def _matched(tree):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y, wide = _place(tree.value, key[0].as_py())
-        o = np.array([x, y]) + wide * _AT
-
-        def opened(t: pa.Table) -> tuple[list, np.ndarray]:
-            pieces = []
-            for data, encloses, holds in zip(t["edges"].to_pylist(), t["encloses"].to_pylist(), t["holds"].to_pylist(), strict=True):
-                e = np.frombuffer(data).reshape(-1, 4)
-                pieces.append((e, _inner_points(e, x, y, wide), encloses, holds))
-            # the boxes of the whole parts
-            return pieces, np.frombuffer(b"".join(t["box"].to_pylist())).reshape(-1, 4)
-
-        pieces, boxes = opened(right)
-        others, other = opened(left)
-        full = np.array([not len(e) and holds for e, _, _, holds in pieces], bool)  # these hold the whole leaf
-        ids, found = (left["id"], right["id"]), ([], [])
-        for i, box in enumerate(other):
-            near = np.flatnonzero(full | ((boxes[:, 0] <= box[2]) & (boxes[:, 2] >= box[0]) & (boxes[:, 1] <= box[3]) & (boxes[:, 3] >= box[1])))
-            hits = [j for j in near.tolist() if full[j] or _meet_in(o, others[i], pieces[j])]
-            found[0].extend([i] * len(hits))
-            found[1].extend(hits)
-        take = lambda k: ids[k].take(pa.array(found[k], pa.int64()))
-        return pa.table([take(0), take(1)], ["a_id", "b_id"])
+    """Rows in order of their groups, one after the other: each group is held as a whole, and no more."""
+
+    def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows)
+        left, right = (group.filter(pc.equal(group["side"], k)) for k in (0, 1))
+        if left.num_rows and right.num_rows:
+            found = _met(tree.value, group["leaf"][0].as_py(), left, right)
+            take = lambda t, c, k: t[c].combine_chunks().take(pa.array(found[k], pa.int64()))
+            yield pa.record_batch([take(left, "a_id", 0), take(right, "b_id", 1)], ["a_id", "b_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for b in batches:
+            keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("leaf", "na", "nb")], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(starts, starts[1:]):
+                if j > i:
+                    if held and tuple(keys[i]) != key:
+                        yield from of(held)
+                        held = []
+                    key = tuple(keys[i])
+                    held.append(b.slice(i, j - i))
+        if held:
+            yield from of(held)
 
     return run
 
@@ -305,9 +332,12 @@ def shape_join(a: DataFrame, b: DataFrame, narrowest: float = 0.0, corners: int
     parts = lambda t, n: t.groupBy("leaf").agg(F.ceil(F.count("*") / pieces).cast("int").alias(n))
     both = written(parts(pa_, "na").join(parts(pb, "nb"), "leaf"), "leaves")
 
-    def dealt(t: DataFrame, own: str, other: str) -> DataFrame:
+    def dealt(t: DataFrame, own: str, other: str, side: int) -> DataFrame:
         placed = t.join(F.broadcast(both), "leaf").withColumn(own, F.pmod(F.xxhash64("id", F.length("edges")), own).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("leaf", "na", "nb", "id", "edges", "encloses", "holds", "box")
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        ids = [(F.col("id") if s == "ab"[side] else F.lit(None)).cast(kind[s]).alias(f"{s}_id") for s in "ab"]
+        return placed.select("leaf", "na", "nb", F.lit(side).alias("side"), *ids, "edges", "encloses", "holds", "box")
 
-    groups = dealt(pa_, "na", "nb").groupBy("leaf", "na", "nb").cogroup(dealt(pb, "nb", "na").groupBy("leaf", "na", "nb"))
-    return groups.applyInArrow(_matched(given), f"a_id {kind['a']}, b_id {kind['b']}").distinct()
+    # as many tasks as set: the pieces are small, the work on them isn't
+    every = dealt(pa_, "na", "nb", 0).unionByName(dealt(pb, "nb", "na", 1)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf", "na", "nb").sortWithinPartitions("leaf", "na", "nb")
+    return every.mapInArrow(_matched(given), f"a_id {kind['a']}, b_id {kind['b']}").distinct()
