@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.operators.nearest import nearest
 from cadastra.operators.quadtree import intersects, shape_join  # noqa: F401
 from cadastra.operators.rings import area, drawn_in, valid
 from cadastra.operators.wkb import from_wkt, polygons, read_wkb, wkt, write_wkb  # noqa: F401
@@ -29,42 +30,9 @@ def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return both.filter(meet & corner).select("a_id", "b_id")
 
 
-def nearest(points: DataFrame, places: DataFrame, group: str, size: float) -> DataFrame:
-    """(id, group, place_id, distance): for each point the nearest place of each group; ties by place_id.
-
-    points: id, x, y; places: place_id, x, y, group. A point looks at its grid cell and the eight around it, by an equi-join for those
-    points and groups only that are still open: a place that is no further than a cell is wide closes the search. What stays
-    open looks again in cells twice as wide, so that every round asks for nine cells a point however far its places are.
-    """
-    kinds = sorted(r[0] for r in places.select(group).distinct().collect() if r[0] is not None)  # a handful, as hospitals, schools, stations
-    if not kinds:
-        return points.select("id").limit(0).selectExpr("id", f"cast(null as string) as {group}", "cast(null as long) as place_id", "cast(null as double) as distance")
-    at = places.select("place_id", group, F.col("x").alias("px"), F.col("y").alias("py"))
-    edge = places.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
-    own = points.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
-    far = 0.0 if edge[0] is None or own[0] is None else max(max(edge[1], own[1]) - min(edge[0], own[0]), max(edge[3], own[3]) - min(edge[2], own[2]))
-    open_, done, wide = points.select("id", "x", "y", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(group)), None, float(size)
-    while True:
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        look = open_.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        look = look.withColumn("cx", F.floor(F.col("x") / wide) + F.col("_dx")).withColumn("cy", F.floor(F.col("y") / wide) + F.col("_dy"))
-        here = at.withColumn("cx", F.floor(F.col("px") / wide)).withColumn("cy", F.floor(F.col("py") / wide))
-        d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
-        best = look.join(here, ["cx", "cy", group]).groupBy("id", group).agg(F.min(F.struct(d.alias("d"), F.col("place_id"))).alias("b"))
-        best = best.select("id", group, F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance"))
-        found = written(best if wide > far else best.filter(F.col("distance") <= wide), "nearest")
-        done = found if done is None else done.unionByName(found)
-        if wide > far:
-            return done
-        open_ = written(open_.join(found, ["id", group], "left_anti"), "nearest-open")
-        if open_.isEmpty():
-            return done
-        wide *= 2
-
-
-def nearest_metres(points: DataFrame, places: DataFrame, group: str, size: float) -> DataFrame:
+def nearest_metres(points: DataFrame, places: DataFrame, group: str) -> DataFrame:
     """nearest() over longitudes (x) and latitudes (y), with metres: the distance on the spheroid to the place found, rounded."""
-    found = nearest(points, places, group, size)
+    found = nearest(points, places, group)
     full = found.join(points.select("id", F.col("x").alias("lon1"), F.col("y").alias("lat1")), "id").join(places.select("place_id", F.col("x").alias("lon2"), F.col("y").alias("lat2")), "place_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

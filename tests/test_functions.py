@@ -178,7 +178,7 @@ def test_inset():
 def test_nearest_metres(spark):
     points = spark.createDataFrame([(1, 144.424867889, -37.951033417)], "id int, x double, y double")
     places = spark.createDataFrame([(7, 143.926495528, -37.652821139, "a"), (8, 120.0, -20.0, "a"), (9, 144.424867889, -37.951033417, "b")], "place_id int, x double, y double, g string")
-    got = {r["g"]: (r["place_id"], r["metres"]) for r in sp.nearest_metres(points, places, "g", 0.01).collect()}
+    got = {r["g"]: (r["place_id"], r["metres"]) for r in sp.nearest_metres(points, places, "g").collect()}
     assert got == {"a": (7, 54972.0), "b": (9, 0.0)}
 
 
@@ -250,15 +250,19 @@ def test_geometry_join(spark):
 
 
 def test_nearest(spark):
+    """Small leaves; ties, places on one spot, groups of one, points far away, rows without a coordinate or a group."""
     rng = np.random.default_rng(2)
-    pts, pls = rng.uniform(0, 100, (40, 2)), rng.uniform(0, 400, (30, 2))
-    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
-    places = spark.createDataFrame([(i, float(x), float(y), "ab"[i % 2]) for i, (x, y) in enumerate(pls)], "place_id int, x double, y double, g string")
-    got = {(r["id"], r["g"]): r["place_id"] for r in sp.nearest(points, places, "g", 7.0).collect()}
-    for i, p in enumerate(pts):
-        for k in (0, 1):
-            own = [j for j in range(30) if j % 2 == k]
-            assert got[i, "ab"[k]] == min(own, key=lambda j: (math.dist(p, pls[j]), j))
+    pts = [tuple(p) for p in np.vstack([rng.uniform(0, 100, (300, 2)), rng.uniform(1e6, 2e6, (50, 2)), np.round(rng.uniform(0, 20, (100, 2)))]).tolist()]
+    pls = [(*p, "ab"[i % 2]) for i, p in enumerate(np.vstack([rng.uniform(0, 400, (300, 2)), np.round(rng.uniform(0, 20, (300, 2)))]).tolist())] + [(5.0, 5.0, "a")] * 200 + [(-3.0, 1e7, "c")]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)] + [(9999, None, 1.0)], "id int, x double, y double")
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(pls)] + [(9998, 1.0, None, "a"), (9999, 1.0, 1.0, None)], "place_id int, x double, y double, g string")
+    got = {(r["id"], r["g"]): (r["place_id"], r["distance"]) for r in sp.nearest(points, places, "g", 10).collect()}
+    assert len(got) == 3 * len(pts)
+    at = {k: [(j, p[0], p[1]) for j, p in enumerate(pls) if p[2] == k] for k in "abc"}
+    for (i, k), (j, d) in got.items():
+        best = min((math.sqrt((pts[i][0] - x) ** 2 + (pts[i][1] - y) ** 2), n) for n, x, y in at[k])
+        assert (d, j) == (pytest.approx(best[0]), best[1])
+    assert sp.nearest(points, places.limit(0), "g").count() == 0 and sp.nearest(points.limit(0), places, "g").count() == 0
 
 
 @settings(max_examples=10, deadline=None)
