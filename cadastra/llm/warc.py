@@ -124,6 +124,31 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
 RECORD = "kind string, id string, page_id long, origin string, number int, total long, refers_to string, digest string, block binary"
 
 
+def unpacked(data: bytes, step: int = 1 << 16) -> bytes:
+    """An archive's bytes: of gzip files all members one after the other, of others as they are. ValueError where a member is cut off."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            out.append(member.decompress(data[at : at + step]))
+            at = min(at + step, len(data)) - len(member.unused_data)
+    return b"".join(out)
+
+
+def payload_of(block: bytes) -> bytes:
+    """The payload of a response's block: what follows its HTTP head, with the framing taken off where the head says so; all of a block without a head."""
+    if not block.startswith(b"HTTP/"):
+        return block
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = (x.partition(b":") for x in head.lower().split(b"\r\n")[1:])
+    framed = any(k.strip() == b"transfer-encoding" and v.strip().endswith(b"chunked") for k, _, v in fields)
+    return dechunked(body) if framed else body
+
+
 def parse(data: bytes) -> Iterator[tuple]:
     """The records of an archive, as in RECORD; ValueError where the archive is cut off."""
     at = 0
@@ -132,15 +157,15 @@ def parse(data: bytes) -> Iterator[tuple]:
         lines = data[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         n = int(head["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
             raise ValueError("a record's length doesn't hold")
         at = end + 8 + n
         long = lambda k: int(head[k]) if k in head else None  # noqa: E731, B023
-        own = head["warc-record-id"]
-        yield head["warc-type"], own, long("warc-page-id"), head.get("warc-segment-origin-id", own), long("warc-segment-number"), long("warc-segment-total-length"), head.get("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:"), block
+        own, digest = head["warc-record-id"], head.get("warc-payload-digest", "")
+        yield head["warc-type"], own, long("warc-page-id"), head.get("warc-segment-origin-id", own), long("warc-segment-number"), long("warc-segment-total-length"), head.get("warc-refers-to"), digest[5:].upper() if digest.lower().startswith("sha1:") else "", block
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -153,7 +178,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column(0):
             rows, held = [], 0
-            for r in parse(zlib.decompress(x.as_py(), 31)):
+            for r in parse(unpacked(x.as_py())):
                 rows.append(r)
                 held += len(r[-1])
                 if held > 8_000_000:
@@ -170,18 +195,21 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = b"".join(parts)
             if total is not None and len(block) != total:
                 raise ValueError(f"{own}: segments have {len(block)} bytes of {total}")
-            payload = dechunked(block[block.index(b"\r\n\r\n") + 4 :])
-            if base32_sha1(payload) != digest:
+            payload = payload_of(block)
+            made = base32_sha1(payload)
+            if digest and made != digest:
                 raise ValueError(f"{own}: the payload doesn't have the digest that the record names")
-            rows.append((own, page, copies, len(payload), digest))
+            rows.append((own, page, copies, len(payload), made))
         yield _batch(rows, ["id", "page_id", "copies", "payload_bytes", "payload_digest"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each page written under path: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row for each page under path: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Segments of one page are grouped by origin identifier; a segment that is there more than once, since its page was,
-    counts once in the payload and each time as a page. Broken lengths, framing or digests raise an error.
+    counts once in the payload and each time as a page. Broken lengths, framing or digests raise an error. Archives may be others than
+    write_archives makes: gzip files with any number of members or plain ones, bodies without chunks, records without a page number (null) or
+    with digests of another kind (not checked), revisits of records that aren't there (null sizes and digests).
     """
     records = cut(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD), "warc-records")
     whole = records.filter("kind = 'response' and number is null").select("id", "page_id", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("long").alias("total"), "digest", F.array("block").alias("parts"))
@@ -195,7 +223,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     responses = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     ids = found.groupBy("id").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
     again = records.filter("kind = 'revisit'").select("page_id", F.col("refers_to").alias("id"))
-    again = again.join(ids, "id").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    again = again.join(ids, "id", "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return responses.unionByName(again)
 
 

@@ -1,6 +1,7 @@
 """Sharding, mixing and WARC: laws, brute force and round trips."""
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -182,3 +183,22 @@ def test_framing():
     assert [p[4] for p in parsed] == list(range(1, len(records) + 1)) and {p[3] for p in parsed} == {parsed[0][1]} and parsed[-1][5] == sum(len(p[8]) for p in parsed)
     with pytest.raises(ValueError):
         list(warc.parse(whole[:-10]))
+
+
+def test_foreign_archives(spark, tmp_path):
+    """A gzip member a record, plain files, heads without spaces, bodies without chunks, no page numbers, other digests, records of other kinds."""
+    pages = [(1, b"<html>one</html>"), (2, b"two" * 20_000), (3, b"")]
+    own = [b"".join(x + b"\r\n\r\n" for x in warc.page_records(k, "http://a/", body, None)) for k, body in pages]
+    made = lambda kind, more, block: b"WARC/1.0\r\nWARC-Type:" + kind + b"\r\nWARC-Record-ID:<urn:" + str(len(block)).encode() + b">\r\n" + more + b"Content-Length:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    plain = made(b"response", b"WARC-Payload-Digest: sha256:00\r\n", b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nplain body")
+    other = made(b"warcinfo", b"", b"software: x") + made(b"response", b"", b"no head at all") + made(b"revisit", b"WARC-Refers-To: <urn:gone>\r\n", b"")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in [*own, plain]))
+    (tmp_path / "b.warc").write_bytes(other)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    want = [(k, len(body), warc.base32_sha1(body), "response") for k, body in pages] + [(None, len(b), warc.base32_sha1(b), "response") for b in (b"plain body", b"no head at all")] + [(None, None, None, "revisit")]
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in got) == Counter(want)
+    whole = b"".join(map(gzip.compress, own))
+    assert warc.unpacked(whole, 10) == warc.unpacked(whole) == b"".join(own)
+    for cut in (whole[:-4], whole[: len(whole) // 2]):
+        with pytest.raises(ValueError):
+            warc.unpacked(cut)
