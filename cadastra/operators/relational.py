@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.sources.tables import written
+
 
 def all_of(conditions: list[Column]) -> Column:
     """The conjunction of any number of conditions; none is true."""
@@ -51,3 +53,17 @@ def state_filter(c: Column, wanted: str) -> Column:
 
     bare = lga_normalise(F.lit(wanted))
     return c.isNull() | (lga_normalise(c) == bare) | F.contains(lga_normalise(c), bare)
+
+
+def descendants(edges: DataFrame) -> DataFrame:
+    """(id, root, depth) of a forest of edges (child, parent, null for roots): a join for each level of depth, of any number of rows.
+
+    Children whose parents don't lead to a root have no row; a child with several parents has one for each way. A circle can't be reached from a root.
+    """
+    below = written(edges.filter("parent IS NOT NULL").select("child", "parent"), "edges")
+    level, found, depth = written(edges.filter("parent IS NULL").select(F.col("child").alias("id"), F.col("child").alias("root")), "roots"), [], 0
+    while not level.isEmpty():
+        found.append(level.withColumn("depth", F.lit(depth)))
+        level = written(below.join(level, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), "root"), "level")
+        depth += 1
+    return reduce(DataFrame.unionByName, found) if found else level.withColumn("depth", F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -9,13 +10,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Facts of a property, as label, column, what follows the value, and digits to round to.
-FACTS = [
-    ("Address", "address", "", None), ("Zone", "zone", "", None), ("LEP", "lep_name", "", None), ("LGA", "lga_name", "", None), ("Council", "council_name", "", None), ("FSR", "fsr_value", "", None),
-    ("Max height", "max_height_m", "m", None), ("Min lot size", "min_lot_size", " sqm", None), ("Lot area", "area_sqm", " sqm", 0), ("Primary frontage", "primary_frontage_length_m", "m", None), ("Min lot width", "min_width_m", "m", None),
-    ("Average slope", "average_slope", "°", 1), ("Heritage", "heritage_name", "", None), ("Flood mapping", "floodmapping", "", None), ("Bushfire prone", "bushfireproneland", "", None), ("Biodiversity", "biodiversity", "", None),
-    ("Acid sulfate soils", "acid_sulfate", "", None), ("Coastal wetlands", "coastal_wetlands", "", None), ("Riparian/watercourse", "riparianlandwatercourse", "", None), ("Contamination", "contamination_sitename", "", None), ("DCP", "dcp_plan_name", "", None),
-]
+# The facts of a property in order. `{column}` stands for a value, `{column|else}` for one that may be missing, `{column:1}` for a number with so
+# many digits. A line goes where a value without an `else` is missing, or where the column before `?` isn't true.
+FACTS = """
+Address: {address}
+Zone: {zone} ({zone_class|})
+LEP: {lep_name|N/A}
+LGA: {lga_name|N/A}
+Council: {council_name|N/A}
+FSR: {fsr_value}
+Max height: {max_height_m}m
+Min lot size: {min_lot_size} {lot_size_units|sqm}
+Lot area: {area_sqm:0} sqm
+Primary frontage: {primary_frontage_length_m}m ({primary_frontage_road|})
+Min lot width: {min_width_m}m
+Average slope: {average_slope:1}°
+is_corner_lot?Corner lot: Yes
+is_battleaxe?Battle-axe lot: Yes
+Heritage: {heritage_name} ({heritage_class|})
+Flood mapping: {floodmapping}
+Bushfire prone: {bushfireproneland}
+Biodiversity: {biodiversity}
+Acid sulfate soils: {acid_sulfate}
+Coastal wetlands: {coastal_wetlands}
+Riparian/watercourse: {riparianlandwatercourse}
+Contamination: {contamination_sitename}
+cdc_eligible?CDC eligible: Yes ({total_cdc_eligible|0} pathways)
+!cdc_eligible?CDC eligible: No
+cdc_dwelling_houses?CDC dwelling houses: eligible
+cdc_dual_occupancy?CDC dual occupancy: eligible
+cdc_secondary_dwellings?CDC secondary dwellings: eligible
+in_lmr_housing_area?In Low-Mid Rise housing area: Yes
+DCP: {dcp_plan_name}
+""".strip().splitlines()
 # The columns of which each that is not empty is a constraint.
 CONSTRAINED = [
     "heritage_name", "floodmapping", "bushfireproneland", "biodiversity", "acid_sulfate", "landsliderisk", "groundwatervulnerability", "coastal_wetlands", "coastal_environment_area", "coastal_use_area",
@@ -53,22 +80,33 @@ def _number(df: DataFrame, name: str) -> Column:
 def property_lookup(properties: DataFrame, address: str = "", lat: float | None = None, lon: float | None = None) -> DataFrame:
     """The property of an address, or, without one, the nearest to a point; ValueError where neither is given."""
     if address:
-        return properties.filter(F.col("address") == address).limit(1)
+        rows = properties.filter(F.col("address") == address)
+        # of several rows the first by their other columns, whatever order they come in
+        return rows.orderBy(*[c for c, kind in rows.dtypes if not kind.startswith("map")]).limit(1)
     if lat is None or lon is None:
         raise ValueError("an address or a latitude and a longitude are required")
     at = F.pow(F.col("centroid_lat").cast("double") - lat, 2) + F.pow(F.col("centroid_lon").cast("double") - lon, 2)
     return properties.filter("centroid_lat is not null and centroid_lon is not null").withColumn("_d", at).orderBy("_d", "address").limit(1).drop("_d")
 
 
-def fact_block(properties: DataFrame, key: str, facts: list[tuple] = FACTS) -> DataFrame:
-    """(key, block): a line for each fact that a property has."""
+def fact_block(properties: DataFrame, key: str, facts: list[str] = FACTS) -> DataFrame:
+    """(key, block): the lines of the facts that a property has; see FACTS for how a line is written."""
+    true = lambda name: F.coalesce(_given(properties, name) == "true", F.lit(False))
+
+    def value(slot: str) -> Column:
+        name, has_else, other = slot.partition("|")
+        name, has_digits, digits = name.partition(":")
+        if has_digits:
+            return F.when(_number(properties, name).isNotNull(), F.format_string(f"%.{digits}f", _number(properties, name)))
+        return F.coalesce(_given(properties, name), F.lit(other)) if has_else else _given(properties, name)
 
-    def one(label: str, name: str, unit: str, digits: int | None) -> Column:
-        value = _given(properties, name) if digits is None else F.format_string(f"%.{digits}f", _number(properties, name))
-        value = value if digits is None else F.when(_number(properties, name).isNotNull(), value)
-        return F.concat(F.lit(f"{label}: "), value, F.lit(unit))
+    def line(fact: str) -> Column:
+        when, _, said = fact.rpartition("?")
+        pieces = re.split(r"\{([^}]*)\}", said)
+        made = F.concat(*[value(x) if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+        return made if not when else F.when(~true(when[1:]) if when[0] == "!" else true(when), made)
 
-    return properties.select(key, F.concat_ws("\n", *[one(*x) for x in facts]).alias("block"))
+    return properties.select(key, F.concat_ws("\n", *map(line, facts)).alias("block"))
 
 
 def assess(properties: DataFrame, key: list[str]) -> DataFrame:

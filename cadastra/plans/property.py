@@ -163,11 +163,23 @@ def pathway_unpivot(spark, d):
     return pathway_rows(rows, "o_orderkey")
 
 
-@query("""SELECT o_orderkey, concat_ws(chr(10), 'Address: ' || o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Zone: ' || o_orderstatus END, CASE WHEN o_totalprice > 100000 THEN 'Lot area: ' || round(o_totalprice)::BIGINT || ' sqm' END,
-          'DCP: ' || o_orderpriority) AS block FROM orders""")
+@query("""SELECT o_orderkey, concat_ws(chr(10), 'Address: ' || o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Zone: ' || o_orderstatus || ' (' || o_orderpriority || ')' END, 'LEP: ' || CASE WHEN o_custkey % 3 = 0 THEN 'N/A' ELSE 'Plan ' || o_custkey END,
+          'LGA: N/A', 'Council: N/A', CASE WHEN o_custkey % 5 > 0 THEN 'Min lot size: ' || (o_custkey % 5) || '00 ' || CASE WHEN o_custkey % 2 = 0 THEN 'ha' ELSE 'sqm' END END,
+          CASE WHEN o_totalprice > 100000 THEN 'Lot area: ' || round(o_totalprice)::BIGINT || ' sqm' END, 'Primary frontage: ' || (o_custkey % 40) || 'm (' || CASE WHEN o_orderstatus = 'O' THEN 'High St' ELSE '' END || ')',
+          CASE WHEN o_orderstatus = 'O' THEN 'Corner lot: Yes' END, CASE WHEN o_orderstatus = 'F' THEN 'Battle-axe lot: Yes' END, CASE WHEN o_custkey % 7 = 0 THEN 'Heritage: Item ' || o_custkey || ' (State)' END,
+          CASE WHEN o_totalprice > 200000 THEN 'CDC eligible: Yes (' || (o_custkey % 4) || ' pathways)' ELSE 'CDC eligible: No' END, CASE WHEN o_orderstatus = 'O' THEN 'CDC dwelling houses: eligible' END, CASE WHEN o_orderstatus = 'F' THEN 'CDC dual occupancy: eligible' END,
+          CASE WHEN o_orderstatus = 'P' THEN 'CDC secondary dwellings: eligible' END, CASE WHEN o_totalprice > 200000 THEN 'In Low-Mid Rise housing area: Yes' END, 'DCP: ' || o_orderpriority) AS block FROM orders""")
 def fact_lines(spark, d):
     c = F.col
-    rows = table(spark, d, "orders").select("o_orderkey", c("o_orderkey").alias("address"), F.when(c("o_orderstatus") != "P", c("o_orderstatus")).otherwise("").alias("zone"), F.when(c("o_totalprice") > 100000, c("o_totalprice")).alias("area_sqm"), c("o_orderpriority").alias("dcp_plan_name"))
+    is_ = lambda x: x.cast("string")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", c("o_orderkey").alias("address"), F.when(c("o_orderstatus") != "P", c("o_orderstatus")).otherwise("").alias("zone"), c("o_orderpriority").alias("zone_class"), c("o_orderpriority").alias("dcp_plan_name"),
+        F.when(c("o_custkey") % 3 > 0, F.concat(F.lit("Plan "), is_(c("o_custkey")))).alias("lep_name"), F.when(c("o_custkey") % 5 > 0, c("o_custkey") % 5 * 100).alias("min_lot_size"), F.when(c("o_custkey") % 2 == 0, "ha").alias("lot_size_units"),
+        F.when(c("o_totalprice") > 100000, c("o_totalprice")).alias("area_sqm"), (c("o_custkey") % 40).alias("primary_frontage_length_m"), F.when(c("o_orderstatus") == "O", "High St").alias("primary_frontage_road"),
+        is_(c("o_orderstatus") == "O").alias("is_corner_lot"), is_(c("o_orderstatus") == "F").alias("is_battleaxe"), F.when(c("o_custkey") % 7 == 0, F.concat(F.lit("Item "), is_(c("o_custkey")))).alias("heritage_name"), F.lit("State").alias("heritage_class"),
+        is_(c("o_totalprice") > 200000).alias("cdc_eligible"), (c("o_custkey") % 4).alias("total_cdc_eligible"), is_(c("o_orderstatus") == "O").alias("cdc_dwelling_houses"), is_(c("o_orderstatus") == "F").alias("cdc_dual_occupancy"),
+        is_(c("o_orderstatus") == "P").alias("cdc_secondary_dwellings"), is_(c("o_totalprice") > 200000).alias("in_lmr_housing_area"),
+    )
     return fact_block(rows, "o_orderkey")
 
 

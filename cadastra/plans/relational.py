@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import lga_normalise
-from cadastra.operators.relational import contains_ilike, first_by, joined_distinct, joined_ordered, left_join_all, state_filter
+from cadastra.operators.relational import contains_ilike, descendants, first_by, joined_distinct, joined_ordered, left_join_all, state_filter
 from cadastra.plans.registry import query
 from cadastra.sources.tables import flattened, table
 
@@ -188,14 +188,9 @@ def csv_list(spark, d):
           t AS (SELECT child AS id, child AS root, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.child, t.root, t.depth + 1 FROM e JOIN t ON e.parent = t.id)
           SELECT id, root, depth FROM t""")
 def tree_children(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("tree_region")
-    table(spark, d, "nation").createOrReplaceTempView("tree_nation")
-    table(spark, d, "customer").createOrReplaceTempView("tree_customer")
-    return spark.sql("""
-        WITH RECURSIVE t(id, root, depth) AS (
-          SELECT concat('r', r_regionkey), concat('r', r_regionkey), 0 FROM tree_region
-          UNION ALL
-          SELECT e.child, t.root, t.depth + 1
-          FROM (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM tree_nation
-                UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM tree_customer) e JOIN t ON e.parent = t.id)
-        SELECT id, root, depth FROM t""")
+    """Children with their root and depth, a join for each level."""
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nations = table(spark, d, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
+    customers = table(spark, d, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
+    roots = table(spark, d, "region").select(name("r", "r_regionkey").alias("child"), F.lit(None).cast("string").alias("parent"))
+    return descendants(roots.unionByName(nations).unionByName(customers))

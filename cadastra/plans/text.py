@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import clause_refs, html_clean, html_escape, intent_keywords, metric, numbers, rolling_hash, route, slug, slug_file, slug_heading, zone_family, zone_mentions
+from cadastra.functions.text import clause_refs, html_clean, html_escape, intent_keywords, markdown_html, metric, numbers, rolling_hash, route, slug, slug_file, slug_heading, zone_family, zone_mentions
 from cadastra.functions.text import HECTARES, METRES, PERCENT, SQUARE_METRES
 from cadastra.plans.registry import query
 from cadastra.sources.tables import table
@@ -30,7 +30,10 @@ def html_escape_pages(spark, d):
 
 # Documents with a clause behind the text, of four kinds by doc_id: land sizes, distances, shares, and none at all.
 _CLAUSE = """text || CASE doc_id % 4 WHEN 0 THEN ' Land in Zone R' || (doc_id % 6) || ' and Zone RU' || (doc_id % 3) || ' or Zone R' || (doc_id % 6) || ', clause 4.' || (doc_id % 90) || 'A or clause ' || doc_id || ': not less than ' || (doc_id % 70) || ',500 square metres, 1,200 m2 or ' || (doc_id % 9) || '.5 ha'
-  WHEN 1 THEN ' A setback in Zone E' || (doc_id % 4) || ' of not more than ' || (doc_id % 30) || '.5 metres, clause 5.' || (doc_id % 40) WHEN 2 THEN ' At most ' || (doc_id % 100) || '% of Zone Objectives or ' || (doc_id % 50) || ' per cent' ELSE '' END"""
+  WHEN 1 THEN ' A setback in Zone E' || (doc_id % 4) || ' of not more than ' || (doc_id % 30) || '.5 metres, clause 5.' || (doc_id % 40) WHEN 2 THEN ' At most ' || (doc_id % 100) || '% of Zone Objectives or ' || (doc_id % 50) || ' per cent' WHEN 3 THEN CASE doc_id % 8 WHEN 3 THEN ' A sign of 1 square metre' ELSE ' A fence of 0.9 metre or on 1 hectare' END END"""
+# The measures again, for SQL: a number, then its unit, in the singular or not.
+_SQL_NUMBER = r"([0-9][0-9,]*(?:[.][0-9]+)?)\s*"
+_SQL_SQM, _SQL_HA, _SQL_M, _SQL_SHARE = _SQL_NUMBER + "(?:square metres|square metre|sqm|m2|m²)", _SQL_NUMBER + r"(?:ha|hectare|hectares)\b", _SQL_NUMBER + r"(?:m|metre|metres)\b", _SQL_NUMBER + "(?:per cent|%)"
 _BODY = f"t AS (SELECT doc_id, {_CLAUSE} AS text FROM documents)"
 _ONCE = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
 _FAMILY = """CASE WHEN {z} LIKE 'RU%' THEN 'RU' WHEN regexp_matches({z}, '^R[0-9]') THEN 'R' WHEN {z} LIKE 'B%' THEN 'B' WHEN {z} LIKE 'MU%' THEN 'MU' WHEN {z} LIKE 'IN%' THEN 'IN'
@@ -43,7 +46,7 @@ def _clauses(spark, d):
     land = F.format_string(" Land in Zone R%d and Zone RU%d or Zone R%d, clause 4.%dA or clause %d: not less than %d,500 square metres, 1,200 m2 or %d.5 ha", k % 6, k % 3, k % 6, k % 90, k, k % 70, k % 9)
     away = F.format_string(" A setback in Zone E%d of not more than %d.5 metres, clause 5.%d", k % 4, k % 30, k % 40)
     share = F.format_string(" At most %d%% of Zone Objectives or %d per cent", k % 100, k % 50)
-    clause = F.when(k % 4 == 0, land).when(k % 4 == 1, away).when(k % 4 == 2, share).otherwise("")
+    clause = F.when(k % 4 == 0, land).when(k % 4 == 1, away).when(k % 4 == 2, share).when(k % 8 == 3, " A sign of 1 square metre").otherwise(" A fence of 0.9 metre or on 1 hectare")
     return table(spark, d, "documents").select("doc_id", F.concat("text", clause).alias("text"))
 
 
@@ -63,7 +66,7 @@ def clause_ref_numbers(spark, d):
     return _clauses(spark, d).select("doc_id", F.array_join(clause_refs(F.col("text")), "|").alias("refs"))
 
 
-@query(rf"""WITH {_BODY}, m AS (SELECT doc_id, lower(text) AS low, {_FIRST.format(p=SQUARE_METRES)} AS sqm, {_FIRST.format(p=METRES)} AS m, {_FIRST.format(p=PERCENT)} AS share FROM t)
+@query(rf"""WITH {_BODY}, m AS (SELECT doc_id, lower(text) AS low, {_FIRST.format(p=_SQL_SQM)} AS sqm, {_FIRST.format(p=_SQL_M)} AS m, {_FIRST.format(p=_SQL_SHARE)} AS share FROM t)
             SELECT doc_id, coalesce(sqm, m, share) AS value, CASE WHEN sqm IS NOT NULL THEN 'sqm' WHEN m IS NOT NULL THEN 'm' WHEN share IS NOT NULL THEN '%' END AS unit,
             CASE WHEN sqm IS NOT NULL OR (m IS NULL AND share IS NOT NULL) THEN CASE WHEN contains(low, 'not less than') THEN 'min' ELSE 'max' END
                  WHEN m IS NOT NULL THEN CASE WHEN contains(low, 'not more than') OR contains(low, 'exceed') THEN 'max' ELSE 'min' END END AS qualifier FROM m""")
@@ -71,8 +74,8 @@ def metric_extract(spark, d):
     return _clauses(spark, d).select("doc_id", metric(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query(rf"""WITH {_BODY}, s AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '{SQUARE_METRES}', 1), lambda x: replace(x, ',', '')::DOUBLE)) AS l FROM t)
-            SELECT doc_id, len(l)::INT AS n_sqm, {_FIRST.format(p=SQUARE_METRES)} AS sqm, {_FIRST.format(p=HECTARES)} AS ha, {_FIRST.format(p=METRES)} AS m, {_FIRST.format(p=PERCENT)} AS percent FROM s""")
+@query(rf"""WITH {_BODY}, s AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '{_SQL_SQM}', 1), lambda x: replace(x, ',', '')::DOUBLE)) AS l FROM t)
+            SELECT doc_id, len(l)::INT AS n_sqm, {_FIRST.format(p=_SQL_SQM)} AS sqm, {_FIRST.format(p=_SQL_HA)} AS ha, {_FIRST.format(p=_SQL_M)} AS m, {_FIRST.format(p=_SQL_SHARE)} AS percent FROM s""")
 def metric_sets(spark, d):
     t = F.col("text")
     first = lambda p: F.try_element_at(numbers(t, p), F.lit(1))
@@ -163,3 +166,19 @@ def route_classify(spark, d):
     q = F.concat(F.when(k == 0, "Can I build a pool here? ").when(k == 1, "What is the setback? ").when(k == 2, "As you said above ").when(k == 3, "Tell me about complying development ").otherwise(""), "text")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q"), before.alias("prev")).select("conv_id", "turn", route(F.col("q"), F.col("prev")).alias("route"))
+
+
+_MARKED = "'## Answer ' || doc_id || chr(10) || '### Why' || chr(10) || chr(10) || '**Bold** and `code` in ' || text || chr(10) || chr(10) || chr(10) || '- first <b>' || chr(10) || '* second & last' || chr(10) || chr(10) || '**Sources:** none' || chr(10) || 'tail'"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents), a AS (SELECT doc_id, rtrim(t[1:length(t) - length(chr(10) || chr(10) || '**Sources:** none' || chr(10) || 'tail')], ' ') AS t FROM m),
+            e AS (SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM a),
+            h AS (SELECT doc_id, replace(regexp_replace(regexp_replace(t, '(?m)^[ \t]*#{{3,6}}[ \t]+(.+?)[ \t]*$', '<div class="heading-small">\1</div>', 'g'), '(?m)^[ \t]*#{{1,2}}[ \t]+(.+?)[ \t]*$', '<div class="heading">\1</div>', 'g'), 'Why</div>' || chr(10) || chr(10), 'Why</div>' || chr(10)) AS t FROM e),
+            b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '`([^`]+)`', '<code>\1</code>', 'g') AS t FROM h),
+            l AS (SELECT doc_id, regexp_replace(t, '(?m)^[-*][ \t]+(.+)$', '<ul><li>\1</li></ul>', 'g') AS t FROM b)
+            SELECT doc_id, md5('<p>' || regexp_replace(t, '\n\n+', '</p><p>', 'g') || '</p>') AS html FROM l""")
+def answer_html(spark, d):
+    """Documents with headings, bold and code, a list and a tail of sources around them."""
+    n = lambda x: F.lit(x)
+    text = F.concat(n("## Answer "), F.col("doc_id").cast("string"), n("\n### Why\n\n**Bold** and `code` in "), F.col("text"), n("\n\n\n- first <b>\n* second & last\n\n**Sources:** none\ntail"))
+    return table(spark, d, "documents").select("doc_id", F.md5(markdown_html(text)).alias("html"))

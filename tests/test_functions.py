@@ -210,7 +210,19 @@ def test_plural_hit(spark):
 def test_bold_numbers(spark):
     texts = ["at least 1,200 m2 in 2015", "clause 4.3 allows 8.5 m", "FSR 0.5:1", "section 12 metres of", "in 1999 and 25% of 3 storeys", "Zone R2 has 2000 sqm"]
     want = ["at least **1,200 m2** in 2015", "clause 4.3 allows **8.5 m**", "FSR **0.5:1**", "section 12 metres of", "in 1999 and **25%** of **3 storeys**", "Zone R2 has **2000 sqm**"]
+    texts += ["28 days, 5 km and 12 dwellings", "Division 3 metres, Chapter 5 m, item 2 rooms", "2010 years, 10 years", "1 metre or 1 square metre", "5 mph 60 km/h", "3 memories", "", "a < 5 m > b"]
+    want += ["**28 days**, **5 km** and **12 dwellings**", "Division 3 metres, Chapter 5 m, item 2 rooms", "2010 years, **10 years**", "**1 metre** or **1 square metre**", "**5 mph** **60 km/h**", "3 memories", "", "a < 5 m > b"]
+    texts += ['<b title="5 m">5 m</b> <strong>6 m <i>7 m</i></strong> 8 m', '9 m<a class="cite-num" href="x">10 m</a> 11 m', None]
+    want += ['<b title="5 m">**5 m**</b> <strong>6 m <i>7 m</i></strong> **8 m**', '**9 m**<a class="cite-num" href="x">10 m</a> **11 m**', None]
     assert values(spark, tx.bold_numbers, texts) == want
+    assert values(spark, lambda c: tx.bold_numbers(c, ("<strong>", "</strong>")), ["is 5 m high"]) == ["is <strong>5 m</strong> high"]
+
+
+def test_markdown(spark):
+    text = "intro <x> & **bold** `a*b`\n\n### small ###\n# Big\n\n\n- one\n* two\n-not\n\nend\n\nSources: [1]\nmore"
+    want = '<p>intro &lt;x&gt; &amp; <strong>bold</strong> <code>a*b</code>\n<div class="heading-small">small ###</div>\n<div class="heading">Big</div>\n<ul><li>one</li></ul>\n<ul><li>two</li></ul>\n-not</p><p>end</p>'
+    got = values(spark, tx.markdown_html, [text, "", None, "x"])
+    assert got[1:] == ["", "", "<p>x</p>"] and got[0].replace("\n", "") == want.replace("\n", "")
 
 
 def test_tables_and_documents(spark, tmp_path):
