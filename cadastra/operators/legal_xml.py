@@ -287,8 +287,9 @@ def requirement_uses(tree: DataFrame, e: DataFrame) -> DataFrame:
     whole = e.filter("tag = 'level' and kind = 'clause'").select("path", F.col("pos").alias("clause"), "whole")
     texts = tree.join(whole, ["path", "clause"]).select("path", "id", F.lower(F.when(F.col("parent_id").isNull(), F.col("whole")).otherwise(F.col("description"))).alias("_text"))
     starts = F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1)))
-    keyed = texts.withColumn("_key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(3))))))
-    met = keyed.join(uses.withColumn("_key", F.substring("_term", 1, 3)), ["path", "_key"])
+    # ids and keys alone go through the explode; the texts come back for the test
+    keyed = texts.select("path", "id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(3))))).alias("_key"))
+    met = keyed.join(uses.withColumn("_key", F.substring("_term", 1, 3)), ["path", "_key"]).select("path", "id", "_term", "use_slug").distinct().join(texts, ["path", "id"])
     return met.filter(plural_hit(F.col("_term"), F.col("_text"))).select("path", "id", "use_slug").distinct()
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import plural_hit, subjects_equivalent
+from cadastra.operators.containment import grams, meeting
 from cadastra.operators.relational import all_of, contains_ilike, first_by
 from cadastra.operators.spatial import box_join, geometry_join, nearest, wkb_of
 from cadastra.operators.reports import assess, fact_block, pattern_rows, property_lookup, question_cards
 from cadastra.plans.registry import query
-from cadastra.sources.tables import table
+from cadastra.sources.tables import table, written
 
 
 def address_search(properties, text: str, most: int = 10):
@@ -237,15 +238,16 @@ def use_hits(asked, uses):
     """The rows of asked (question and others, lower case) with each use that they hit: the question contains the use, or all
     tokens of the use have over three characters and each occurs in the question.
 
-    uses: one column use, distinct. Either way the use's first four characters (a shorter use: all of it) stand in the question, so
-    both sides meet on these, each pair once; then the rule decides. A question has as many rows as distinct runs of up to four
-    characters.
+    uses: one column use, distinct. A use with long tokens waits at the rarest gram within a token, any other at its rarest gram.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("question"), F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.substring(F.col("question"), i, n))))
-    wanted = uses.select("use", F.lower("use").alias("_use")).withColumn("_key", F.substring("_use", 1, 4))
-    met = asked.withColumn("_key", F.explode(F.array_distinct(runs))).join(wanted, "_key")
-    apart = F.forall(F.split("_use", r"\s+"), lambda t: (F.char_length(t) > 3) & F.contains(F.col("question"), t))
+    rows = written(asked.withColumn("_id", F.monotonically_increasing_id()), "asked")
+    wanted = written(uses.select("use", F.lower("use").alias("_use")).filter("_use <> ''").withColumn("term_id", F.xxhash64("use")), "uses")
+    tokens = F.split("_use", r"\s+")
+    long = F.forall(tokens, lambda t: F.char_length(t) > 3)
+    parts = F.when(long, F.flatten(F.transform(tokens, lambda t: grams(t)))).otherwise(grams(F.col("_use")))
+    met = meeting(rows.select(F.col("_id").alias("text_id"), F.col("question").alias("text")), wanted.select("term_id", parts.alias("grams")))
+    met = rows.join(met, F.col("_id") == F.col("text_id")).join(wanted, "term_id")
+    apart = F.forall(tokens, lambda t: (F.char_length(t) > 3) & F.contains(F.col("question"), t))
     return met.filter(F.contains("question", "_use") | apart).select(*asked.columns, "use")
 
 
@@ -259,14 +261,16 @@ def use_hit(spark, d):
 
 
 def plural_matches(texts, terms):
-    """The rows of texts (text and others, lower case) with each term (term, lower case) that stands in them, also as singular or plural.
+    """The rows of texts (text and others, lower case) with each term (term, lower case, distinct) that stands in them, also as singular or plural.
 
-    Whatever ending is changed, a term's first three characters stay, so both sides meet on these (shorter terms on all of theirs).
+    Whatever ending is changed, the term without it stays: both sides meet on its rarest gram.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("text"), i, n))))
-    met = texts.withColumn("_key", F.explode(F.array_distinct(runs))).join(terms.withColumn("_key", F.substring(F.regexp_replace("term", "(ies|y)$", ""), 1, 3)), "_key")
-    return met.filter(plural_hit(F.col("term"), F.col("text"))).drop("_key")
+    rows = written(texts.withColumn("_id", F.monotonically_increasing_id()), "texts")
+    wanted = written(terms.filter("term <> ''").withColumn("term_id", F.xxhash64("term")), "terms")
+    kept = F.coalesce(F.nullif(F.regexp_replace("term", "(ies|y|s)$", ""), F.lit("")), F.col("term"))
+    met = meeting(rows.select(F.col("_id").alias("text_id"), "text"), wanted.select("term_id", grams(kept).alias("grams")))
+    met = rows.join(met, F.col("_id") == F.col("text_id")).join(wanted, "term_id")
+    return met.filter(plural_hit(F.col("term"), F.col("text"))).select(*texts.columns, *terms.columns)
 
 
 @query("""WITH t AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN p_name || ' factory' WHEN 2 THEN p_name || ' factories' ELSE p_name END AS term FROM part),

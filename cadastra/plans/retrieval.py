@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cadastra.functions.text import CITATION, document_label, intent_keywords, quote, section_label
 from cadastra.functions.vectors import cosine
 from cadastra.operators.full_text import add_documents, index_search, with_stems
-from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, precedence_greedy, precedence_kept, precedence_pairs, vector_search
+from cadastra.operators.precedence import decisions
+from cadastra.operators.precedence import precedence as ranked_precedence
+from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, overrides_block, precedence_kept, precedence_pairs, vector_search
 from cadastra.operators.vector_index import build_index, search_index
 from cadastra.plans.registry import query
 from cadastra.plans.stems_sql import STEMS_SQL
@@ -183,12 +185,22 @@ _CANDIDATES = r"""c AS (SELECT p_partkey // 60 AS query_id, p_partkey % 60 AS po
            SELECT c.query_id, c.id, NOT coalesce(list_contains(e.gone, c.pos), false) AS kept FROM c LEFT JOIN e USING (query_id)""")
 def precedence(spark, d):
     """Candidates in turn, sixty a query; subjects match where one holds the other."""
+    return ranked_precedence(_ranked_parts(spark, d)).select("query_id", "id", "kept")
+
+
+@query()
+def precedence_overrides(spark, d):
+    """What was overridden by what, with the line that tells of it; tested against the comparison of all pairs."""
+    told = decisions(ranked_precedence(_ranked_parts(spark, d)))
+    return told.select("query_id", "loser_id", "winner_id", overrides_block(told).alias("line"))
+
+
+def _ranked_parts(spark, d):
     name, k = F.col("p_name"), F.col("p_partkey")
     level = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 4 + 1).alias("level")
     word = lambda i: F.split_part(name, F.lit(" "), F.lit(i))
     subject = F.when(k % 3 == 0, name).when(k % 3 == 1, F.concat(word(1), F.lit("-"), word(2), F.lit(" plant"))).otherwise(word(2))
-    rows = table(spark, d, "part").select(F.expr("p_partkey div 60").alias("query_id"), (k % 60).alias("pos"), k.alias("id"), F.col("p_brand").alias("document_id"), level, F.substring("p_type", 1, 1).alias("type"), subject.alias("subject"))
-    return precedence_greedy(rows).select("query_id", "id", "kept")
+    return table(spark, d, "part").select(F.expr("p_partkey div 60").alias("query_id"), (k % 60).alias("pos"), k.alias("id"), F.col("p_brand").alias("document_id"), level, F.substring("p_type", 1, 1).alias("type"), subject.alias("subject"))
 
 
 @query(f"WITH {_PROP}, m AS (SELECT *, min(level) OVER (PARTITION BY type, subject) AS least FROM p) SELECT id, document_id, level, type, subject FROM m WHERE level = least")
