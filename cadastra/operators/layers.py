@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators.relational import joined_distinct, joined_ordered, left_join_all
@@ -127,3 +127,21 @@ def enrich(lots: DataFrame, sources: dict[str, DataFrame], cell: float, layers:
             except PySparkException as e:
                 failed[x.name] = str(e).splitlines()[0][:300]
     return left_join_all(lots, parts, ["lot_id"]), failed
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> str:
+    """Write a layer as a table in buckets of its lot keys, sorted by them; its name."""
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+    return name
+
+
+def wide_table(spark: SparkSession, lots: str, layers: list[str], keys: list[str]) -> DataFrame:
+    """The lots' table with the columns of each layer's, all in the same number of buckets of the keys: merged bucket by bucket, without a shuffle.
+
+    Layers have a row a lot at most. A lot without a row keeps null; keys that are null in a layer meet nothing.
+    """
+    out = spark.table(lots)
+    for name in layers:
+        # a merge, as a small layer would else be sent to all
+        out = out.join(spark.table(name).hint("merge"), keys, "left")
+    return out

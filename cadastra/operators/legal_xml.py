@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.text import HECTARES, METRES, PERCENT, SQUARE_METRES, clause_refs, metric, numbers, plural_hit, slug, zone_family, zone_mentions
 from cadastra.operators.relational import first_by
+from cadastra.sources.tables import written
 
 FIELDS = (
     "path string, pos int, parent int, depth int, tag string, id string, kind string, status string, number string, heading string, text string, error string, "
@@ -361,6 +362,20 @@ def markdown_sections(e: DataFrame, least: int = 30) -> DataFrame:
     return rows.withColumn("body", F.when(F.length("body") > least, F.col("body")).otherwise(""))
 
 
+def extract(files: DataFrame) -> dict[str, DataFrame]:
+    """All tables of documents (path, xml) by name: what each operator of this module finds, and the errors of documents that can't be parsed.
+
+    The documents are parsed once, into a written table that all others read.
+    """
+    e = written(elements(files), "elements")
+    (nodes, edges), tree = structure(e), requirement_tree(e)
+    return {
+        "errors": e.filter("error IS NOT NULL").select("path", "error"), "plans": plan_info(e), "sections": sections(e), "zones": zones(e), "land_uses": land_uses(e), "terms": zoned_terms(e), "definitions": definitions(e),
+        "nodes": nodes, "edges": edges, "requirements": tree, "requirement_zones": requirement_zones(tree, e), "requirement_uses": requirement_uses(tree, e), "controls": controls(e), "prerequisites": prerequisites(e), "exclusions": exclusion_areas(e),
+        "schedule_items": schedule_items(e), "sites": additional_uses(e), "heritage": heritage_items(e), "local_provisions": local_provisions(e), "zone_index": zone_index(e), "lot_sizes": lot_size_index(e), "markdown": markdown_sections(e),
+    }
+
+
 def site_lots(text):
     """Lot and plan references of a site's text, as `Lot 9, DP 862908` or `Lots 7300 and 7301, DP 1153423`."""
     return F.regexp_extract_all(text, F.lit(r"(Lots? [\dA-Z]+(?:(?:, | and )[\dA-Z]+)*, (?:DP|SP) \d+)"), 1)

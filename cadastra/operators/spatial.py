@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.functions.projection import between
 from cadastra.operators.nearest import nearest
 from cadastra.operators.quadtree import intersects, shape_join  # noqa: F401
 from cadastra.operators.rings import area, drawn_in, valid
-from cadastra.operators.wkb import from_wkt, polygons, read_wkb, wkt, write_wkb  # noqa: F401
+from cadastra.operators.wkb import from_wkt, moved, polygons, read_wkb, srid_of, with_srid, wkt, write_wkb  # noqa: F401
 from cadastra.sources.tables import written
 
 
@@ -143,11 +144,36 @@ def bounds(df: DataFrame, column: str = "geometry") -> DataFrame:
 
 def made_valid(df: DataFrame, column: str = "geometry") -> DataFrame:
     """df with a WKB column's polygons made valid; null where no area is left."""
+    return _each(df, column, make_valid)
 
+
+def set_srid(df: DataFrame, number: int, column: str = "geometry") -> DataFrame:
+    """df with the number of a reference system in the head of each geometry of a WKB column, whatever stood there."""
+    return _each(df, column, lambda g: with_srid(g, number))
+
+
+def transformed(df: DataFrame, target: int, source: int | None = None, column: str = "geometry") -> DataFrame:
+    """df with a WKB column's geometries in another reference system, named in their heads.
+
+    Each is taken to be in the system that its head names, or in `source` where it names none; ValueError where there is neither, or a system is
+    not known. Null geometries stay.
+    """
+    _ = between(0.0, 0.0, 4326, target)  # a system that isn't known is told before anything runs
+
+    def one(g: bytes) -> bytes:
+        own = srid_of(g) or source
+        if own is None:
+            raise ValueError("a geometry names no reference system")
+        return with_srid(moved(g, lambda x, y: between(x, y, own, target)), target)
+
+    return _each(df, column, one)
+
+
+def _each(df: DataFrame, column: str, change: Callable[[bytes], bytes | None]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index(column)
-            yield b.set_column(i, b.schema.field(i), pa.array([make_valid(g) if g else None for g in b.column(i).to_pylist()], pa.binary()))
+            yield b.set_column(i, b.schema.field(i), pa.array([change(g) if g else None for g in b.column(i).to_pylist()], pa.binary()))
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in df.dtypes))
 

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cadastra.functions.projection import FORTH, from_zone, to_zone
 from cadastra.functions.text import plural_hit, subjects_equivalent
 from cadastra.operators.containment import grams, meeting
 from cadastra.operators.relational import all_of, contains_ilike, first_by
@@ -320,3 +321,26 @@ def _shape_join(spark, d, shrink):
     zones = table(spark, d, "supplier").select("s_suppkey", F.round("s_acctbal").alias("x"), "s_nationkey")
     shape = lambda df, key, y, w, h: wkb_of(df.select(F.col(key).alias("id"), F.concat(F.lit("POLYGON (("), _square(F.col("x"), F.col(y), w, h), F.lit("))")).alias("wkt")), "wkt")
     return geometry_join(shape(lots, "p_partkey", "p_size", 10, 1), shape(zones, "s_suppkey", "s_nationkey", 20, 2), 50.0, shrink)
+
+
+def _sql_series(c, xi, eta, sign):
+    a = " ".join(f"{'+' if sign > 0 else '-'} {w!r} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, w in enumerate(c, 1))
+    b = " ".join(f"{'+' if sign > 0 else '-'} {w!r} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, w in enumerate(c, 1))
+    return f"{xi} {a}", f"{eta} {b}"
+
+
+_XI, _ETA = _sql_series(FORTH, "xi", "eta", 1)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, 141 + (c_custkey % 6000) / 1000.0::DOUBLE AS lon, -28 - c_nationkey / 2.0::DOUBLE - (c_custkey % 97) / 1000.0::DOUBLE AS lat FROM customer),
+           t AS (SELECT *, radians(lon - 147) AS lam, sin(radians(lat)) AS s FROM p), u AS (SELECT *, sinh(atanh(s) - sqrt(0.006694380022903416::DOUBLE) * atanh(sqrt(0.006694380022903416::DOUBLE) * s)) AS t FROM t),
+           x AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM u)
+           SELECT c_custkey, round(500000 + 0.9996 * 6367449.145771051::DOUBLE * ({_ETA}), 3) AS east, round(10000000 + 0.9996 * 6367449.145771051::DOUBLE * ({_XI}), 3) AS north, round(lon, 9) AS lon, round(lat, 9) AS lat FROM x""")
+def zone_grid(spark, d):
+    """Points in zone 55, and back from there."""
+    k = F.col("c_custkey")
+    at = table(spark, d, "customer").select("c_custkey", (141 + (k % 6000) / 1000.0).alias("lon"), (-28 - F.col("c_nationkey") / 2.0 - (k % 97) / 1000.0).alias("lat"))
+    east, north = to_zone(F.col("lon"), F.col("lat"), 55)
+    at = at.select("c_custkey", east.alias("east"), north.alias("north"))
+    lon, lat = from_zone(F.col("east"), F.col("north"), 55)
+    return at.select("c_custkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import lga_normalise
+from cadastra.operators.layers import bucketed, wide_table
 from cadastra.operators.relational import contains_ilike, descendants, first_by, joined_distinct, joined_ordered, left_join_all, state_filter
 from cadastra.plans.registry import query
 from cadastra.sources.tables import flattened, table
@@ -194,3 +197,20 @@ def tree_children(spark, d):
     customers = table(spark, d, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
     roots = table(spark, d, "region").select(name("r", "r_regionkey").alias("child"), F.lit(None).cast("string").alias("parent"))
     return descendants(roots.unionByName(nations).unionByName(customers))
+
+
+_LAYERS = [f"l{i} AS (SELECT l_suppkey, l_returnflag, max(l_quantity) AS most_{i}, count(*) AS n_{i} FROM lineitem WHERE l_linenumber = {i} GROUP BY ALL)" for i in range(1, 8)] + ["l8 AS (SELECT l_suppkey, l_returnflag, string_agg(DISTINCT l_linestatus, ' | ' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY ALL)"]
+_TABLES: dict[tuple[str, str], tuple[str, list[str]]] = {}
+
+
+@query(f"WITH {', '.join(_LAYERS)} SELECT l_suppkey, l_returnflag, {', '.join(f'most_{i}, n_{i}' for i in range(1, 8))}, statuses FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem) " + " ".join(f"LEFT JOIN l{i} USING (l_suppkey, l_returnflag)" for i in range(1, 9)))
+def wide_layers(spark, d):
+    """Eight layers on two keys, written in buckets once in a session and merged without a shuffle."""
+    keys, at = ["l_suppkey", "l_returnflag"], (spark.sparkContext.applicationId, d)
+    if at not in _TABLES:
+        lines, name = table(spark, d, "lineitem"), f"wide_{uuid.uuid4().hex[:12]}"
+        layers = [lines.filter(F.col("l_linenumber") == i).groupBy(*keys).agg(F.max("l_quantity").alias(f"most_{i}"), F.count("*").alias(f"n_{i}")) for i in range(1, 8)]
+        layers.append(lines.groupBy(*keys).agg(joined_distinct(F.col("l_linestatus")).alias("statuses")))
+        made = [bucketed(x, f"{name}_{i}", keys, 8) for i, x in enumerate([lines.select(*keys).distinct(), *layers])]
+        _TABLES[at] = made[0], made[1:]
+    return wide_table(spark, *_TABLES[at], keys)

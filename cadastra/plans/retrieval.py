@@ -10,6 +10,7 @@ from cadastra.functions.vectors import cosine
 from cadastra.operators.full_text import add_documents, index_search, with_stems
 from cadastra.operators.precedence import decisions
 from cadastra.operators.precedence import precedence as ranked_precedence
+from cadastra.operators.reports import proposition_text
 from cadastra.operators.retrieval import batch_vector_search, context_block, expand, fuse, overrides_block, precedence_kept, precedence_pairs, vector_search
 from cadastra.operators.vector_index import build_index, search_index
 from cadastra.plans.registry import query
@@ -296,7 +297,9 @@ def doc_label(spark, d):
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || ' | State-wide' ELSE p_brand || ' | ' || p_type END || ' — [' || p_type || '] ' || p_name || ' has size' || CASE WHEN p_size > 25 THEN ' (max ' || p_size || ' cm)' ELSE '' END AS text FROM part""")
 def prop_text(spark, d):
-    big, size = F.col("p_size") > 25, F.col("p_size").cast("string")
-    where = F.concat_ws(" | ", "p_brand", F.when(big, "State-wide").otherwise(F.col("p_type")))
-    core = F.concat(F.lit("["), F.col("p_type"), F.lit("] "), F.concat_ws(" ", "p_name", F.lit("has"), F.lit("size")), F.when(big, F.concat(F.lit(" (max "), size, F.lit(" cm)"))).otherwise(""))
-    return table(spark, d, "part").select("p_partkey", F.concat_ws(" — ", F.nullif(where, F.lit("")), core).alias("text"))
+    big = F.col("p_size") > 25
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.col("p_brand").alias("document_title"), F.when(~big, F.col("p_type")).alias("lga_name"), F.when(big, "state").alias("scope"), F.col("p_type").alias("type"), F.col("p_name").alias("subject"), F.lit("has").alias("predicate"),
+        F.lit("size").alias("object"), F.lit("max").alias("comparator"), F.when(big, F.col("p_size")).alias("value"), F.lit("cm").alias("unit"),
+    )
+    return rows.select("p_partkey", proposition_text(rows).alias("text"))

@@ -314,3 +314,20 @@ def test_parse_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("parsed").collect()] == [("r", "plan", "1"), ("r", "message", "2")]
+
+
+def test_wide_layers_without_a_shuffle(spark):
+    """Joined in buckets: no exchange in the plan, also for as many layers as the catalogue has."""
+    from cadastra.operators.layers import CATALOGUE, bucketed, wide_table
+    from cadastra.plans.registry import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wide = QUERIES["wide_layers"](spark, "/root/testdata/sf0.001")
+    assert plan(wide).count("SortMergeJoin") == 8 and "Exchange" not in plan(wide)
+    name, keys = f"w_{uuid.uuid4().hex[:8]}", ["cadid", "plan"]
+    rows = spark.range(40).select(F.col("id").alias("cadid"), F.concat(F.lit("DP"), (F.col("id") % 7).cast("string")).alias("plan"))
+    made = [bucketed(rows.filter(f"cadid % {i + 2} = 0").withColumn(x.name, F.lit(i)), f"{name}_{i}", keys, 4) for i, x in enumerate(CATALOGUE)]
+    whole = wide_table(spark, bucketed(rows, name, keys, 4), made, keys)
+    assert len(CATALOGUE) == 49 and "Exchange" not in plan(whole) and len(whole.columns) == 51
+    got = {r["cadid"]: r for r in whole.select("cadid", CATALOGUE[0].name, CATALOGUE[1].name).collect()}
+    assert len(got) == 40 and got[6][1:] == (0, 1) and got[4][1:] == (0, None) and got[5][1:] == (None, None)

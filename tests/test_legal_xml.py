@@ -141,6 +141,13 @@ def test_other_parts(rules):
     assert md["6.2 Bare [sec.6.2]"] == "" and md["3.1 Exempt [sec.3.1]"].endswith("(2) Must be minor (a) and safe")
 
 
+def test_extract(spark):
+    """From files to all tables in one call."""
+    found = lx.extract(spark.createDataFrame([("a.xml", XML), ("r.xml", RULES), ("bad.xml", "<a")], "path string, xml string"))
+    n = {name: t.count() for name, t in found.items()}
+    assert n["errors"] == 1 and n["plans"] == 2 and n["zones"] == 4 and n["heritage"] == 1 and all(v > 0 for v in n.values())
+
+
 def test_site_lots(spark):
     df = spark.createDataFrame([("being Lot 9, DP 862908 and Lots 7300 and 7301, DP 1153423",)], "t string")
     assert df.select(lx.site_lots(F.col("t"))).first()[0] == ["Lot 9, DP 862908", "Lots 7300 and 7301, DP 1153423"]

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cadastra.plans import property, relational, retrieval, streams, text  # noqa: F401
+from cadastra.plans import legal, property, relational, retrieval, streams, text  # noqa: F401
 from cadastra.plans.registry import ORACLES, QUERIES
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
