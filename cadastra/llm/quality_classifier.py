@@ -196,15 +196,17 @@ def _contexts(words: object):
             for some in parts(pc.binary_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)):
                 texts = reader.read(b.column(0).slice(some.start, some.stop - some.start).to_pylist())
                 at = np.concatenate([x for t in texts for x in (t, gap)])
-                own = index[at]
+                own = np.take(index, at, axis=0)
                 near = np.zeros_like(own)
                 for k in range(1, REACH + 1):
                     near[k:] += own[:-k]
                     near[:-k] += own[k:]
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                kinds = at[order[first]]
-                total[kinds] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+                # rows and places in one number, which sorts faster than the rows' places do
+                both = (at.astype(np.int64) << 32) | np.arange(len(at))
+                both.sort()
+                first = np.flatnonzero(np.diff(both >> 32, prepend=-1))
+                kinds = both[first] >> 32
+                total[kinds] += np.add.reduceat(np.take(near, both & 0xFFFFFFFF, axis=0), first, axis=0, dtype=np.int32)
                 seen[kinds] = True
         seen[GAP] = False
         rows = np.flatnonzero(seen)
