@@ -199,7 +199,7 @@ def tree_children(spark, d):
     return descendants(roots.unionByName(nations).unionByName(customers))
 
 
-_LAYERS = [f"l{i} AS (SELECT l_suppkey, l_returnflag, max(l_quantity) AS most_{i}, count(*) AS n_{i} FROM lineitem WHERE l_linenumber = {i} GROUP BY ALL)" for i in range(1, 8)] + ["l8 AS (SELECT l_suppkey, l_returnflag, string_agg(DISTINCT l_linestatus, ' | ' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY ALL)"]
+_LAYERS = [f"l{i} AS (SELECT l_suppkey, l_returnflag, max(l_quantity) AS most_{i}, count(*) AS n_{i} FROM lineitem WHERE l_linenumber = {i} GROUP BY ALL)" for i in range(1, 8)] + ["l8 AS (SELECT l_suppkey, l_returnflag, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY ALL)"]
 _TABLES: dict[tuple[str, str], tuple[str, list[str]]] = {}
 
 

@@ -319,6 +319,7 @@ def test_parse_stream(spark, tmp_path):
 def test_wide_layers_without_a_shuffle(spark):
     """Joined in buckets: no exchange in the plan, also for as many layers as the catalogue has."""
     from cadastra.operators.layers import CATALOGUE, bucketed, wide_table
+    from cadastra.plans import relational  # noqa: F401
     from cadastra.plans.registry import QUERIES
 
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
