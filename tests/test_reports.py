@@ -25,7 +25,7 @@ def test_assessment(spark):
     assert got == {"a": ("exceeds", "wide", 450.0, 3.0, 0, "viable"), "b": ("under", "narrow", None, None, 2, "verify"), "c": (None, "between", None, None, 0, "application"), "d": ("meets", None, None, 0.0, 0, "application")}
     facts = {r["k"]: r["block"] for r in rp.fact_block(df, "k").collect()}
     none = "LEP: N/A\nLGA: N/A\nCouncil: N/A\n"
-    assert facts["b"] == f"{none}Max height: 0m\nMin lot size: 450 sqm\nLot area: 400 sqm\nHeritage: x ()\nFlood mapping: Yes\nCDC eligible: No"
+    assert facts["b"] == f"{none}Max height: 0m\nMin lot size: 450 sqm\nLot area: 400 sqm\nHeritage: x ()\nFlood mapping: Yes\nCDC eligible: Yes (0 pathways)"
     assert facts["c"] == f"{none}FSR: 1\nMin lot size: 450 sqm\nCDC eligible: No"
 
 
