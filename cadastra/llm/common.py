@@ -35,10 +35,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, name: str, by: str | None = None, **options: str | int) -> DataFrame:
+    """Write df as a table in the shared folder, in folders of the column `by`, and read it back, so that lost executors cost no recomputation. Options are the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
