@@ -70,8 +70,8 @@ class Boxes:
             node = self.kids[node, (x[np.arange(len(x)), self.dim[node]] > self.at[node]).astype(int)]
         return self.leaf[node]
 
-    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(points, leaves): for each point the leaves that may hold its nearest place."""
+    def near(self, x: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(points, leaves): for each point the leaves that may hold its nearest place, or one no more than `slack` further away."""
         who, node, bound = np.arange(len(x)), np.zeros(len(x), int), np.full(len(x), np.inf)
         while True:
             box, at = self.box[node], x[who]
@@ -79,7 +79,7 @@ class Boxes:
             far = np.maximum(np.abs(at - box[:, :2]), np.abs(at - box[:, 2:]))
             full = np.isfinite(box[:, 0])
             begins, ends = np.where(full, np.hypot(*out.T), np.inf), np.where(full, np.hypot(*far.T), np.inf)
-            np.minimum.at(bound, who, ends * (1 + 1e-12))
+            np.minimum.at(bound, who, ends * (1 + 1e-12) + slack)
             keep = full & (begins * (1 - 1e-12) <= bound[who])
             who, node = who[keep], node[keep]
             inner = self.leaf[node] < 0
@@ -89,17 +89,31 @@ class Boxes:
             node = np.concatenate([node[~inner], self.kids[node[inner]].ravel()])
 
 
-def _best(x: np.ndarray, places: np.ndarray, ids: np.ndarray, tree: Boxes) -> tuple[np.ndarray, np.ndarray]:
+def _slack(digits: int | None) -> float:
+    """How far apart distances may be that round to one value, with room for errors of arithmetic."""
+    return 0.0 if digits is None else 2 * 10.0**-digits
+
+
+def _rounded(d: np.ndarray, digits: int | None) -> np.ndarray:
+    """Distances to so many decimals, halves up."""
+    if digits is None:
+        return d
+    v = d * 10.0**digits
+    low = np.floor(v)
+    return np.where(np.isfinite(v), (low + (v - low >= 0.5)) / 10.0**digits, d)
+
+
+def _best(x: np.ndarray, places: np.ndarray, ids: np.ndarray, tree: Boxes, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each point the id of its nearest place, of several the smallest, and the distance."""
     dist, best = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int64).max)
-    who, leaf = tree.near(x)
+    who, leaf = tree.near(x, _slack(digits))
     order = np.argsort(leaf, kind="stable")
     who, leaf = who[order], leaf[order]
     for k, start in zip(*np.unique(leaf, return_index=True)):
         own = tree.order[tree.starts[k] : tree.starts[k + 1]]
         asking = who[start : start + np.searchsorted(leaf[start:], k, "right")]
         for some in np.array_split(asking, max(1, len(asking) * len(own) // 1_000_000)):
-            d = np.sqrt(((x[some, None] - places[None, own]) ** 2).sum(axis=2))
+            d = _rounded(np.sqrt(((x[some, None] - places[None, own]) ** 2).sum(axis=2)), digits)
             least = d.min(axis=1)
             first = np.where(d == least[:, None], ids[None, own], np.iinfo(np.int64).max).min(axis=1)
             better = (least < dist[some]) | ((least == dist[some]) & (first < best[some]))
@@ -111,9 +125,11 @@ def _xy(b: pa.RecordBatch, x: str, y: str) -> np.ndarray:
     return np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (x, y)], axis=1).astype(float)
 
 
-def nearest(points: DataFrame, places: DataFrame, group: str, leaf: int = LEAF) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, group: str, leaf: int = LEAF, digits: int | None = None) -> DataFrame:
     """(id, group, place_id, distance): for each point the nearest place of each group; ties by place_id.
 
+    digits: distances are rounded to so many decimals first, and those that are equal then are ties; places as far on either side of a point
+    may else differ in the last bit.
     points: id, x, y; places: place_id (a number), x, y, group. Places on one spot count as the one with the smallest id. Points and places without a
     coordinate, and places without a group, are left out. Groups are few (as hospitals, schools, stations): their names and trees are broadcast, with a
     sample of SAMPLE places in all and a thousand a group at most.
@@ -163,7 +179,7 @@ def nearest(points: DataFrame, places: DataFrame, group: str, leaf: int = LEAF)
                 part = b.slice(at, 4096)
                 x = _xy(part, "x", "y")
                 for k, tree in enumerate(trees):
-                    who, leaf = tree.near(x)
+                    who, leaf = tree.near(x, _slack(digits))
                     rows = part.take(pa.array(who))
                     yield pa.record_batch([*rows.columns, pa.array(leaf + first[k])], ["id", "x", "y", "leaf"])
 
@@ -193,7 +209,7 @@ def nearest(points: DataFrame, places: DataFrame, group: str, leaf: int = LEAF)
                 if tree is None:
                     at, ids = np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
                     tree = Boxes(at, 64)
-                best, dist = _best(_xy(part, "x", "y"), at, ids, tree)
+                best, dist = _best(_xy(part, "x", "y"), at, ids, tree, digits)
                 g = names[int(np.searchsorted(first, now[0], "right")) - 1]
                 yield pa.record_batch([part.column(3), pa.array([g] * part.num_rows), pa.array(best), pa.array(dist)], ["id", "g", "place_id", "distance"])
 

@@ -77,7 +77,7 @@ def prop_lookup_exact(spark, d):
 def nearest_per_group(spark, d):
     points = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"))
     places = table(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), F.col("c_mktsegment").alias("kind"))
-    return nearest(points, places, "kind").select("id", "kind", "place_id", F.round("distance", 6).alias("distance"))
+    return nearest(points, places, "kind", digits=6)
 
 
 @query("""SELECT p_partkey AS a_id, s_suppkey AS b_id FROM part JOIN supplier ON p_retailprice <= s_acctbal + 20 AND s_acctbal <= p_retailprice + 10 AND p_size <= s_nationkey + 2 AND s_nationkey <= p_size + 1""")

@@ -277,6 +277,18 @@ def test_nearest(spark):
     assert sp.nearest(points, places.limit(0), "g").count() == 0 and sp.nearest(points.limit(0), places, "g").count() == 0
 
 
+def test_nearest_rounded(spark):
+    """Places as far on either side count as equally far when distances are rounded, also over the borders of leaves."""
+    rng = np.random.default_rng(5)
+    pts = np.round(rng.uniform(-999, 9999, 400), 2).tolist()
+    pls = [round(x + s, 2) for x, s in zip(pts, np.round(rng.uniform(0.01, 30, 400), 2).tolist()) for s in (s, -s)]
+    order = rng.permutation(len(pls)).tolist()
+    points = spark.createDataFrame([(i, x, 0.0) for i, x in enumerate(pts)], "id int, x double, y double")
+    places = spark.createDataFrame([(n, x, 0.0, "a") for n, x in zip(order, pls)], "place_id int, x double, y double, g string")
+    got = {r["id"]: (r["place_id"], r["distance"]) for r in sp.nearest(points, places, "g", 10, 6).collect()}
+    assert got == {i: min((round(abs(p - x), 6), n) for n, x in zip(order, pls))[::-1] for i, p in enumerate(pts)}
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=40))
 def test_streams_survive_any_chunking(spark, cuts):
