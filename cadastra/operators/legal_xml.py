@@ -1,4 +1,4 @@
-"""Legal XML to tables: a flat walk of the elements in Python, everything else as joins, regular expressions and explodes.
+"""Legal XML to tables: a walk of the elements in Python as they are parsed, everything else as joins, regular expressions and explodes.
 
 elements() gives one row for each element that structures a document (level, tier, li, defterm, reference, table row). The other
 functions turn these rows into zones, land uses, requirements, a structure graph and index records.
@@ -6,9 +6,12 @@ functions turn these rows into zones, land uses, requirements, a structure graph
 
 from __future__ import annotations
 
+import codecs
+import tempfile
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,87 +29,269 @@ _KEPT = {"level", "tier", "li", "defterm", "extref", "legref", "row", "metaconte
 _LAYERS = {"level", "tier", "li"}
 
 
-def _flat(node: ET.Element) -> str:
-    return " ".join("".join(node.itertext()).split())
+#: Characters fed to the parser at a time; characters of a document that are held before it goes to a temporary file; rows and characters in a batch, about.
+FEED, HELD, ROWS, LONG = 1 << 16, 1 << 23, 2000, 1 << 22
 
 
-def _own_text(node: ET.Element) -> str:
-    """The text of an element without its head, notes and nested structure."""
-    parts = [node.text or ""]
-    for x in node:
-        if x.tag not in _LAYERS and x.tag not in ("head", "note", "no"):
-            parts.append(_own_text(x))
-        parts.append(x.tail or "")
-    return " ".join(" ".join(parts).split())
+def _said(raw: bytearray, begin: int = 0) -> str:
+    """The text from a place on with single spaces, a megabyte at a time where it is long."""
+    if len(raw) - begin < 1 << 20:
+        return " ".join(raw[begin:].decode().split())
+    decoder, out, space = codecs.getincrementaldecoder("utf-8")(), [], False
+    for k in range(begin, len(raw), 1 << 20):
+        t = decoder.decode(raw[k : k + (1 << 20)])
+        words = " ".join(t.split())
+        if words:
+            out += [" ", words] if out and (space or t[0].isspace()) else [words]
+            space = t[-1].isspace()
+        else:
+            space = space or bool(t)
+    return "".join(out)
 
 
-def _block_text(block: ET.Element | None) -> str:
-    """A block as it is read: its texts, and the items of its lists as `(no) text`, nested ones too; notes are left out."""
-    parts = []
-    for x in block if block is not None else ():
-        if x.tag == "txt":
-            parts.append(_flat(x))
-        elif x.tag == "list":
-            for item in x.findall("li"):
-                said, no = _block_text(item.find("block")), item.find("no")
-                parts.append(f"{_flat(no)} {said}" if said and no is not None else said)
-    return " ".join(" ".join(parts).split())
+class _Kept:
+    """An open element that gives a row."""
 
+    __slots__ = ("at", "parent", "depth", "tag", "attrib", "kind", "within", "clause", "tier", "base", "layer", "below", "seen", "head_no", "no", "heading", "block", "lead", "whole", "own", "entries", "frozen", "listed")
 
-def walk(path: str, xml: str) -> Iterator[tuple]:
-    """The rows of one document; a document that can't be parsed gives one row with the error, cut to 200 characters.
+    def __init__(self, at: int, tag: str, attrib: dict, up: _Kept | None, label: str):
+        self.at, self.tag, self.attrib, self.kind = at, tag, attrib, attrib.get("type") or attrib.get("class")
+        self.parent, self.depth, (self.within, self.clause, self.tier) = (None, 0, ("", None, None)) if up is None else (up.at, up.depth + 1, up.below)
+        self.base, self.layer = "" if self.kind == "clause" else label, tag in _LAYERS
+        self.below = self.within, self.clause, self.tier
+        if tag == "level":
+            self.below = f"{self.within}/{attrib.get('id') or ''}", at if self.kind == "clause" else None, None
+        elif tag == "tier":
+            self.below = self.within, self.clause, at
+        self.seen, self.entries = set(), []
+        self.head_no = self.no = self.heading = self.block = self.lead = self.listed = None
+        self.frozen = False  # the number when the first element below began
+
+    def number(self) -> str | None:
+        return self.no if self.head_no is None else self.head_no
+
+
+class _Walker:
+    """A parser's target that makes the rows of a document as its elements end, and holds what is open only: its text, not its elements.
+
+    late: the numbers of layers that stand behind elements for whose labels they count; they are learnt by a walk before.
+    """
+
+    def __init__(self, path: str, late: dict[int, str | None] | None = None):
+        self.path, self.late, self.learnt = path, late or {}, {}
+        self.rows, self.held, self.count = [], 0, 0
+        # open elements as (kept, role, whose, begin of text, texts around); texts: all, and that of the layer without its head, notes and layers
+        self.open, self.top, self.tops, self.in_rows = [], None, [], []
+        self.raw, self.own, self.reading = bytearray(), bytearray(), 0
+
+    def start(self, tag: str, attrib: dict) -> None:
+        own, role, of, kept, begin, around = self.own, None, None, None, -1, None
+        own += b" "
+        up, up_role, up_of = self.open[-1][:3] if self.open else (None, None, None)
+        if tag == "txt":
+            if up_role == "block":
+                role, of = "txt", up_of
+        elif tag == "no":
+            if up_role == "head" and "head no" not in up_of.seen:
+                role, of = "head no", up_of
+            elif up is not None and "no" not in up.seen:
+                role, of = "no", up
+        elif tag == "heading":
+            if up_role == "head" and "heading" not in up_of.seen:
+                role, of = "heading", up_of
+        elif tag in ("head", "block"):
+            if up is not None and tag not in up.seen:
+                role, of = tag, up
+                if tag == "block":
+                    up.block = bytearray()
+        elif tag == "list":
+            if up_role == "block":
+                role, of = "list", up_of
+        elif tag == "entry" and self.in_rows:
+            role, of = "entry", [(k, len(k.entries)) for k in self.in_rows]
+            for k in self.in_rows:
+                k.entries.append("")
+        if role in ("head", "block", "no", "head no", "heading"):
+            of.seen.add(role)
+        if not self.open or tag in _KEPT:
+            top = self.top
+            label = ""
+            if top is not None:
+                number = top.number()
+                if top.frozen is False:
+                    top.frozen = number
+                label = top.base + (self.late.get(top.at, number) or "").replace(" ", "") if top.layer else top.base
+            kept = _Kept(self.count, tag, attrib, top, label)
+            self.count += 1
+            if tag == "li" and up_role == "list":
+                kept.listed = up_of
+            self.tops.append(top)
+            self.top = kept
+            if tag == "row":
+                self.in_rows.append(kept)
+        if tag in _LAYERS or role in ("no", "head no", "heading", "txt", "entry"):
+            begin = len(self.raw)
+            self.reading += 1
+        if not self.open or tag in _LAYERS or tag in ("head", "note", "no"):
+            around, self.own = own, bytearray()
+        if kept is not None:
+            kept.own = len(self.own)
+        self.open.append((kept, role, of, begin, around))
+
+    def data(self, text: str) -> None:
+        text = text.encode()
+        self.own += text
+        if self.reading:
+            self.raw += text
+
+    def end(self, tag: str) -> None:
+        kept, role, of, begin, around = self.open.pop()
+        said = None
+        if begin >= 0:
+            said = _said(self.raw, begin)
+            self.reading -= 1
+            if not self.reading:
+                self.raw.clear()
+        if role == "txt":
+            of.lead = said if of.lead is None else of.lead
+            of.block += b" " + said.encode()
+        elif role == "no":
+            of.no = said
+        elif role == "head no":
+            of.head_no = said
+        elif role == "heading":
+            of.heading = said
+        elif role == "entry":
+            for k, i in of:
+                k.entries[i] = said
+        if kept is not None:
+            self.top = self.tops.pop()
+            if tag == "row":
+                self.in_rows.pop()
+            self._row(kept, said if kept.layer else None)
+        if around is not None:
+            self.own = around
+        else:
+            self.own += b" "
+
+    def _row(self, k: _Kept, whole: str | None) -> None:
+        text = " | ".join(k.entries) if k.tag == "row" else _said(self.own, k.own)
+        number, block, get = k.number(), None if k.block is None else _said(k.block), k.attrib.get
+        if k.layer and k.frozen is not False and k.frozen != number:
+            self.learnt[k.at] = number
+        label = k.base + (number or "").replace(" ", "") if k.layer else k.base
+        if k.listed is not None:
+            k.listed.block += b" " + (f"{k.no} {block}" if block and k.no is not None else block or "").encode()
+        root = k.parent is None
+        self.rows.append((
+            self.path, k.at, k.parent, k.depth, k.tag, get("id"), k.kind, get("status"), number, k.heading, text, None,
+            k.within, k.clause, k.tier, label or None, k.lead, block, whole, get("title") if root else None, get("year") if root else None,
+        ))
+        self.held += len(text) + len(block or "") + len(whole or "")
+
+
+class _Order:
+    """A parser's target that finds out whether a head or a number stands behind, or around, an element that gives a row."""
+
+    def __init__(self):
+        self.open, self.late = [], False
+
+    def start(self, tag: str, attrib: dict) -> None:
+        if self.open and self.open[-1] and tag in ("head", "no"):
+            self.late = True
+        self.open.append(False)
+
+    def end(self, tag: str) -> None:
+        below = self.open.pop()
+        if below and tag == "no":
+            self.late = True
+        if self.open and (below or tag in _KEPT):
+            self.open[-1] = True
+
+
+def _fed(target: _Walker | _Order, pieces: Iterable[str]) -> Iterator[None]:
+    """Parse a document's pieces, with a stop after each."""
+    parser = ET.XMLParser(target=target)
+    for x in pieces:
+        parser.feed(x)
+        yield
+    parser.close()
+    yield
+
+
+def walk(path: str, pieces: Callable[[], Iterable[str]]) -> Iterator[list[tuple]]:
+    """The rows of one document, some at a time, as its elements end; a document that can't be parsed gives one row with the error, cut to 200 characters.
+
+    pieces: gives the document's text in pieces, each time that it is called; it is read twice, for errors and for the rows.
 
     within: the ids of the levels around an element; clause, tier: the places of those nearest around it; label: the numbers from the
     clause down to it; lead, block: the first text of its block, and all of it as it is read; whole: all its text.
     """
+    order, late = _Order(), {}
     try:
-        root = ET.fromstring(xml)
+        for _ in _fed(order, pieces()):
+            pass
     except ET.ParseError as e:
-        yield (path, 0, None, 0, *[None] * 7, str(e)[:200], *[None] * 9)
+        yield [(path, 0, None, 0, *[None] * 7, str(e)[:200], *[None] * 9)]
         return
-    count = 0
-    stack: list[tuple] = [(root, None, 0, "", None, None, "")]
-    while stack:
-        node, parent, depth, within, clause, tier, label = stack.pop()
-        if node is root or node.tag in _KEPT:
-            at, count = count, count + 1
-            head = node.find("head")
-            text = " | ".join(_flat(e) for e in node.iter("entry")) if node.tag == "row" else _own_text(node)
-            no = node.find("no") if head is None or head.find("no") is None else head.find("no")
-            number = None if no is None else _flat(no)
-            title = None if head is None else head.find("heading")
-            kind, block, layer = node.get("type") or node.get("class"), node.find("block"), node.tag in _LAYERS
-            if kind == "clause":
-                label = ""
-            label = label + (number or "").replace(" ", "") if layer else label
-            txt = None if block is None else block.find("txt")
-            yield (
-                path, at, parent, depth, node.tag, node.get("id"), kind, node.get("status"), number, None if title is None else _flat(title), text, None,
-                within, clause, tier, label or None, None if txt is None else _flat(txt), None if block is None else _block_text(block), _flat(node) if layer else None,
-                node.get("title") if node is root else None, node.get("year") if node is root else None,
-            )
-            parent, depth = at, depth + 1
-            if node.tag == "level":
-                within, clause, tier = f"{within}/{node.get('id') or ''}", at if kind == "clause" else None, None
-            elif node.tag == "tier":
-                tier = at
-        stack += [(x, parent, depth, within, clause, tier, label) for x in reversed(node)]
+    if order.late:
+        before = _Walker(path)
+        for _ in _fed(before, pieces()):
+            before.rows.clear()
+        late = before.learnt
+    walker = _Walker(path, late)
+    for _ in _fed(walker, pieces()):
+        if len(walker.rows) >= ROWS or walker.held >= LONG:
+            yield walker.rows
+            walker.rows, walker.held = [], 0
+    yield walker.rows
+
+
+def _cut(xml: str) -> Iterator[str]:
+    return (xml[i : i + FEED] for i in range(0, len(xml), FEED))
+
+
+def _read(file) -> Iterator[str]:
+    file.seek(0)
+    return iter(lambda: file.read(FEED), "")
+
+
+_NAMES, _TYPES = zip(*[f.split() for f in FIELDS.split(", ")], strict=True)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.int32() if t == "int" else pa.string()) for i, t in enumerate(_TYPES)], list(_NAMES))
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """files (path, xml) to one row an element, in document order (pos); see FIELDS."""
-    names, types = zip(*[f.split() for f in FIELDS.split(", ")], strict=True)
-    kinds = [pa.int32() if t == "int" else pa.string() for t in types]
+    """files (path, xml) to one row an element, of which pos counts the order in the document; see FIELDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(walk(path, xml or ""))
-                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
+            for path, xml in zip(b.column(0), b.column(1), strict=True):
+                text = xml.as_py() or ""
+                for rows in walk(path.as_py(), lambda: _cut(text)):
+                    yield _packed(rows)
 
     return files.select("path", "xml").mapInArrow(run, FIELDS)
 
 
+def elements_of_pieces(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """elements() of documents that are given in pieces (path, xml), to be put one behind the other in the order of `by`: no document is a single value, nor held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((path.as_py(), xml.as_py() or "") for b in batches for path, xml in zip(b.column(0), b.column(1), strict=True))
+        for path, own in groupby(rows, lambda r: r[0]):
+            with tempfile.SpooledTemporaryFile(HELD, "w+", encoding="utf-8", newline="") as file:
+                for _, xml in own:
+                    file.write(xml)
+                for found in walk(path, lambda: _read(file)):
+                    yield _packed(found)
+
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(tasks, "path").sortWithinPartitions("path", *by).select("path", "xml").mapInArrow(run, FIELDS)
+
+
 def clauses(e: DataFrame) -> DataFrame:
     """Clause levels in force with their full text (own and below), and the code of what they belong to; `[Not adopted]` is left out."""
     heads = e.filter("tag = 'level' and kind = 'clause' and coalesce(status, '') != 'repealed'")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.operators import legal_xml as lx
@@ -24,30 +27,31 @@ _ELEMENTS: dict = {}
 
 
 def _documents(spark, d):
-    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+    """The documents in pieces (path, place, k, xml): a few for the frame, six for each part, and one for each use and type; in order of place, k and xml they are the document of a brand."""
+    k, name, size, say = F.col("p_partkey"), F.col("p_name"), F.col("p_size"), F.format_string
     where = F.when(k % 3 == 0, " in Zone R2").when(k % 3 == 1, " in Zone E1").otherwise("")
-    say = F.format_string
-    made = table(spark, d, "part").select(
-        "p_brand", "p_name", "p_type", k.alias("k"), say(_CLAUSE, k, k, name, where, size, k, k, name, size).alias("clause"), say(_MINOR, k, k, name).alias("minor"), say(_CONTROL, k, k, name, size).alias("control"),
-        say(_LOCAL, k, k, F.col("p_type"), k, name).alias("own"), say(_EXEMPT, k, name, k, name).alias("exempt"), say(_TERM, name, name, k, k, k).alias("term"),
-    )
-    lists = ["clause", "minor", "control", "own", "exempt", "term"]
-    docs = made.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", *lists))).alias("rows"), F.array_join(F.array_sort(F.collect_set("p_name")), "; ").alias("uses"), F.array_join(F.array_sort(F.collect_set("p_type")), "; ").alias("types"))
-    all_of = lambda c: F.array_join(F.transform("rows", lambda x: x[c]), "\n")
-    b = F.col("p_brand")
-    parts = [
-        say(_HEAD, b, b, b), say(_ZONES, "uses", "types"), F.lit('<level type="clause" id="sec.3.1"><head><no>3.1</no><heading>Exempt</heading></head>'), all_of("minor"), F.lit('</level><level type="part" id="pt.4"><head><no>Part 4</no><heading>Standards</heading></head>'),
-        all_of("clause"), F.lit('</level><level type="clause" id="sec.5.4"><head><no>5.4</no><heading>Controls</heading></head>'), all_of("control"), F.lit('</level><level type="part" id="pt.6"><head><no>Part 6</no><heading>Local</heading></head>'), all_of("own"),
-        F.lit('</level><level type="schedule" id="sch.2">'), all_of("exempt"), F.lit('</level><level type="schedule" id="dict">'), all_of("term"), F.lit("</level></act>"),
-    ]
-    return docs.select(b.alias("path"), F.concat(*parts).alias("xml"))
+    part = table(spark, d, "part")
+    made = [say(_MINOR, k, k, name), say(_CLAUSE, k, k, name, where, size, k, k, name, size), say(_CONTROL, k, k, name, size), say(_LOCAL, k, k, F.col("p_type"), k, name), say(_EXEMPT, k, name, k, name), say(_TERM, name, name, k, k, k)]
+    piece = lambda place, k, xml: F.struct(F.lit(place).alias("place"), k.cast("long").alias("k"), xml.alias("xml"))
+    b, none = F.col("p_brand"), F.lit(None)
+    uses, types = _ZONES.split("%s; ")[1:]
+    frame = {
+        0: F.concat(say(_HEAD, b, b, b), F.lit(_ZONES.split("%s; ")[0])), 2: F.lit(uses), 4: F.concat(F.lit(types), F.lit('<level type="clause" id="sec.3.1"><head><no>3.1</no><heading>Exempt</heading></head>')),
+        6: F.lit('</level><level type="part" id="pt.4"><head><no>Part 4</no><heading>Standards</heading></head>'), 8: F.lit('</level><level type="clause" id="sec.5.4"><head><no>5.4</no><heading>Controls</heading></head>'),
+        10: F.lit('</level><level type="part" id="pt.6"><head><no>Part 6</no><heading>Local</heading></head>'), 12: F.lit('</level><level type="schedule" id="sch.2">'), 14: F.lit('</level><level type="schedule" id="dict">'), 16: F.lit("</level></act>"),
+    }
+    of = lambda rows, pieces: rows.select(b.alias("path"), F.explode(F.array(*pieces)).alias("p")).select("path", "p.*")
+    fixed = of(part.select("p_brand").distinct(), [piece(place, none, xml) for place, xml in frame.items()])
+    listed = [of(part.select("p_brand", c).distinct(), [piece(place, none, F.concat(c, F.lit("; ")))]) for place, c in ((1, "p_name"), (3, "p_type"))]
+    lists = of(part, [piece(5 + 2 * i, k, F.concat(xml, F.lit("\n"))) for i, xml in enumerate(made)])
+    return reduce(DataFrame.unionByName, [fixed, *listed, lists])
 
 
 def _elements(spark, d):
     """The elements of all documents, read once in a session."""
     at = spark.sparkContext.applicationId, d
     if at not in _ELEMENTS:
-        _ELEMENTS[at] = written(lx.elements(_documents(spark, d)), "elements")
+        _ELEMENTS[at] = written(lx.elements_of_pieces(_documents(spark, d), ["place", "k", "xml"]), "elements")
     return _ELEMENTS[at]
 
 

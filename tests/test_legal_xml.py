@@ -1,11 +1,17 @@
 """Legal XML: a small document of our own through elements and what follows from them."""
 
+import random
+import tracemalloc
+import xml.etree.ElementTree as ET
+
 import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import layers as ly
 from cadastra.operators import legal_xml as lx
 from cadastra.operators.spatial import write_wkb
+from cadastra.plans import legal
+from cadastra.plans.registry import QUERIES
 
 XML = """<act id="lep-1" title="Test Plan">
  <level type="part" id="pt.2"><head><no>2</no><heading>Zones</heading></head>
@@ -92,6 +98,101 @@ def rules(spark):
     return lx.elements(spark.createDataFrame([("r.xml", RULES), ("bad.xml", "<a")], "path string, xml string")).cache()
 
 
+def by_tree(path, xml):
+    """The rows of a document from the tree of all its elements."""
+    flat = lambda x: " ".join("".join(x.itertext()).split())
+
+    def own(x):
+        parts = [x.text or ""]
+        for y in x:
+            parts += ["" if y.tag in ("level", "tier", "li", "head", "note", "no") else own(y), y.tail or ""]
+        return " ".join(" ".join(parts).split())
+
+    def said(block):
+        parts = []
+        for x in block if block is not None else ():
+            if x.tag == "txt":
+                parts.append(flat(x))
+            for item in x.findall("li") if x.tag == "list" else ():
+                text, no = said(item.find("block")), item.find("no")
+                parts.append(f"{flat(no)} {text}" if text and no is not None else text)
+        return " ".join(" ".join(parts).split())
+
+    rows = []
+
+    def go(x, parent, depth, within, clause, tier, label):
+        if parent is None or x.tag in ("level", "tier", "li", "defterm", "extref", "legref", "row", "metacontent"):
+            at, head, block, layer = len(rows), x.find("head"), x.find("block"), x.tag in ("level", "tier", "li")
+            no = x.find("no") if head is None or head.find("no") is None else head.find("no")
+            heading, kind = None if head is None else head.find("heading"), x.get("type") or x.get("class")
+            number, txt = None if no is None else flat(no), None if block is None else block.find("txt")
+            label = ("" if kind == "clause" else label) + ((number or "").replace(" ", "") if layer else "")
+            text = " | ".join(map(flat, x.iter("entry"))) if x.tag == "row" else own(x)
+            rows.append((path, at, parent, depth, x.tag, x.get("id"), kind, x.get("status"), number, None if heading is None else flat(heading), text, None, within, clause, tier, label or None,
+                         None if txt is None else flat(txt), None if block is None else said(block), flat(x) if layer else None, *[x.get(k) if parent is None else None for k in ("title", "year")]))
+            parent, depth = at, depth + 1
+            if x.tag == "level":
+                within, clause, tier = f"{within}/{x.get('id') or ''}", at if kind == "clause" else None, None
+            tier = at if x.tag == "tier" else tier
+        for y in x:
+            go(y, parent, depth, within, clause, tier, label)
+
+    go(ET.fromstring(xml), None, 0, "", None, None, "")
+    return rows
+
+
+def walked(xml, step):
+    return sorted((r for rows in lx.walk("p", lambda: (xml[i : i + step] for i in range(0, len(xml), step))) for r in rows), key=lambda r: r[1])
+
+
+def test_walk_against_the_tree():
+    """Elements anywhere in each other, numbers and heads behind what they count for, and documents cut anywhere."""
+    rng = random.Random(3)
+    tags = "level tier li defterm extref row metacontent head no heading block txt list note entry x li no head block txt list entry".split()
+    kinds = [("id", ["a", "b c", "", None]), ("type", ["clause", None]), ("class", ["council", None]), ("title", ["T", None])]
+    texts = ["", " ", "a", "bb c", "\n", "é x", "&amp;", "<!-- c -->", "(1) "]
+
+    def made(d):
+        tag, own = rng.choice(tags), "".join(f' {k}="{v}"' for k, vs in kinds if (v := rng.choice(vs)) is not None)
+        return f"<{tag}{own}>{rng.choice(texts)}{''.join(rng.choice(texts) + made(d - 1) for _ in range(rng.randint(0, 4) if d else 0))}</{tag}>"
+
+    for xml in [XML, RULES, *[made(rng.randint(0, 6)) for _ in range(600)]]:
+        assert walked(xml, rng.choice([1, 7, 1 << 20])) == by_tree("p", xml)
+    long = f"<level><block><txt>{'é  word ' * 400_000}</txt></block></level>"
+    assert walked(long, 1 << 16) == by_tree("p", long)
+
+
+def test_walk_holds_no_tree():
+    """What is held grows with the text of the open elements, not with the number of elements."""
+    pieces = lambda: ('<act><level type="schedule" id="s">', *(f'<tier id="t{i}"><head><no>({i})</no></head><block><txt>a</txt></block></tier>' for i in range(30_000)), "</level></act>")
+    tracemalloc.start()
+    n = sum(len(rows) for rows in lx.walk("p", pieces))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30_002 and most < 12_000_000  # the tree alone takes 29 MB
+
+
+def test_elements_of_pieces(spark):
+    """Documents in pieces in any order of rows; one of them can't be parsed, one goes to a file."""
+    docs = {"a.xml": XML, "r.xml": RULES, "bad.xml": "<act><level id='1'/><b>", "long.xml": f"<level><!--{'x' * lx.HELD}--><li>é\r\n</li></level>"}
+    rows = [(p, k, x[i : i + n]) for p, x in docs.items() for n in [37 if len(x) < 99_999 else 99_999] for k, i in enumerate(range(0, len(x), n))]
+    random.Random(1).shuffle(rows)
+    got = lx.elements_of_pieces(spark.createDataFrame(rows, "path string, k int, xml string"), ["k"]).collect()
+    want = lx.elements(spark.createDataFrame(list(docs.items()), "path string, xml string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and [r["error"] is not None for r in got if r["path"] == "bad.xml"] == [True]
+
+
+@pytest.mark.parametrize("name", ["sections", "definitions", "heritage", "prerequisites", "schedule_items", "requirements", "requirement_tree", "controls", "zones"])
+def test_no_document_is_one_value(spark, name, monkeypatch):
+    """The queries' documents are rows of a few hundred characters, however many parts a brand has."""
+    made = []
+    real = lx.elements_of_pieces
+    monkeypatch.setattr(legal, "_ELEMENTS", {})
+    monkeypatch.setattr(lx, "elements_of_pieces", lambda pieces, by: made.append(pieces) or real(pieces, by))
+    assert QUERIES[f"xml_{name}"](spark, "/root/testdata/sf0.001").count()
+    assert made[0].selectExpr("max(length(xml))").first()[0] < 1000
+
+
 def test_requirement_tree(rules):
     tree = lx.requirement_tree(rules).cache()
     got = {r["section_id"]: (r["parent_id"], r["clause_id"], r["value"], r["unit"], r["qualifier"]) for r in tree.collect()}
