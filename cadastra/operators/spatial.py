@@ -189,21 +189,58 @@ def centroids(df: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
 
 
+#: Ids of one shape in a row, about.
+IDS = 1000
+
+
+def _shapes(t: DataFrame, side: str) -> tuple[DataFrame, DataFrame | None, bool, float]:
+    """(rows (id, geometry) for the join, ids by shape or None, whether ids are unique, rows a shape) of a side. Where shapes occur twice and more on average, each is taken once, its checksum as its id."""
+    rows = t.filter("id IS NOT NULL AND geometry IS NOT NULL").select("id", "geometry", F.unhex(F.sha2("geometry", 256)).alias("shape"))
+    rows = written(rows, f"shapes-{side}")
+    n, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    shapes = rows.select("shape").distinct().count()
+    if n < 2 * shapes:
+        return rows.select("id", "geometry"), None, ids == n, 1.0
+    once = rows.groupBy(F.col("shape").alias("id")).agg(F.first("geometry").alias("geometry"))
+    return written(once, f"distinct-{side}"), rows.select("shape", "id"), ids == n, n / max(shapes, 1)
+
+
+def _with_ids(pairs: DataFrame, ids: DataFrame, side: str) -> DataFrame:
+    """Pairs of shapes with arrays of a side's ids in its shape's place: a row for each IDS of them or so, in as many tasks as set."""
+    own, tasks = f"{side}_id", int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(ids.groupBy(F.col("shape").alias(own)).agg(F.ceil(F.count("*") / IDS).cast("int").alias("parts")), "shape-parts")
+    listed = ids.withColumnRenamed("shape", own).join(parts, own).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    listed = listed.repartition(tasks, own, "part").groupBy(own, "part").agg(F.collect_set("id").alias("ids"))
+    many = pairs.join(parts, own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(tasks, own, "part")
+    return many.join(listed, [own, "part"]).drop(own, "part", "parts").withColumnRenamed("ids", own)
+
+
 def geometry_join(a: DataFrame, b: DataFrame, size: float = 0.0, shrink: float = 0.0) -> DataFrame:
     """(a_id, b_id) of rows (id, geometry) whose geometries meet; a's polygons may be drawn in first, against touching neighbours.
 
     size: squares of the tree in which shapes meet are no narrower. Polygons of b are taken as they are; make them valid first where they
-    may not be.
+    may not be. Equal geometries are drawn in and tested once; their ids come back behind that.
     """
-    a = a.select("id", "geometry")
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             yield pa.record_batch([t.column(0), pa.array([inset(g, shrink, 8) if g else None for g in t.column(1).to_pylist()], pa.binary())], t.schema.names)
 
+    (a, *own_a), (b, *own_b) = _shapes(a, "a"), _shapes(b, "b")
     if shrink:
-        a = a.mapInArrow(drawn, ", ".join(f"`{n}` {k}" for n, k in a.dtypes))
-    return shape_join(written(a, "shapes-a"), written(b.select("id", "geometry"), "shapes-b"), size)
+        a = written(a.mapInArrow(drawn, ", ".join(f"`{n}` {k}" for n, k in a.dtypes)), "drawn-a")
+    pairs = shape_join(a, b, size)
+    # the side with fewer ids a shape first: its arrays are what the other one's shuffle moves
+    sides = sorted([(each, side, ids) for side, (ids, _, each) in (("a", own_a), ("b", own_b)) if ids is not None], key=lambda x: x[0])
+    if not sides:
+        return pairs
+    pairs = written(pairs, "shape-pairs")
+    for _, side, ids in sides:
+        pairs = _with_ids(pairs, ids, side)
+    for _, side, _ in sides:
+        pairs = pairs.withColumn(f"{side}_id", F.explode(f"{side}_id"))
+    pairs = pairs.select("a_id", "b_id")
+    return pairs if own_a[1] and own_b[1] else pairs.distinct()
 
 
 def geodesic_metres(lat1, lon1, lat2, lon2):

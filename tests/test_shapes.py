@@ -144,3 +144,22 @@ def test_no_shapes(spark):
     assert qt.shape_join(none, none).count() == 0 and qt.shape_join(none, spark.createDataFrame([(1, bytearray(sp.write_wkb("Point", [(1, 1)])))], "id long, geometry binary")).count() == 0
     point = spark.createDataFrame([(1, bytearray(sp.write_wkb("Point", [(1, 1)])))], "id string, geometry binary")
     assert [tuple(r) for r in qt.shape_join(point, point).collect()] == [("1", "1")]
+
+
+def test_equal_shapes_meet_once(spark, monkeypatch):
+    """Shapes that occur many times on either side are tested once; every pair of ids comes back once, also where an id has several shapes."""
+    box = lambda x: bytearray(sp.write_wkb("Polygon", [[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0), (x, 0.0)]]))
+    a, b = [(i, box(2.0 * (i % 5))) for i in range(2500)], [(f"z{i}", box(2.0 * (i % 4) + 0.5)) for i in range(40)]
+    want = {(i, z) for i, _ in a for z, _ in b if i % 5 == int(z[1:]) % 4}
+    tested, real = [], sp.shape_join
+    monkeypatch.setattr(sp, "shape_join", lambda x, y, *more: tested.append((x.count(), y.count())) or real(x, y, *more))
+
+    def joined(a, b, shrink=0.0):
+        return [tuple(r) for r in sp.geometry_join(spark.createDataFrame(a, "id long, geometry binary"), spark.createDataFrame(b, "id string, geometry binary"), 0.0, shrink).collect()]
+
+    for shrink in (0.0, 0.01):
+        got = joined([*a, (9999, None), (None, box(0.0))], b, shrink)
+        assert len(got) == len(want) and set(got) == want
+    assert tested == [(5, 4)] * 2
+    one = [(7, box(0.0)), (7, box(2.0)), (7, box(0.0))]
+    assert joined(one, [("y", box(1.5))] * 3) == [(7, "y")] and joined(one, [("y", box(0.5)), ("x", box(9.0))]) == [(7, "y")] and joined(a, b[:1]) and joined([], b) == []
